@@ -68,6 +68,11 @@ def fold_case(col):
     return F.translate(col, UPPER, LOWER)
 
 
+def let(value, body):
+    """``body(value)`` with ``value`` computed once a row, however often the body uses it."""
+    return F.transform(F.array(value), body).getItem(0)
+
+
 def crc_mod(doc_id, modulus: int):
     """crc32 of the id as text, modulo ``modulus``; null ids give null."""
     return F.crc32(doc_id.cast("string").cast("binary")) % modulus

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, packing
+from . import chat, decontam, packing, quality, simhash
 from ._common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -20,6 +20,20 @@ def tokenizer_file() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.assess(table(spark, sf_dir, "documents"), {"doc_id": F.col("doc_id")})
+    base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return found.select("row.doc_id", *[f"q.{c}" for c in base], "base_failed", "kept")
+
+
+def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pieces(table(spark, sf_dir, "documents"), tokenizer_file())
 
@@ -32,6 +46,9 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_quality_rules": op2_quality_rules,
+    "op3_simhash_near_dedup": op3_simhash_near_dedup,
+    "op4_decontamination": op4_decontamination,
     "op5_packing": op5_packing,
     "op10_chat_formatting": op10_chat_formatting,
 }
