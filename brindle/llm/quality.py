@@ -33,7 +33,7 @@ MEASURES = {
     "punctuation_rate": (1, 0.08),
     "upper_rate": (1, 0.25),
     "repeat_rate": (1, 0.2),
-    "dup_line_rate": (1, 0.15),
+    "dup_line_rate": (1, 0.2),
     "word_length": (1, 2.0),
     "short_word_length": (-1, 2.0),
 }
@@ -103,8 +103,9 @@ def rates(q: Column) -> Column:
         share("n_symbols", "word_chars").alias("symbol_rate"),
         share("n_punctuation", "word_chars").alias("punctuation_rate"),
         share("n_upper", "word_chars").alias("upper_rate"),
-        share("n_repeat_words", "n_words").alias("repeat_rate"),
-        share("n_dup_lines", "n_lines").alias("dup_line_rate"),
+        # Smoothed, so that one heading that comes again at the end of a short text is no outlier.
+        (q["n_repeat_words"].cast("double") / (q["n_words"] + 20)).alias("repeat_rate"),
+        (q["n_dup_lines"].cast("double") / (q["n_lines"] + 6)).alias("dup_line_rate"),
         share("word_chars", "n_words").alias("word_length"),
         share("word_chars", "n_words").alias("short_word_length"),
     )
