@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, packing, quality, simhash
+from . import chat, decontam, packing, pii, quality, simhash
 from ._common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -20,6 +20,13 @@ def tokenizer_file() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.pseudonymise(docs, spans_col="spans")
+    kinds = F.array_join(F.array_sort(F.array_distinct(F.transform("spans", lambda s: s["kind"]))), ",")
+    return found.select("doc_id", "text", F.coalesce(F.size("spans"), F.lit(0)).cast("long").alias("n_replaced"), F.coalesce(kinds, F.lit("")).alias("kinds"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.assess(table(spark, sf_dir, "documents"), {"doc_id": F.col("doc_id")})
     base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -46,6 +53,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": op1_pii,
     "op2_quality_rules": op2_quality_rules,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_decontamination": op4_decontamination,
