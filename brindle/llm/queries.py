@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, packing, pii, quality, simhash
-from ._common import table
+from . import chat, decontam, langid, lm, packing, pii, quality, simhash, toxicity
+from ._common import crc_mod, table
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -45,6 +45,24 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pieces(table(spark, sf_dir, "documents"), tokenizer_file())
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    machine = toxicity.train(*toxicity.sample(docs, table(spark, sf_dir, "labels")))
+    return toxicity.score(docs.withColumn("held_out", crc_mod(F.col("doc_id"), 4) == 2), machine, ("doc_id", "held_out"))
+
+
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (crc_mod(F.col("doc_id"), 7) == 2).alias("held_out"))
+    model, counts = lm.train(docs.filter("not held_out"))
+    return lm.score(docs, model, counts, ("doc_id", "held_out"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", (crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"))
+    model = langid.fit(docs.filter("not held_out"))
+    return langid.predict(docs, model, ("doc_id", "held_out"))
+
+
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = "\\### Assistant: </turn> ok"
     known = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
@@ -58,6 +76,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_decontamination": op4_decontamination,
     "op5_packing": op5_packing,
+    "op6_toxicity": op6_toxicity,
+    "op8_lm_scoring": op8_lm_scoring,
+    "op9_language_id": op9_language_id,
     "op10_chat_formatting": op10_chat_formatting,
 }
 
