@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, lm, packing, pii, quality, simhash, toxicity
+from . import chat, decontam, langid, licenses, lm, packing, pii, quality, simhash, toxicity
 from ._common import crc_mod, table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -51,6 +51,12 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs.withColumn("held_out", crc_mod(F.col("doc_id"), 4) == 2), machine, ("doc_id", "held_out"))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents have no path: their source, then a directory of 64 ids, stands for one."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.concat_ws("/", "source", F.floor(F.col("doc_id") / 64).cast("string"), F.col("doc_id").cast("string")).alias("path"))
+    return licenses.scan(docs, keep=("doc_id",))
+
+
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", (crc_mod(F.col("doc_id"), 7) == 2).alias("held_out"))
     model, counts = lm.train(docs.filter("not held_out"))
@@ -77,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontamination": op4_decontamination,
     "op5_packing": op5_packing,
     "op6_toxicity": op6_toxicity,
+    "op7_license_scan": op7_license_scan,
     "op8_lm_scoring": op8_lm_scoring,
     "op9_language_id": op9_language_id,
     "op10_chat_formatting": op10_chat_formatting,
