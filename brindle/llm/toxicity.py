@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from ._common import crc_mod
 
 #: Bounds of the labelled sample.
-TOXIC, HARMLESS = 3000, 6000
+TOXIC, HARMLESS = 1500, 2500
 LANDMARKS, BACKGROUND = 64, 64
 DECAY = 0.6
 SPAN = 7
@@ -47,6 +47,8 @@ GRAM = 5
 THRESHOLD = 0.3
 ALPHABET = 48
 CACHE_WORDS = 400_000
+#: Values above this are computed with exact lengths of features.
+HIGH = 0.5
 #: (second, third): places of a subsequence's letters after its first.
 PATTERNS = [(a, b) for b in range(2, SPAN) for a in range(1, b)]
 #: Digits and signs that stand for letters.
@@ -90,6 +92,26 @@ class Words:
                 at = np.nonzero(w[: n - b] == w[b:])[0]
                 yield b, at, (c[at] * ALPHABET + c[at + a]) * ALPHABET + c[at + b]
 
+    def norms(self, windows: np.ndarray) -> np.ndarray:
+        """The exact lengths of the features of windows."""
+        rows, cols, vals = [], [], []
+        for k in range(WINDOW):  # windows may overlap: each of their first letters in turn
+            at = self.start[windows] + k
+            live = at < self.end[windows]
+            for a, b in PATTERNS:
+                use = live & (at + b < self.end[windows])
+                i = at[use]
+                rows.append(np.nonzero(use)[0])
+                cols.append((self.codes[i] * ALPHABET + self.codes[i + a]) * ALPHABET + self.codes[i + b])
+                vals.append(np.full(len(i), DECAY ** (b + 1)))
+        r, c, v = map(np.concatenate, (rows, cols, vals))
+        key = r * ALPHABET**3 + c
+        order = np.argsort(key, kind="stable")
+        key, v = key[order], v[order]
+        first = np.nonzero(np.diff(key, prepend=-1))[0]
+        squares = np.add.reduceat(v, first) ** 2 if len(first) else v
+        return np.sqrt(np.maximum(1e-12, np.bincount(key[first] // ALPHABET**3, squares, len(windows))))
+
     def scores(self, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each word the greatest value of its windows, and where that window starts."""
         value = np.zeros(len(self.start))
@@ -99,6 +121,10 @@ class Words:
             total = np.cumsum(total)
             value += total[np.maximum(self.end - b, self.start)] - total[self.start]
         value /= NORMS[self.end - self.start]
+        # Letters that come again make a window's features longer; that only lowers a value, and matters to high ones.
+        high = np.nonzero(value > HIGH)[0]
+        if len(high):
+            value[high] *= NORMS[(self.end - self.start)[high]] / self.norms(high)
         best, where = np.zeros(self.n), np.full(self.n, -1)
         order = np.argsort(value, kind="stable")
         order = order[value[order] > 0]
@@ -120,11 +146,14 @@ def features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     first = np.full(w.n, -1)
     first[w.owner[::-1]] = np.arange(len(w.owner))[::-1]
     rows, cols, vals = [], [], []
+    norm = np.ones(w.n)
+    has = first >= 0
+    norm[has] = np.maximum(w.norms(first[has]), 1e-6)
     for b, at, codes in w.subsequences():
         own = w.word[at]
         inside = (at >= w.start[first[own]]) & (at + b < w.end[first[own]])
         rows.append(own[inside]), cols.append(codes[inside])
-        vals.append(np.full(int(inside.sum()), DECAY ** (b + 1)) / NORMS[(w.end - w.start)[first[own[inside]]]])
+        vals.append(np.full(int(inside.sum()), DECAY ** (b + 1)) / norm[own[inside]])
     if not rows:
         return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
     return np.concatenate(rows), np.concatenate(cols), np.concatenate(vals)
@@ -145,9 +174,11 @@ def kernel_to(words: list[str], columns: np.ndarray) -> np.ndarray:
         r, c, v = features(words[low : low + 4096])
         part = np.zeros((min(4096, len(words) - low), columns.shape[1]), np.float32)
         order = np.argsort(r, kind="stable")
-        r, c, v = r[order], c[order], v[order]
+        r, c, v = r[order], c[order], v[order].astype(np.float32)
         for lo in range(0, len(r), 65536):
-            np.add.at(part, r[lo : lo + 65536], columns[c[lo : lo + 65536]] * v[lo : lo + 65536, None].astype(np.float32))
+            own = r[lo : lo + 65536]
+            first = np.nonzero(np.diff(own, prepend=-1))[0]
+            part[own[first]] += np.add.reduceat(columns[c[lo : lo + 65536]] * v[lo : lo + 65536, None], first, axis=0)
         out[low : low + len(part)] = part
     return out
 
@@ -172,35 +203,40 @@ def instances(text: str | None) -> list[str]:
     return sorted(found)
 
 
+_READ = str.maketrans(STANDS_FOR)
+
+
 def _grams(word: str) -> list[str]:
-    plain = "^" + "".join(STANDS_FOR.get(c, c) for c in word if STANDS_FOR.get(c, c).isalpha()) + "$"
+    plain = word.translate(_READ)
+    plain = f"^{plain if plain.isalpha() else ''.join(filter(str.isalpha, plain))}$"
     return [plain[i : i + GRAM] for i in range(len(plain) - GRAM + 1)]
 
 
 def _landmarks(toxic: list[list[str]], harmless: list[list[str]]) -> list[str]:
     """Strings that cover toxic documents: greedily, each the one that covers most that are left."""
-    grams: dict[str, list[str]] = {}
 
     def of(words: list[str]) -> set[str]:
-        out: set[str] = set()
-        for w in words:
-            if w not in grams:
-                grams[w] = _grams(w)
-            out.update(grams[w])
-        return out
-
-    bad = [of(d) for d in toxic]
-    seen = Counter(g for d in bad for g in d)
+        return {g for w in words for g in _grams(w)}
+
+    # Only counts are kept, not the strings of each document.
+    seen: Counter[str] = Counter()
+    for d in toxic:
+        seen.update(of(d))
     often = {g for g, n in seen.items() if n >= 3}
+    seen = Counter({g: seen[g] for g in often})
     good: Counter[str] = Counter()
     for d in harmless:
         good.update(of(d) & often)
     share = len(harmless) / max(1, len(toxic))
     clear = {g for g in often if seen[g] * share > 12 * (good[g] + 1)}
     holders: dict[str, set[int]] = {g: set() for g in clear}
-    for i, d in enumerate(bad):
-        for g in d & clear:
-            holders[g].add(i)
+    words_of: dict[str, Counter[str]] = {g: Counter() for g in clear}
+    for i, d in enumerate(toxic):
+        for w in d:
+            for g in _grams(w):
+                if g in clear:
+                    holders[g].add(i)
+                    words_of[g][w] += 1
     chosen, cover = [], Counter()
     for _ in range(LANDMARKS):
         gain = {g: sum(0.25 ** cover[i] for i in h) - (good[g] + 1) / share for g, h in holders.items()}
@@ -208,14 +244,14 @@ def _landmarks(toxic: list[list[str]], harmless: list[list[str]]) -> list[str]:
             break
         g = max(sorted(gain), key=gain.get)
         cover.update(holders.pop(g))
-        holding = Counter(w for d in toxic for w in d if g in grams[w])
+        holding = words_of[g]
         word, n = max(sorted(holding.items()), key=lambda x: x[1])
         plain = word.strip(".,;:!?\"'()")
         chosen.append(plain if n * 3 > sum(holding.values()) and len(plain) <= WINDOW else g.strip("^$"))
     return list(dict.fromkeys(chosen))
 
 
-def _svm(z: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 1e-4, rounds: int = 400) -> tuple[np.ndarray, float]:
+def _svm(z: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 1e-4, rounds: int = 150) -> tuple[np.ndarray, float]:
     """A linear machine with squared hinge loss, by Nesterov's accelerated gradient."""
     x = np.hstack([z, np.ones((len(z), 1), z.dtype)]).astype(np.float64)
     weight = weight / weight.sum()
@@ -261,8 +297,14 @@ class Machine:
         return (1 / (1 + np.exp(-np.clip(self.slope * f + self.shift, -50, 50)))).tolist()
 
 
+def valued(words: list[str], weights: np.ndarray) -> np.ndarray:
+    """The value of each word, in parts of bounded memory."""
+    return np.concatenate([np.zeros(0), *(Words(words[i : i + 20_000]).scores(weights)[0] for i in range(0, len(words), 20_000))])
+
+
 def train(toxic: list[str | None], harmless: list[str | None]) -> Machine:
-    bad, good = [instances(t) for t in toxic], [instances(t) for t in harmless]
+    pool: dict[str, str] = {}  # each different word once in memory
+    bad, good = ([[pool.setdefault(w, w) for w in instances(t)] for t in texts] for texts in (toxic, harmless))
     marks = _landmarks(bad, good) if bad and good else []
     if not marks:
         return Machine(None, 0.0, 0.0, len(bad) / max(1, len(bad) + len(good)))
@@ -273,8 +315,7 @@ def train(toxic: list[str | None], harmless: list[str | None]) -> Machine:
     for col in dense(marks).T:
         nearness = np.maximum(nearness, col)
     all_words = sorted(words)
-    near = np.concatenate([Words(all_words[i : i + 50_000]).scores(nearness)[0] for i in range(0, len(all_words), 50_000)])
-    order = np.argsort(-near, kind="stable")
+    order = np.argsort(-valued(all_words, nearness), kind="stable")
     like = [all_words[i] for i in order[: BACKGROUND // 2]]
     marks = list(dict.fromkeys([*marks, *common, *like]))
     columns = dense(marks)
@@ -282,16 +323,15 @@ def train(toxic: list[str | None], harmless: list[str | None]) -> Machine:
     value, vector = np.linalg.eigh(own.astype(np.float64))
     white = (vector / np.sqrt(np.maximum(value, 1e-6))) @ vector.T * (value > 1e-6).any()
     rng = np.random.default_rng(5)
-    hard = {all_words[i] for i in order[:6000]} | {all_words[i] for i in rng.choice(len(all_words), min(6000, len(all_words)), replace=False)}
+    hard = {all_words[i] for i in order[:4000]} | {all_words[i] for i in rng.choice(len(all_words), min(4000, len(all_words)), replace=False)}
     negatives = sorted(hard)
     machine = None
+    bad_words = sorted({w for d in bad for w in d})
     weights = nearness  # the first witnesses are the words most like a landmark
     for _ in range(3):
-        machine = Machine(weights, 0.0, 1.0, 0.0)
-        witnesses = [max(d, key=dict(zip(d, machine.values(d).tolist())).get) for d in bad if d]
-        tops = [w for w in witnesses]
-        values = machine.values(tops)
-        witnesses = _windows([w for w, x in zip(tops, values) if x > 0], weights)
+        value = dict(zip(bad_words, valued(bad_words, weights).tolist()))
+        tops = [max(d, key=value.__getitem__) for d in bad if d]
+        witnesses = _windows([w for w in tops if value[w] > 0], weights)
         negative = _windows(negatives, weights)
         both = witnesses + negative
         z = kernel_to(both, columns) @ white
@@ -301,8 +341,8 @@ def train(toxic: list[str | None], harmless: list[str | None]) -> Machine:
         weights = (columns @ (white @ v)).astype(np.float64)
         machine = Machine(weights, bias, 1.0, 0.0)
         # The harmless words with the greatest values become negatives too.
-        value = np.concatenate([Words(all_words[i : i + 50_000]).scores(weights)[0] for i in range(0, len(all_words), 50_000)])
-        negatives = sorted({*negatives, *(all_words[i] for i in np.argsort(-value, kind="stable")[:3000])})
+        order = np.argsort(-valued(all_words, weights), kind="stable")
+        negatives = sorted({*negatives, *(all_words[i] for i in order[:2000])})
     f = np.r_[machine.worst(bad), machine.worst(good)] + machine.bias
     machine.slope, machine.shift = _calibrate(f, np.r_[np.ones(len(bad)), np.zeros(len(good))])
     return machine
