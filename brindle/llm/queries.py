@@ -89,4 +89,28 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_chat_formatting": op10_chat_formatting,
 }
 
-SQL: dict[str, str] = {}
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+#: Sketches, hashes with a seed, keyed permutations, token ids and trained models have no SQL.
+SQL: dict[str, str] = {
+    "op4_decontamination": f"""
+        WITH d AS (SELECT doc_id, {_WORDS} AS a FROM documents), i AS (SELECT item_id, {_WORDS} AS a FROM benchmark),
+        iw AS (SELECT DISTINCT item_id, least(10, len(a)) AS n, array_to_string(a[k:k + least(10, len(a)) - 1], ' ') AS w FROM i, unnest(range(1, len(a) - least(10, len(a)) + 2)) AS t(k) WHERE len(a) > 0),
+        sizes AS (SELECT DISTINCT n FROM iw),
+        dw AS (SELECT doc_id, k, n, array_to_string(a[k:k + n - 1], ' ') AS w FROM d, sizes, unnest(range(1, len(a) - n + 2)) AS t(k)),
+        hits AS (SELECT dw.doc_id, dw.k, dw.n, iw.item_id FROM dw JOIN iw ON dw.w = iw.w),
+        hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM hits, unnest(range(k, k + n)) AS t(p) GROUP BY doc_id),
+        items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id)
+        SELECT d.doc_id, len(d.a) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN hit ON d.doc_id = hit.doc_id LEFT JOIN items ON d.doc_id = items.doc_id""",
+    "op10_chat_formatting": r"""
+        WITH c AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+        t AS (SELECT *, 4 + length(role) + 2 + length(replace(replace(replace(text, '\', '\\'), '#', '\#'), '</turn>', '\</turn>')) + 9 AS size FROM c),
+        s AS (SELECT *, sum(size) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS upto, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM t)
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+            CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+            sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+            CAST(sum(CASE WHEN role = 'assistant' OR back = 1 THEN upto ELSE 0 END) AS BIGINT) AS formatted_chars
+        FROM s GROUP BY conv_id""",
+}
