@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_folder
+
 #: A-Z and its lower case: contracts fold these 26 letters only, not all of Unicode.
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -16,20 +17,6 @@ LOWER = UPPER.lower()
 SPACES = r"[\x20\x09-\x0D]+"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    It is read from ``spark.checkpoint.dir``; where a session has none, as in
-    local tests, a temporary folder is set for it.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = known.get() if known.isDefined() else tempfile.mkdtemp(prefix="brindle-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
 _written: list[tuple[SparkSession, str]] = []
 
 

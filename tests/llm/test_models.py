@@ -8,7 +8,7 @@ import brute
 import numpy as np
 import pytest
 from brindle.llm import langid, lm, queries, toxicity
-from conftest import SMALL
+from brute import SMALL
 
 LARGER = "/root/testdata/sf0.01"
 

@@ -6,7 +6,7 @@ import brute
 import pytest
 from brindle.llm import decontam, quality, queries, simhash
 from brindle.llm._common import components
-from conftest import SMALL
+from brute import SMALL
 from pyspark.sql import functions as F
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()

@@ -4,7 +4,7 @@ import brute
 import corpus_pipeline
 from brindle.llm import pii
 from brindle.llm._common import stored
-from conftest import SMALL
+from brute import SMALL
 
 
 def test_stages(spark):

@@ -9,7 +9,7 @@ from array import array
 import public_tokenizers
 import pytest
 from brindle.llm import chat, licenses, packing, pii, queries
-from conftest import SMALL
+from brute import SMALL
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
