@@ -46,7 +46,7 @@ def unescape(text: str) -> str:
 
 def label(role: str | None) -> str:
     role = "null" if role is None else role
-    return escape(role[:1].upper() + role[1:] if role.islower() and role[:1].isascii() else "=" + role).replace(":", "\\:")
+    return escape(role[0].upper() + role[1:] if "a" <= role[:1] <= "z" else "=" + role).replace(":", "\\:")
 
 
 def unlabel(shown: str) -> str:
