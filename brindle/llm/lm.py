@@ -29,6 +29,8 @@ has probability 1; an empty table gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,22 +50,15 @@ HEAD = 1 << 18
 CELLS = 1 << 16
 STRIDE, ROUNDS = 8, 2
 BATCH = 128
+PART = 2048
+#: Bound of a weight: the sum of five is one that exp takes in single precision.
+BOUND = 16.0
 END = np.uint64(0x9E3779B97F4A7C15)
-BASE = 0x100000001B3
 SLOTS = 20
 NEVER = np.uint64(0xFFFFFFFFFFFFFFFF)
 
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of ``BASE`` and of its inverse modulo 2**64."""
-    size = 1 << max(16, int(n).bit_length())
-    if size not in _powers:
-        _powers.clear()
-        with np.errstate(over="ignore"):
-            _powers[size] = tuple(np.cumprod(np.r_[np.uint64(1), np.full(size - 1, np.uint64(x))], dtype=np.uint64) for x in (BASE, pow(BASE, -1, 1 << 64)))
-    return _powers[size]
+#: Masks that keep the first 0 to 8 bytes of a little-endian number.
+MASKS = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 
 
 class Tokens:
@@ -76,16 +71,22 @@ class Tokens:
         white = (b == 32) | ((b >= 9) & (b <= 13))
         edge = np.diff(np.r_[True, white].astype(np.int8))
         self.start, self.stop = np.nonzero(edge == -1)[0], np.nonzero(edge == 1)[0]
-        power, inverse = _tables(len(b))
+        eights = np.lib.stride_tricks.as_strided(np.frombuffer(self.data + bytes(8), np.uint8), (len(b) + 1, 8), (1, 1))
+        size = self.stop - self.start
         with np.errstate(over="ignore"):
-            run = np.r_[np.uint64(0), np.cumsum((b.astype(np.uint64) + np.uint64(1)) * power[: len(b)], dtype=np.uint64)]
-            h = (run[self.stop] - run[self.start]) * inverse[self.start]
+            h = size.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25)
+            todo, low = np.arange(len(size)), 0
+            while len(todo):  # eight bytes of each word that is as long
+                part = eights[self.start[todo] + low].view(np.uint64).ravel() & MASKS[np.minimum(size[todo] - low, 8)]
+                x = (h[todo] ^ part) * np.uint64(0xBF58476D1CE4E5B9)
+                h[todo] = x ^ (x >> np.uint64(31))
+                low += 8
+                todo = todo[size[todo] > low]
+            h *= np.uint64(0x94D049BB133111EB)
             h ^= h >> np.uint64(29)
-            h *= np.uint64(0xBF58476D1CE4E5B9)
-            h ^= h >> np.uint64(32)
-        i = b.astype(np.int64)
-        second, last = np.minimum(self.start + 1, self.stop - 1), self.stop - 1
-        cell = ((i[self.start] * 31 + i[second]) & 255) << 8 | ((i[np.maximum(self.start, last - 1)] * 31 + i[last]) & 255)
+        last = self.stop - 1
+        one, two, three, four = (b[at].astype(np.int64) for at in (self.start, np.minimum(self.start + 1, last), np.maximum(self.start, last - 1), last))
+        cell = ((one * 31 + two) & 255) << 8 | ((three * 31 + four) & 255)
         ends = np.cumsum([len(p) + 1 for p in parts])
         words = np.searchsorted(self.start, ends)  # how many words stand before each text's end
         self.sizes = np.diff(np.r_[0, words]) + 1
@@ -98,14 +99,15 @@ class Tokens:
         at = self.word[tokens]
         return [self.data[a:z] for a, z in zip(self.start[at].tolist(), self.stop[at].tolist())]
 
-    def features(self) -> list[np.ndarray]:
-        """Hashed features of each token's history; before a text's start stand nothing's features."""
+    def features(self, at: np.ndarray | None = None) -> list[np.ndarray]:
+        """Hashed features of the history of each token, or of those ``at``; before a text's start stand nothing's features."""
         shift = np.uint64(64 - BITS)
+        at = np.arange(len(self.hash)) if at is None else at
+        place = self.place[at]
 
         def before(k: int) -> np.ndarray:
-            out = np.zeros(len(self.hash), np.uint64)
-            out[k:] = self.hash[:-k] if len(self.hash) > k else self.hash[:0]
-            out[self.place < k] = np.uint64(12345 + k)
+            out = self.hash[np.maximum(at - k, 0)]
+            out[place < k] = np.uint64(12345 + k)
             return out
 
         one, two, three = before(1), before(2), before(3)
@@ -175,7 +177,7 @@ def word_counts(training: DataFrame) -> DataFrame:
     """(word, c): counts of all words of all texts, as bytes; partial counts are made where texts are read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[bytes, int] = {}
+        counts: Counter[bytes] = Counter()
 
         def out():
             words = list(counts)
@@ -183,11 +185,9 @@ def word_counts(training: DataFrame) -> DataFrame:
                 part = words[low : low + 50_000]
                 yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), pa.array([counts[w] for w in part], pa.int64())], ["word", "c"])
 
-        get = counts.get
         for batch in _batches(batches):
             for text in batch.column(0).to_pylist():
-                for w in (text or "").encode("utf-8", "surrogatepass").lower().split():
-                    counts[w] = get(w, 0) + 1
+                counts.update((text or "").encode("utf-8", "surrogatepass").lower().split())
             if len(counts) > 500_000:
                 yield from out()
                 counts.clear()
@@ -196,7 +196,7 @@ def word_counts(training: DataFrame) -> DataFrame:
     return training.select("text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def _summed(training: DataFrame, size: int, fill, blocks: int = 128) -> np.ndarray:
+def _summed(training: DataFrame, size: int, fill, blocks: int = 128, rough: bool = False) -> np.ndarray:
     """The sum of ``fill(texts, total)`` over all batches; ``size`` numbers, in blocks, over two rounds of partial sums."""
     step = -(-size // blocks)
 
@@ -206,19 +206,23 @@ def _summed(training: DataFrame, size: int, fill, blocks: int = 128) -> np.ndarr
             fill(batch.column(0).to_pylist(), total)
         shard = TaskContext.get().partitionId() % 64
         part = total.astype(np.float32)
-        blobs = [part[i * step : (i + 1) * step].tobytes() for i in range(blocks)]
+        if rough:
+            part.view(np.uint32)[:] &= np.uint32(0xFFFFF000)  # fewer digits are smaller when compressed
+        blobs = [zlib.compress(part[i * step : (i + 1) * step].tobytes(), 1) for i in range(blocks)]
         yield pa.RecordBatch.from_arrays([pa.array(range(blocks), pa.int32()), pa.array([shard] * blocks, pa.int32()), pa.array(blobs, pa.binary())], ["block", "shard", "sums"])
 
     def add(group: pd.DataFrame) -> pd.DataFrame:
-        total = np.sum([np.frombuffer(x, np.float32) for x in group["sums"]], axis=0, dtype=np.float64).astype(np.float32)
-        return pd.DataFrame({"block": [group["block"].iloc[0]], "shard": [group["shard"].iloc[0]], "sums": [total.tobytes()]})
+        total = sum(np.frombuffer(zlib.decompress(x), np.float32).astype(np.float64) for x in group["sums"]).astype(np.float32)
+        return pd.DataFrame({"block": [group["block"].iloc[0]], "shard": [group["shard"].iloc[0]], "sums": [zlib.compress(total.tobytes(), 1)]})
 
     schema = "block int, shard int, sums binary"
-    parts = training.select("text").mapInArrow(run, schema).groupBy("block", "shard").applyInPandas(add, schema)
+    # A sum for each core's share of the partitions, not for each partition.
+    few = training.select("text").coalesce(4 * training.sparkSession.sparkContext.defaultParallelism)
+    parts = few.mapInArrow(run, schema).groupBy("block", "shard").applyInPandas(add, schema)
     rows = parts.groupBy("block").applyInPandas(add, schema).collect()  # ``size`` numbers
     out = np.zeros(blocks * step)
     for r in rows:
-        got = np.frombuffer(r["sums"], np.float32)
+        got = np.frombuffer(zlib.decompress(r["sums"]), np.float32)
         out[r["block"] * step : r["block"] * step + len(got)] = got
     return out[:size]
 
@@ -258,25 +262,41 @@ class Model:
     """All that executors need to score texts."""
 
     def __init__(self, head: Head, classes: Classes, weights: np.ndarray, class_tokens: np.ndarray, class_words: np.ndarray, n: int, v: int):
-        self.head, self.classes, self.weights, self.n, self.v = head, classes, weights, n, v
+        self.head, self.classes, self.n, self.v = head, classes, n, v
+        self.empty = class_words == 0
+        self.set(weights)
         self.log_class = np.log10(np.maximum(1, class_tokens + class_words))
         self.log_all = np.log10(n + v + 1)
         self.log_known = np.log10(1 - 1 / (n + v + 1)) if n else 0.0
         own = head.counts if n else np.zeros(0)
         self.log_count = np.log10(own + 1)
 
-    def log_classes(self, t: Tokens, at: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Log probabilities (natural) of all classes at each token, and the tokens' classes."""
-        y = self.classes(t.hash, t.cell)
-        f = t.features()
-        if at is not None:
-            y, f = y[at], [x[at] for x in f]
-        z = self.weights[-1] + self.weights[f[0]]
-        for x in f[1:]:
-            z += self.weights[x]
-        z -= z.max(axis=1, keepdims=True)
-        z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
-        return z, y
+    def set(self, weights: np.ndarray) -> None:
+        """New weights; a class without words has no probability."""
+        self.weights = np.clip(weights, -BOUND, BOUND).astype(np.float32)
+        self.weights[-1, self.empty] = -1e4
+
+    def parts(self, t: Tokens, at: np.ndarray | None = None) -> Iterator[tuple[slice, np.ndarray, np.ndarray, list[np.ndarray]]]:
+        """(which tokens, their classes, logits of all classes, features) in parts that fit a core's cache."""
+        h, cell = (t.hash, t.cell) if at is None else (t.hash[at], t.cell[at])
+        y, f = self.classes(h, cell), t.features(at)
+        for low in range(0, len(y), PART):
+            part = slice(low, low + PART)
+            own = [x[part] for x in f]
+            z = self.weights[own[0]]
+            for x in own[1:]:
+                z += self.weights[x]
+            z += self.weights[-1]
+            yield part, y[part], z, own
+
+    def log_own(self, t: Tokens) -> tuple[np.ndarray, np.ndarray]:
+        """Natural log probability of each token's class, and the classes."""
+        out, classes = np.empty(len(t.hash)), np.empty(len(t.hash), np.int64)
+        for part, y, z, _ in self.parts(t):
+            own = z[np.arange(len(y)), y]
+            np.exp(z, out=z)
+            out[part], classes[part] = own - np.log(z.sum(axis=1)), y
+        return out, classes
 
 
 def train(training: DataFrame, rounds: int = ROUNDS) -> tuple[Model, DataFrame]:
@@ -285,9 +305,17 @@ def train(training: DataFrame, rounds: int = ROUNDS) -> tuple[Model, DataFrame]:
     docs = training.count()
     total = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     n, v = (total["n"] or 0) + docs, total["v"] + (docs > 0)
-    top = counts.orderBy(F.desc("c"), "word").limit(HEAD).collect()  # bounded by HEAD
-    top_hash = _hash_of([bytes(r["word"]) for r in top])[0] if top else np.zeros(0, np.uint64)
-    head = Head(np.append(top_hash, END), np.append(np.array([r["c"] for r in top], np.float64), docs))
+    # Words by size of their count, in about 2,000 bins at most; the head is the bins from the top that fit.
+    size = F.floor(F.log2("c") * 32).cast("int")
+    left, cut = HEAD, 1 << 30
+    for r in sorted(counts.groupBy(size.alias("bin")).agg(F.count("*").alias("n")).collect(), reverse=True):
+        left -= r["n"]
+        if left < 0:
+            break
+        cut = r["bin"]
+    top = sorted(((bytes(r["word"]), r["c"]) for r in counts.filter(size >= cut).collect()), key=lambda x: (-x[1], x[0]))  # HEAD at most
+    top_hash = _hash_of([w for w, _ in top])[0] if top else np.zeros(0, np.uint64)
+    head = Head(np.append(top_hash, END), np.append(np.array([c for _, c in top], np.float64), docs))
     classes = Classes(top_hash[: SINGLES - 1])
 
     def beside(texts: list, out: np.ndarray) -> None:
@@ -295,7 +323,7 @@ def train(training: DataFrame, rounds: int = ROUNDS) -> tuple[Model, DataFrame]:
         own = classes.single(t.hash)
         for a, b in ((slice(1, None), slice(None, -1)), (slice(None, -1), slice(1, None))):
             use = (own[a] < 0) & (own[b] >= 0) & (t.text[a] == t.text[b])
-            out += np.bincount(t.cell[a][use] * SINGLES + own[b][use], minlength=CELLS * SINGLES)
+            np.add.at(out, t.cell[a][use] * SINGLES + own[b][use], 1.0)
 
     classes.of_cell = _cluster(_summed(training, CELLS * SINGLES, beside).reshape(CELLS, SINGLES)) if docs else np.zeros(CELLS, np.int64)
     rows = FEATURES << BITS
@@ -303,8 +331,9 @@ def train(training: DataFrame, rounds: int = ROUNDS) -> tuple[Model, DataFrame]:
     def together(texts: list, out: np.ndarray) -> None:
         t = Tokens(texts)
         y = classes(t.hash, t.cell)
-        for f in [*t.features(), np.full(len(y), rows)]:
-            out += np.bincount(f * CLASSES + y, minlength=(rows + 1) * CLASSES)
+        for f in t.features():
+            np.add.at(out, f * CLASSES + y, 1.0)
+        out[rows * CLASSES :] += np.bincount(y, minlength=CLASSES)
 
     seen = _summed(training, (rows + 1) * CLASSES, together).reshape(-1, CLASSES) if docs else np.zeros((rows + 1, CLASSES))
     share = (seen[-1] + 0.5) / (seen[-1] + 0.5).sum()
@@ -343,20 +372,20 @@ def _update(training: DataFrame, model: Model, seen: np.ndarray, i: int) -> None
         at = np.nonzero(t.place % STRIDE == (i * 3 + t.sizes[t.text]) % STRIDE)[0]
         if not len(at):
             return
-        logs, y = shared.value.log_classes(t, at)
-        error = -np.exp(logs)
-        error[np.arange(len(y)), y] += 1
         total = out.reshape(rows, CLASSES)
-        for f in t.features():
-            f = f[at]
-            order = np.argsort(f, kind="stable")
-            first = np.nonzero(np.diff(f[order], prepend=-1))[0]
-            total[f[order][first]] += np.add.reduceat(error[order], first, axis=0)
-        total[-1] += error.sum(axis=0)
-
-    g = _summed(training, rows * CLASSES, gradient).reshape(rows, CLASSES)
+        for _, y, z, features in shared.value.parts(t, at):
+            np.exp(z, out=z)
+            z /= -z.sum(axis=1, keepdims=True)
+            z[np.arange(len(y)), y] += 1
+            for f in features:
+                order = np.argsort(f, kind="stable")
+                first = np.nonzero(np.diff(f[order], prepend=-1))[0]
+                total[f[order][first]] += np.add.reduceat(z[order], first, axis=0)
+            total[-1] += z.sum(axis=0)
+
+    g = _summed(training, rows * CLASSES, gradient, rough=True).reshape(rows, CLASSES)
     scale = (seen / STRIDE) * FEATURES / 2 + 3.0
-    model.weights = (model.weights + np.clip(g / scale, -1, 1)).astype(np.float32)
+    model.set(model.weights + np.clip(g / scale, -1, 1))
 
 
 def score(docs: DataFrame, model: Model, counts: DataFrame, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
@@ -374,8 +403,8 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, keep: tuple[str, ...
         for batch in _batches(batches):
             t = Tokens(batch.columns[-1].to_pylist())
             place = m.head(t.hash)
-            logs, y = m.log_classes(t)
-            value = logs[np.arange(len(y)), y] / np.log(10) - m.log_class[y] + m.log_known
+            logs, y = m.log_own(t)
+            value = logs / np.log(10) - m.log_class[y] + m.log_known
             known = place >= 0
             count = np.where(known, m.log_count[place], 0.0)
             k = len(t.sizes)
