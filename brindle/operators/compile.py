@@ -21,6 +21,7 @@ from ..functions import Aggregate, ColumnRef, Expression, Window
 from ..functions.expressions import aggregate_column
 from ..plans import ir
 from .predicates import Predicates, compare
+from .ranking import ONE_TASK_BYTES, estimated_bytes, rank_all
 from .resolve import Field, Scope
 
 JOINS = {"inner": "inner", "left": "left", "right": "right"}
@@ -197,6 +198,10 @@ class Compiler:
         added: list[tuple[Output, Column]] = []
         for w in windows:
             out = Output(w.output, self._name(w.output))
+            if w.ranks and w.order and not w.partition and outer is None and not df.isStreaming and estimated_bytes(df) > ONE_TASK_BYTES:
+                df = rank_all(df, w.func, [(resolve(c), down) for c, down in w.order], out.internal)
+                added.append((out, out.column))
+                continue
             if w.ranks:
                 if not w.order:
                     raise QueryError(f"{w.func} takes an ORDER BY")
@@ -209,7 +214,7 @@ class Compiler:
             else:
                 # One value for all rows: two-phase aggregation instead of a window in a single task.
                 added.append((out, df.agg(aggregate_column(w.func, w.argument, resolve)).scalar()))
-        df = df.select("*", *[c.alias(o.internal) for o, c in added])
+        df = df.select("*", *[c.alias(o.internal) for o, c in added if o.internal not in df.columns])
         if outer is None:
             kinds = _types(df)
         else:

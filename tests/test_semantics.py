@@ -129,3 +129,19 @@ def test_filters_reach_the_scan(spark):
     e.register("part", spark.read.parquet("/root/testdata/sf0.001/part.parquet"))
     plan = e.table("part").select("p_partkey").where("p_size", ">", 20).df()._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThan(p_size,20)" in plan and "p_name" not in plan
+
+
+@pytest.mark.parametrize("func", ["row_number", "rank", "dense_rank"])
+def test_ranking_in_many_tasks_is_ranking_in_one(spark, monkeypatch, func):
+    from brindle.operators import compile as compiler
+
+    e = Engine(spark)
+    e.register("t", spark.range(2000).selectExpr("id", "case when id % 50 = 0 then null else id * 37 % 301 end as v", "id % 2 as w"))
+    q = e.table("t").select("id", getattr(Func, func)().order_by_desc("v").order_by("w").as_("r"))
+    want = sorted((r["r"], r["id"]) for r in q.get())
+    monkeypatch.setattr(compiler, "ONE_TASK_BYTES", -1)
+    df = q.df()
+    got = sorted((r["r"], r["id"]) for r in df.collect())
+    assert (got == want) if func != "row_number" else sorted(r for r, _ in got) == list(range(1, 2001))
+    ranks = {i: (v if v is not None else -1, w) for i, v, w in spark.range(2000).selectExpr("id", "case when id % 50 = 0 then null else id * 37 % 301 end as v", "id % 2 as w").collect()}
+    assert all((-ranks[a[1]][0], ranks[a[1]][1]) <= (-ranks[b[1]][0], ranks[b[1]][1]) for a, b in zip(got, got[1:]))
