@@ -133,9 +133,9 @@ def fences(measured: DataFrame, spread: float = SPREAD, min_rows: int = MIN_ROWS
     per_source = bounds(low, "s", "lang", "source").alias("a")
     per_lang = bounds(mid, "l", "lang").alias("b")
     joined = per_source.join(per_lang, F.col("a.lang").eqNullSafe(F.col("b.lang")), "left").select("a.lang", "a.source", "s", "l")
-    # The sketch of everything is one row; a bucket-less table has no fence.
-    everything = bounds(top, "t").select(F.col("t").alias("t"))
-    return joined.join(F.broadcast(everything), F.lit(True), "left").select("lang", "source", F.coalesce("s", "l", "t").alias("fence"))
+    # The sketch of everything is one row: a scalar subquery, NULL if there is no bucket.
+    everything = bounds(top, "t").select("t").scalar()
+    return joined.select("lang", "source", F.coalesce("s", "l", everything).alias("fence"))
 
 
 def passes(rate: Column, fence: Column) -> Column:
