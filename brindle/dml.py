@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from .errors import ConstraintError, QueryError
@@ -86,8 +86,9 @@ class Writer:
         return self.engine.spark.read.schema(schema).parquet(path)
 
     def _add(self, name: str, df: DataFrame, batches: list[int]) -> dict:
-        path = self.store.write(df, self.engine.database, name)
-        rows = self.engine.spark.read.parquet(f"{self.store.root}/{path}").count()
+        seen = Observation()
+        path = self.store.write(df.observe(seen, F.count(F.lit(1)).alias("rows")), self.engine.database, name)
+        rows = seen.get["rows"]  # counted while it was written
         part = {"path": path, "rows": rows, "batches": batches}
         if rows:
             self.engine.entry(name)["parts"].append(part)
@@ -117,30 +118,35 @@ class Writer:
         return bool(df.limit(1).count())
 
     def _check(self, name: str, new: DataFrame, others: DataFrame | None, columns: set[str]) -> None:
-        """Raises if ``new`` rows break a rule on ``columns``; ``others`` are the table's other rows."""
+        """Raises if ``new`` rows break a rule on ``columns``; ``others`` are the table's other rows.
+
+        Each rule is a search for one violation; all are branches of one job.
+        """
         s = self.engine.table_schema(name)
+        wrong: list[tuple[DataFrame, str]] = []
         required = [c for c in s.names() if s.requires(c) and c in columns]
-        if required and self._any(new.filter(reduce(lambda a, b: a | b, [F.col(c).isNull() for c in required]))):
-            raise ConstraintError(f"a column of {name!r} that takes no NULL has one: {required}")
+        if required:
+            wrong.append((new.filter(reduce(lambda a, b: a | b, [F.col(c).isNull() for c in required])), f"a column of {name!r} that takes no NULL has one: {required}"))
         for check in s.checks:
             scope = Scope()
             scope.add(name, [Field(f.name, f.name, f.dataType) for f in new.schema.fields if f.name not in HIDDEN])
             predicate = Predicates(scope, lambda *_: None)(check.condition)
-            if self._any(new.filter(~never_null(predicate))):
-                raise ConstraintError(f"check {check.name!r} of {name!r} does not hold")
+            wrong.append((new.filter(~never_null(predicate)), f"check {check.name!r} of {name!r} does not hold"))
         for group in s.unique_groups():
-            if not columns & set(group):
-                continue
-            keys = new.select(*group).na.drop()
-            twice = self._any(keys.groupBy(*group).count().filter("count > 1"))
-            if twice or (others is not None and self._any(others.select(*group).join(keys, list(group), "left_semi"))):
-                raise ConstraintError(f"{name!r} has rows of equal {', '.join(group)}")
+            if columns & set(group):
+                keys, error = new.select(*group).na.drop(), f"{name!r} has rows of equal {', '.join(group)}"
+                wrong.append((keys.groupBy(*group).count().filter("count > 1"), error))
+                if others is not None:
+                    wrong.append((others.select(*group).join(keys, list(group), "left_semi"), error))
         for f in s.foreign_keys:
             if f.column in columns:
                 parent = self.engine.frame(f.table).select(F.col(f.references).alias("k"))
                 mine = new.select(F.col(f.column).cast(parent.schema["k"].dataType).alias("k")).na.drop()
-                if self._any(mine.join(parent, "k", "left_anti")):
-                    raise ConstraintError(f"{name}.{f.column} names no row of {f.table}.{f.references}")
+                wrong.append((mine.join(parent, "k", "left_anti"), f"{name}.{f.column} names no row of {f.table}.{f.references}"))
+        if wrong:
+            found = reduce(DataFrame.unionAll, [df.limit(1).select(F.lit(i).alias("rule")) for i, (df, _) in enumerate(wrong)]).collect()
+            if found:
+                raise ConstraintError(wrong[min(r["rule"] for r in found)][1])
 
     # insert
 

@@ -206,7 +206,7 @@ class Compiler:
                 if not w.order:
                     raise QueryError(f"{w.func} takes an ORDER BY")
                 spec = W.partitionBy(*[resolve(c) for c in w.partition]).orderBy(*[self._sorted(resolve(c), down) for c, down in w.order])
-                added.append((out, {"ROW_NUMBER": F.row_number, "RANK": F.rank, "DENSE_RANK": F.dense_rank}[w.func]().over(spec)))
+                added.append((out, {"ROW_NUMBER": F.row_number, "RANK": F.rank, "DENSE_RANK": F.dense_rank}[w.func]().over(spec).cast("long")))
             elif w.partition or outer is not None:
                 # Aggregates are over whole partitions, whatever their order.
                 spec = W.partitionBy(*[resolve(c) for c in w.partition])

@@ -206,11 +206,11 @@ query("agg_global", "SELECT count(*) AS n, round(sum(l_quantity), 2) AS q, round
     lambda e: e.table("lineitem").from_sub(e.table("lineitem").select(Agg.count().as_("n"), Agg.sum("l_quantity").as_("q"), Agg.avg("l_discount").as_("d"), Agg.min("l_tax").as_("lo"), Agg.max("l_tax").as_("hi")), "t")
     .select("n", Func.round(C("q"), 2).as_("q"), Func.round(C("d"), 6).as_("d"), "lo", "hi")
 )
-query("agg_global_empty", "SELECT count(*) AS n, sum(p_size) AS s, max(p_name) AS m FROM part WHERE p_size < 0")(lambda e: e.table("part").select(Agg.count().as_("n"), Agg.sum("p_size").as_("s"), Agg.max("p_name").as_("m")).where("p_size", "<", 0))
+query("agg_global_empty", "SELECT count(*) AS n, CAST(sum(p_size) AS BIGINT) AS s, max(p_name) AS m FROM part WHERE p_size < 0")(lambda e: e.table("part").select(Agg.count().as_("n"), Agg.sum("p_size").as_("s"), Agg.max("p_name").as_("m")).where("p_size", "<", 0))
 query("group_by", "SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS q FROM lineitem GROUP BY l_returnflag, l_linestatus")(
     lambda e: e.table("lineitem").from_sub(e.table("lineitem").select(Agg.count().as_("n"), Agg.sum("l_quantity").as_("q")).group_by("l_returnflag", "l_linestatus"), "t").select("l_returnflag", "l_linestatus", "n", Func.round(C("q"), 2).as_("q"))
 )
-query("group_by_expr", "SELECT year(o_orderdate) AS y, count(*) AS n FROM orders GROUP BY 1")(lambda e: e.table("orders").select(Func.year(C("o_orderdate")).as_("y"), Agg.count().as_("n")).group_by("y"))
+query("group_by_expr", "SELECT CAST(year(o_orderdate) AS INTEGER) AS y, count(*) AS n FROM orders GROUP BY 1")(lambda e: e.table("orders").select(Func.year(C("o_orderdate")).as_("y"), Agg.count().as_("n")).group_by("y"))
 query("having", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) >= 15")(lambda e: e.table("orders").select(Agg.count().as_("n")).group_by("o_custkey").having("n", ">=", 15))
 query("count_col_nulls", "SELECT d.lang, count(*) AS n, count(l.quality) AS labelled FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY d.lang")(
     lambda e: e.table("documents d").left_join("labels l", "d.doc_id", "=", "l.doc_id").select(Agg.count().as_("n"), Agg.count("l.quality").as_("labelled")).group_by("d.lang")
@@ -218,7 +218,7 @@ query("count_col_nulls", "SELECT d.lang, count(*) AS n, count(l.quality) AS labe
 query("min_max_string", "SELECT p_brand, min(p_name) AS lo, max(p_name) AS hi FROM part GROUP BY p_brand")(lambda e: e.table("part").select(Agg.min("p_name").as_("lo"), Agg.max("p_name").as_("hi")).group_by("p_brand"))
 query("first_row_column", "SELECT n_regionkey, first(n_name ORDER BY n_nationkey) AS n_name, count(*) AS n FROM nation GROUP BY n_regionkey")(lambda e: e.table("nation").select("n_name", Agg.count().as_("n")).group_by("n_regionkey"))
 query("agg_shortcut_count", "SELECT count(*) AS v FROM orders WHERE o_orderstatus = 'F'")(lambda e: _row(e.spark, v=e.table("orders").where("o_orderstatus", "F").count()))
-query("agg_shortcut_sum", "SELECT sum(p_size) AS v FROM part")(lambda e: _row(e.spark, v=e.table("part").sum("p_size")))
+query("agg_shortcut_sum", "SELECT CAST(sum(p_size) AS BIGINT) AS v FROM part")(lambda e: _row(e.spark, v=e.table("part").sum("p_size")))
 query("agg_shortcut_avg", "SELECT avg(p_size) AS v FROM part")(lambda e: _row(e.spark, v=e.table("part").avg("p_size")))
 query("agg_shortcut_min", "SELECT min(p_retailprice) AS v FROM part")(lambda e: _row(e.spark, v=e.table("part").min("p_retailprice")))
 query("agg_shortcut_max", "SELECT max(p_name) AS v FROM part")(lambda e: _row(e.spark, v=e.table("part").max("p_name")))
@@ -230,7 +230,8 @@ query("win_row_number", "SELECT o_orderkey, row_number() OVER (PARTITION BY o_cu
 query("win_rank", "SELECT p_partkey, rank() OVER (PARTITION BY p_brand ORDER BY p_size) AS r FROM part")(lambda e: e.table("part").select("p_partkey", Func.rank().partition_by("p_brand").order_by("p_size").as_("r")))
 query("win_dense_rank", "SELECT p_partkey, dense_rank() OVER (PARTITION BY p_brand ORDER BY p_size) AS r FROM part")(lambda e: e.table("part").select("p_partkey", Func.dense_rank().partition_by("p_brand").order_by("p_size").as_("r")))
 for _f in ("count", "sum", "avg", "min", "max"):
-    query(f"win_{_f}", f"SELECT p_partkey, {_f}(p_size) OVER (PARTITION BY p_brand) AS v FROM part")(lambda e, f=_f: e.table("part").select("p_partkey", getattr(Agg, f)("p_size").over().partition_by("p_brand").order_by("p_name").as_("v")))
+    _w = f"{_f}(p_size) OVER (PARTITION BY p_brand)"
+    query(f"win_{_f}", f"SELECT p_partkey, {f'CAST({_w} AS BIGINT)' if _f == 'sum' else _w} AS v FROM part")(lambda e, f=_f: e.table("part").select("p_partkey", getattr(Agg, f)("p_size").over().partition_by("p_brand").order_by("p_name").as_("v")))
 query("win_over_agg", "SELECT o_orderpriority, count(*) AS n, rank() OVER (ORDER BY count(*) DESC) AS r FROM orders GROUP BY o_orderpriority")(
     lambda e: e.table("orders").select(Agg.count().as_("n"), Func.rank().order_by_desc("n").as_("r")).group_by("o_orderpriority")
 )
@@ -261,7 +262,7 @@ query("union_side_limit", "SELECT n_name AS name FROM nation UNION ALL SELECT *
 # functions
 _DOC = "SELECT doc_id, {} AS v FROM documents"
 for _name, _make, _sql in (
-    ("upper", lambda: Func.upper(C("source")), "upper(source)"), ("lower", lambda: Func.lower(C("text")), "lower(text)"), ("length", lambda: Func.length(C("text")), "length(text)"),
+    ("upper", lambda: Func.upper(C("source")), "upper(source)"), ("lower", lambda: Func.lower(C("text")), "lower(text)"), ("length", lambda: Func.length(C("text")), "CAST(length(text) AS INTEGER)"),
     ("trim", lambda: Func.trim(Func.concat(" \t", C("source"), " \n")), "source"), ("ltrim", lambda: Func.ltrim(Func.concat(" \t", C("source"), " x ")), "source || ' x '"),
     ("rtrim", lambda: Func.rtrim(Func.concat(" x ", C("source"), " \n")), "' x ' || source"), ("substr", lambda: Func.substr(C("text"), 3, 10), "substr(text, 3, 10)"),
     ("concat", lambda: Func.concat(C("lang"), "-", C("source"), True), "lang || '-' || source || '1'"), ("replace", lambda: Func.replace(C("text"), "the", "THE"), "replace(text, 'the', 'THE')"),
@@ -274,7 +275,7 @@ for _name, _make, _sql in (
 ):
     query(f"fn_{_name}", f"SELECT c_custkey, CAST({_sql} AS DOUBLE) AS v FROM customer")(lambda e, make=_make: e.table("customer").select("c_custkey", make().as_("v")))
 for _name in ("year", "month", "day"):
-    query(f"fn_{_name}", f"SELECT o_orderkey, {_name}(o_orderdate) AS v FROM orders")(lambda e, name=_name: e.table("orders").select("o_orderkey", getattr(Func, name)(C("o_orderdate")).as_("v")))
+    query(f"fn_{_name}", f"SELECT o_orderkey, CAST({_name}(o_orderdate) AS INTEGER) AS v FROM orders")(lambda e, name=_name: e.table("orders").select("o_orderkey", getattr(Func, name)(C("o_orderdate")).as_("v")))
 query("case_when", "SELECT p_partkey, CASE WHEN p_size < 10 THEN 'small' WHEN p_size < 30 THEN 'middle' ELSE 'large' END AS v FROM part")(
     lambda e: e.table("part").select("p_partkey", CaseWhen.make().when("p_size", "<", 10).then("small").when("p_size", "<", 30).then("middle").else_("large").as_("v"))
 )
