@@ -83,7 +83,7 @@ def _with_digits(shape: str, digits: str) -> str:
 
 # What is looked for. A value is not part of a longer word or number.
 PATTERNS = {
-    "secret": r"""(?i:\b(?:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)["']?\s?[=:]\s?["']?)(?P<secret_value>[A-Za-z0-9_+/.~-]{6,})""",
+    "secret": r"""(?i:\b(?:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)["']?\s?(?:=\s?["']?|:\s?["']?(?=\S*\d)))(?P<secret_value>[A-Za-z0-9_+/.~-]{6,})""",
     "access_key": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|(?<![A-Za-z0-9])(?:ghp_|sk_live_|xoxb-)[A-Za-z0-9-]{16,}",
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?![A-Za-z0-9])",
