@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +18,14 @@ def read_table_json(spark: SparkSession, path: str, schema: T.StructType | None
     return whole.select(F.inline("rows"))
 
 
+def write_table_json(df: DataFrame, path: str, schema: dict, counter: int = 0) -> None:
+    """The same document from a table's rows: one file, so for tables that one task can hold."""
+    rows = F.collect_list(F.struct(*[F.col(f"`{c}`") for c in df.columns]))
+    head = json.dumps({"schema": schema, "auto_increment": counter})[:-1] + ', "rows": '
+    whole = df.coalesce(1).agg(F.concat(F.lit(head), F.to_json(rows, {"ignoreNullFields": "false"}), F.lit("}")).alias("value"))
+    whole.write.text(path)
+
+
 def write_json_lines(df: DataFrame, path: str, compression: str = "gzip") -> None:
     df.write.option("compression", compression).json(path)
 
