@@ -145,3 +145,20 @@ def test_ranking_in_many_tasks_is_ranking_in_one(spark, monkeypatch, func):
     assert (got == want) if func != "row_number" else sorted(r for r, _ in got) == list(range(1, 2001))
     ranks = {i: (v if v is not None else -1, w) for i, v, w in spark.range(2000).selectExpr("id", "case when id % 50 = 0 then null else id * 37 % 301 end as v", "id % 2 as w").collect()}
     assert all((-ranks[a[1]][0], ranks[a[1]][1]) <= (-ranks[b[1]][0], ranks[b[1]][1]) for a, b in zip(got, got[1:]))
+
+
+def test_plans_of_subqueries_and_joins(spark):
+    e = Engine(spark)
+    for t in ("customer", "orders", "lineitem"):
+        e.register(t, spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet"))
+    plan = lambda q: q.df()._jdf.queryExecution().executedPlan().toString()
+    cheap = e.table("customer").select("c_custkey").where("c_acctbal", "<", 0)
+    for q, kind in (
+        (e.table("orders").select("o_orderkey").where_in("o_custkey", cheap), "LeftSemi"), (e.table("orders").select("o_orderkey").where_not_in("o_custkey", cheap), "LeftAnti"),
+        (e.table("orders").select("o_orderkey").where("o_orderstatus", "F").or_where_exists(e.table("customer c").where_column("c.c_custkey", "=", "orders.o_custkey").where("c.c_acctbal", "<", 0)), "ExistenceJoin"),
+        (e.table("orders o").join_on("customer c", ConditionGroup().where_column("o.o_custkey", "=", "c.c_custkey").where_column("o.o_totalprice", ">", "c.c_acctbal")).select("o.o_orderkey"), "Inner"),
+    ):
+        text = plan(q)
+        assert kind in text and "NestedLoop" not in text and "Cartesian" not in text
+    assert "TakeOrderedAndProject" in plan(e.table("orders").select("o_orderkey").order_by("o_totalprice").limit(3))
+    assert "ReadSchema: struct<o_custkey:bigint,o_totalprice:double>" in plan(e.table("orders").select(Agg.sum("o_totalprice").as_("s")).group_by("o_custkey"))
