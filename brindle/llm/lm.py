@@ -204,7 +204,7 @@ def _summed(training: DataFrame, size: int, fill, blocks: int = 128, rough: bool
         total = np.zeros(size, np.float64)
         for batch in _batches(batches):
             fill(batch.column(0).to_pylist(), total)
-        shard = TaskContext.get().partitionId() % 64
+        shard = TaskContext.get().partitionId() % 8
         part = total.astype(np.float32)
         if rough:
             part.view(np.uint32)[:] &= np.uint32(0xFFFFF000)  # fewer digits are smaller when compressed
@@ -216,8 +216,8 @@ def _summed(training: DataFrame, size: int, fill, blocks: int = 128, rough: bool
         return pd.DataFrame({"block": [group["block"].iloc[0]], "shard": [group["shard"].iloc[0]], "sums": [zlib.compress(total.tobytes(), 1)]})
 
     schema = "block int, shard int, sums binary"
-    # A sum for each core's share of the partitions, not for each partition.
-    few = training.select("text").coalesce(4 * training.sparkSession.sparkContext.defaultParallelism)
+    # Two sums for each core, not one for each partition; eight shards of them in between.
+    few = training.select("text").coalesce(2 * training.sparkSession.sparkContext.defaultParallelism)
     parts = few.mapInArrow(run, schema).groupBy("block", "shard").applyInPandas(add, schema)
     rows = parts.groupBy("block").applyInPandas(add, schema).collect()  # ``size`` numbers
     out = np.zeros(blocks * step)
