@@ -13,8 +13,7 @@ All statistics are over all training documents: word counts; which letters stand
 beside which frequent word; features with classes.  Weights start from these
 and are moved by distributed gradient updates: each partition gives the gradient
 of its tokens, gradients are summed in blocks and the step is scaled by how often a
-feature occurs.  The gradient is taken at every ``STRIDE``-th token of each
-document, another part of them each round.
+feature occurs.  Each round takes the gradient at every token of all training documents.
 
 Counts of the ``HEAD`` most frequent words go to the executors; all others
 are joined.  Scoring works in sparse numpy batches.
@@ -48,9 +47,11 @@ CLASSES = SINGLES + CLUSTERS
 FEATURES, BITS = 4, 13
 HEAD = 1 << 18
 CELLS = 1 << 16
-STRIDE, ROUNDS = 8, 2
+ROUNDS = 2
 BATCH = 128
 PART = 2048
+#: Tokens whose gradient is held before it is summed by feature.
+WIDE = 1 << 15
 #: Bound of a weight: the sum of five is one that exp takes in single precision.
 BOUND = 16.0
 END = np.uint64(0x9E3779B97F4A7C15)
@@ -99,15 +100,14 @@ class Tokens:
         at = self.word[tokens]
         return [self.data[a:z] for a, z in zip(self.start[at].tolist(), self.stop[at].tolist())]
 
-    def features(self, at: np.ndarray | None = None) -> list[np.ndarray]:
-        """Hashed features of the history of each token, or of those ``at``; before a text's start stand nothing's features."""
+    def features(self) -> list[np.ndarray]:
+        """Hashed features of the history of each token; before a text's start stand nothing's features."""
         shift = np.uint64(64 - BITS)
-        at = np.arange(len(self.hash)) if at is None else at
-        place = self.place[at]
+        at = np.arange(len(self.hash))
 
         def before(k: int) -> np.ndarray:
             out = self.hash[np.maximum(at - k, 0)]
-            out[place < k] = np.uint64(12345 + k)
+            out[self.place < k] = np.uint64(12345 + k)
             return out
 
         one, two, three = before(1), before(2), before(3)
@@ -276,10 +276,9 @@ class Model:
         self.weights = np.clip(weights, -BOUND, BOUND).astype(np.float32)
         self.weights[-1, self.empty] = -1e4
 
-    def parts(self, t: Tokens, at: np.ndarray | None = None) -> Iterator[tuple[slice, np.ndarray, np.ndarray, list[np.ndarray]]]:
+    def parts(self, t: Tokens) -> Iterator[tuple[slice, np.ndarray, np.ndarray, list[np.ndarray]]]:
         """(which tokens, their classes, logits of all classes, features) in parts that fit a core's cache."""
-        h, cell = (t.hash, t.cell) if at is None else (t.hash[at], t.cell[at])
-        y, f = self.classes(h, cell), t.features(at)
+        y, f = self.classes(t.hash, t.cell), t.features()
         for low in range(0, len(y), PART):
             part = slice(low, low + PART)
             own = [x[part] for x in f]
@@ -357,35 +356,47 @@ def train(training: DataFrame, rounds: int = ROUNDS) -> tuple[Model, DataFrame]:
         tokens[k], words[k] = a, b
     tokens[classes.singles.tolist().index(END)], words[classes.singles.tolist().index(END)] = docs, docs > 0
     model = Model(head, classes, weights.astype(np.float32), tokens, words, n, v)
-    for i in range(rounds if docs else 0):
-        _update(training, model, seen, i)
+    for _ in range(rounds if docs else 0):
+        _update(training, model, seen)
     return model, counts
 
 
-def _update(training: DataFrame, model: Model, seen: np.ndarray, i: int) -> None:
-    """One distributed gradient step on every STRIDE-th token of every document."""
+def _update(training: DataFrame, model: Model, seen: np.ndarray) -> None:
+    """One distributed gradient step on every token of every document."""
     shared = training.sparkSession.sparkContext.broadcast(model)
     rows = len(model.weights)
 
     def gradient(texts: list, out: np.ndarray) -> None:
-        t = Tokens(texts)
-        at = np.nonzero(t.place % STRIDE == (i * 3 + t.sizes[t.text]) % STRIDE)[0]
-        if not len(at):
-            return
-        total = out.reshape(rows, CLASSES)
-        for _, y, z, features in shared.value.parts(t, at):
-            np.exp(z, out=z)
-            z /= -z.sum(axis=1, keepdims=True)
-            z[np.arange(len(y)), y] += 1
-            for f in features:
-                order = np.argsort(f, kind="stable")
-                first = np.nonzero(np.diff(f[order], prepend=-1))[0]
-                total[f[order][first]] += np.add.reduceat(z[order], first, axis=0)
-            total[-1] += z.sum(axis=0)
+        _gradient(shared.value, texts, out.reshape(rows, CLASSES))
 
     g = _summed(training, rows * CLASSES, gradient, rough=True).reshape(rows, CLASSES)
-    scale = (seen / STRIDE) * FEATURES / 2 + 3.0
-    model.set(model.weights + np.clip(g / scale, -1, 1))
+    model.set(model.weights + np.clip(g / (seen * FEATURES / 2 + 3.0), -1, 1))
+
+
+def _gradient(model: Model, texts: list, total: np.ndarray) -> None:
+    """Add the gradient of all tokens of ``texts`` to ``total``, by feature and class."""
+    slots = 1 << BITS
+    held, features, n = np.empty((CLASSES, WIDE)), np.empty((FEATURES, WIDE), np.int64), 0
+
+    def add() -> None:
+        for i in range(FEATURES):  # a class at a time: its sums of one template stay in the cache
+            own = features[i, :n] - i * slots
+            block = total[i * slots : (i + 1) * slots]
+            for low in range(0, CLASSES, 8):
+                block[:, low : low + 8] += np.stack([np.bincount(own, held[c, :n], slots) for c in range(low, low + 8)], axis=1)
+        total[-1] += held[:, :n].sum(axis=1)
+
+    for _, y, z, own in model.parts(Tokens(texts)):
+        np.exp(z, out=z)
+        z /= -z.sum(axis=1, keepdims=True)
+        z[np.arange(len(y)), y] += 1
+        if n + len(y) > WIDE:
+            add()
+            n = 0
+        held[:, n : n + len(y)] = z.T
+        features[:, n : n + len(y)] = own
+        n += len(y)
+    add()
 
 
 def score(docs: DataFrame, model: Model, counts: DataFrame, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:

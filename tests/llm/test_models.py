@@ -165,3 +165,29 @@ def test_lm_tail_is_joined(spark, monkeypatch):
     model.log_count = np.log10(model.head.counts + 1)
     got = {r["doc_id"]: (r["n_known"], round(r["base_score"], 6), round(r["score"], 2)) for r in lm.score(docs, model, counts).collect()}
     assert all(g[:2] == w[:2] and abs(g[2] - w[2]) < 0.05 for g, w in zip(got.values(), want.values())) and got.keys() == want.keys()
+
+
+def test_lm_gradient_takes_every_token(spark):
+    """One round is the sum over all tokens, ends and short texts too, of what a loop over tokens gives."""
+    texts = ["a", "", "a b", "c a b d", None, *[" ".join("w%d" % (i * k % 23) for k in range(5 + i)) for i in range(30)]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model, _ = lm.train(docs, rounds=0)
+    t = lm.Tokens(texts)
+    y, features = model.classes(t.hash, t.cell), t.features()
+    want, seen = np.zeros(model.weights.shape), np.zeros(model.weights.shape)
+    for i in range(len(y)):
+        rows = [*(f[i] for f in features), -1]
+        p = np.exp(model.weights[rows].sum(axis=0, dtype=np.float64))
+        for row in rows:
+            want[row] -= p / p.sum()
+            want[row, y[i]] += 1
+            seen[row, y[i]] += 1
+    got = np.zeros(model.weights.shape)
+    lm._gradient(model, texts, got)
+    assert np.abs(got - want).max() < 1e-4
+    after, _ = lm.train(docs, rounds=1)
+    stepped = np.clip(model.weights + np.clip(want / (seen * lm.FEATURES / 2 + 3.0), -1, 1), -lm.BOUND, lm.BOUND)
+    full = ~model.empty
+    assert np.abs(after.weights - stepped)[:, full].max() < 2e-3
+    end = model.classes.singles.tolist().index(lm.END)
+    assert want[-1, end] != 0 and np.abs((after.weights - model.weights)[-1, end] - (stepped - model.weights)[-1, end]) < 2e-3
