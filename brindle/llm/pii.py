@@ -14,7 +14,8 @@ stay valid), US social security numbers, dates in four forms, access keys
 and assigned secrets (letters stay letters, digits digits).
 
 Defined results: a null text stays null; an empty text stays empty; what does not
-validate is left alone; repeated rows have equal results; an empty table gives no
+validate is left alone, but for valid cards and IBANs of whole groups within it (undoing
+these fails should the pseudonym and the groups beside it happen to be valid as a whole); repeated rows have equal results; an empty table gives no
 rows; all columns are kept, whatever their names.
 """
 
@@ -71,6 +72,10 @@ def luhn_digit(payload: str) -> int:
     return -total % 10
 
 
+def is_card(digits: str) -> bool:
+    return luhn_digit(digits[:-1]) == int(digits[-1]) and len(set(digits)) > 1
+
+
 def iban_rest(iban: str) -> int:
     return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97
 
@@ -94,6 +99,8 @@ PATTERNS = {
     "phone": r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{2,4}(?:[ .-]?\d{2,4}){1,3}(?![\w-]|\.\d)|(?<![\w.])\+\d{8,14}(?!\w)",
 }
 SCAN = re.compile("|".join(f"(?P<{k}>{p})" for k, p in PATTERNS.items()))
+#: Kinds with check digits whose pattern may take words beside the value: parts are tried if the whole fails.
+PARTS = {k: re.compile(PATTERNS[k]) for k in ("iban", "card")}
 #: A text without any of these has nothing that is looked for.
 MAY_HAVE = re.compile(r"[0-9@=:]|AKIA|ASIA|ghp_|sk_live_|xoxb-")
 #: A date is permuted within the days of so many years, counted from 1900.
@@ -145,7 +152,7 @@ class Pseudonyms:
 
     def card(self, m: str) -> str | None:
         digits = re.sub(r"\D", "", m)
-        if luhn_digit(digits[:-1]) != int(digits[-1]) or len(set(digits)) == 1:
+        if not is_card(digits):
             return self.phone(m) if len(digits) <= 15 and m != digits else None
         n = len(digits) - 2
         payload = digits[0] + f"{self._permute(int(digits[1:-1]), 10**n, 'card' + digits[0]):0{n}d}"
@@ -214,17 +221,34 @@ class Pseudonyms:
             self.known[at] = getattr(self, kind)(text)
         return self.known[at]
 
+    def _part(self, kind: str, text: str, start: int, end: int) -> tuple[int, int, str] | None:
+        """(start, end, pseudonym) of the first, then longest valid card or IBAN of whole groups from within a match that fails."""
+        for at in [start, *(m.end() for m in re.compile("[ -]").finditer(text, start, end))] if kind in PARTS else []:
+            m = PARTS[kind].match(text, at)
+            stop = m.end() if m else 0
+            while stop > at:
+                own = text[at:stop]
+                if kind == "iban" or 13 <= len(digits := re.sub(r"\D", "", own)) and is_card(digits):
+                    if (new := self.value(kind, own)) is not None:
+                        return at, stop, new
+                stop = max(text.rfind(" ", at, stop), text.rfind("-", at, stop))
+        return None
+
     def __call__(self, text: str) -> tuple[str, list[tuple[str, int, int]]]:
         """The text with pseudonyms, and (kind, start, end) of each in it."""
         if not MAY_HAVE.search(text):
             return text, []
-        out, spans, at, size = [], [], 0, 0
-        for m in SCAN.finditer(text):
+        out, spans, at, size, low = [], [], 0, 0, 0
+        while m := SCAN.search(text, low):
             kind = m.lastgroup if m.lastgroup != "secret_value" else "secret"
             start, end = m.span("secret_value") if kind == "secret" else m.span()
+            low = m.end()
             new = self.value(kind, text[start:end])
             if new is None:
-                continue
+                if not (part := self._part(kind, text, start, end)):
+                    continue
+                start, end, new = part
+                low = end
             out += [text[at:start], new]
             size += start - at
             spans.append((kind, size, size + len(new)))

@@ -205,3 +205,23 @@ def test_license_whole_table(spark):
     for r in rows:
         own = {v for k, v in lines.items() if k in docs[r["doc_id"]].split("\n")}
         assert (r["license"] in own) if own else r["license"] is None
+
+
+@pytest.mark.parametrize("kind, value, before, after", [
+    ("card", "4111 1111 1111 1111", "exp ", " 12/27"),
+    ("card", "4111111111111111", "card ", " 123"),
+    ("card", "4111 1111 1111 1111", "no 123456 ", ""),
+    ("card", "4111-1111-1111-1111", "", "-123"),
+    ("iban", "ES91 2100 0418 4502 0005 1332", "", " EUR"),
+])
+def test_pii_values_beside_other_groups(kind, value, before, after):
+    """A valid card or IBAN is found though the pattern takes the groups beside it."""
+    text, spans = NAMES(before + value + after)
+    assert [s[0] for s in spans] == [kind]
+    assert text == before + NAMES(value)[0] + after and value not in text
+    assert UNDO(text)[0] == before + value + after
+
+
+def test_pii_invalid_cards_are_left_alone():
+    for text in ("4111 1111 1111 1112", "4111 1111 1111 1112 12/27", "ES91 2100 0418 4502 0005 1333 EUR"):
+        assert NAMES(text) == (text, [])
