@@ -5,7 +5,7 @@ a mergeable quantile sketch (KLL) of every measure is built on the map side, so
 that a source with a third of all rows is a few kilobytes when it is shuffled.
 The sketches of sources are merged to sketches of languages, and those to one of
 everything; a bucket with fewer than ``min_rows`` measured rows takes its
-parent's.  Fences replace fixed cut-offs: a measure may lie ``spread`` times the
+parent's, and everything has fences however few its rows.  Fences replace fixed cut-offs: a measure may lie ``spread`` times the
 distance of the median and the tenth of the better side beyond the median.  This half of a
 distribution is clean while less than half of a bucket is junk.  Documents are
 then joined with their bucket's fences.
@@ -122,19 +122,19 @@ def fences(measured: DataFrame, spread: float = SPREAD, min_rows: int = MIN_ROWS
     mid = low.groupBy("lang").agg(F.sum("n").alias("n"), *[F.kll_merge_agg_double(m).alias(m) for m in MEASURES])
     top = mid.agg(F.sum("n").alias("n"), *[F.kll_merge_agg_double(m).alias(m) for m in MEASURES])
 
-    def bounds(df: DataFrame, name: str, *keys: str) -> DataFrame:
+    def bounds(df: DataFrame, name: str, *keys: str, least_rows: int = min_rows) -> DataFrame:
         cols = []
         for m, (side, least) in MEASURES.items():
             middle = F.kll_sketch_get_quantile_double(m, F.lit(0.5))
             good = F.kll_sketch_get_quantile_double(m, F.lit(0.1 if side > 0 else 0.9))
             cols.append((middle + side * F.greatest(F.lit(least), spread * F.abs(middle - good))).alias(m))
-        return df.select(*keys, F.when(F.col("n") >= min_rows, F.struct(*cols)).alias(name))
+        return df.select(*keys, F.when(F.col("n") >= least_rows, F.struct(*cols)).alias(name))
 
     per_source = bounds(low, "s", "lang", "source").alias("a")
     per_lang = bounds(mid, "l", "lang").alias("b")
     joined = per_source.join(per_lang, F.col("a.lang").eqNullSafe(F.col("b.lang")), "left").select("a.lang", "a.source", "s", "l")
     # The sketch of everything is one row: a scalar subquery, NULL if there is no bucket.
-    everything = bounds(top, "t").select("t").scalar()
+    everything = bounds(top, "t", least_rows=1).select("t").scalar()
     return joined.select("lang", "source", F.coalesce("s", "l", everything).alias("fence"))
 
 

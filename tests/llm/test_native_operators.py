@@ -129,3 +129,12 @@ def test_native_operators_run_no_python(spark):
     for df in (queries.op2_quality_rules(spark, SMALL), queries.op4_decontamination(spark, SMALL)):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_quality_fences_of_few_rows(spark):
+    """Fewer than MIN_ROWS rows in all have the fence of everything."""
+    clean = [" ".join(f"word{(i * k) % 97}" for k in range(1, 80)) for i in range(1, 21)]
+    junk = " ".join(f"word{k} ###$$$" for k in range(1, 80))
+    docs = spark.createDataFrame([(i, t, "en", "web") for i, t in enumerate([*clean, junk])], "doc_id long, text string, lang string, source string")
+    assert {r["doc_id"] for r in quality.filter_quality(docs).select("doc_id").collect()} == set(range(20))
+    assert quality.filter_quality(docs.limit(0)).count() == 0
