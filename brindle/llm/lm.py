@@ -1,28 +1,30 @@
 """Language-model scoring: a hashed maximum-entropy model with a class-factored softmax.
 
-P(word | history) = P(class | history) * P(word | class).  The class model is a
-softmax over ``CLASSES`` classes whose weights are looked up by hashed features
-of the history: the word before, the two before as a pair, and the words
-two and three before alone (skips).  Within its class a word has its smoothed
-share of the class's training tokens.  The most frequent words and the end are
-classes of their own; the others are classed by their first and last letters,
-clustered by the frequent words they stand beside, so that the
-class of any word is known from its spelling.
-
-All statistics are over all training documents: word counts; which letters stand
-beside which frequent word; features with classes.  Weights start from these
-and are moved by distributed gradient updates: each partition gives the gradient
-of its tokens, gradients are summed in blocks and the step is scaled by how often a
-feature occurs.  Each round takes the gradient at every token of all training documents.
-
-Counts of the ``HEAD`` most frequent words go to the executors; all others
-are joined.  Scoring works in sparse numpy batches.
+P(word | history) = P(class | history) * P(member | class, history) * P(word | member).
+Both softmaxes look their weights up by hashed features of the history: the word
+before, the two before as a pair, and the words two and three before alone (skips);
+those of the second are hashed together with the class.  The most frequent words
+and the end are members of their own.  All others are classed by their first and
+last letters, clustered by the frequent words they stand beside, and dealt to a
+class's ``MEMBERS`` members by their hash; such a member's words share its probability by their counts.
+
+Training starts at the base (weights of zero over fixed logs of shares), so before
+training ``score`` is ``base_score``.  Each update is one distributed step of
+AdaGrad: tasks give the gradients of their tokens, which are summed as a
+tree.  The texts are dealt into ``GROUPS`` groups by hash and each update takes one of them, so an epoch
+takes the gradient at every token of every training document once.  Gradients are whole
+numbers (``SCALE``-ths), so their sums are exact and the model does not depend
+on partitions, batches or cores.
+
+Counts cover all training documents.  Those of the ``HEAD`` most frequent words go to the
+executors; all others are joined.  Words are told by 64 bits of hash in the head, by
+their bytes in the join.  Scoring works in sparse numpy batches.
 
 The model's outcomes are those of the base: the V training tokens and one more
 for all unknown words, with the base's probability 1 / (N + V + 1).
 
-Defined results: a null or empty text has the end as its only token; null ids are
-scored and, as their remainder is null, not learned from; repeated rows are scored alike; without training documents every token
+Defined results: a null or empty text has the end as its only token; a text of any length is taken whole, in
+parts of bounded memory; null ids are scored and, as their remainder is null, not learned from; repeated rows are scored alike; without training documents every token
 has probability 1; an empty table gives no rows; extra columns are ignored.
 """
 
@@ -42,21 +44,27 @@ from pyspark.sql import types as T
 
 from ._common import stored
 
-SINGLES, CLUSTERS = 32, 32
-CLASSES = SINGLES + CLUSTERS
-FEATURES, BITS = 4, 13
+CLASSES, MEMBERS = 32, 32
+#: Classes whose members are single words; the last of these is the end.
+OWN = 16
+LEAVES = CLASSES * MEMBERS
+MARKS = 32
+FEATURES, BITS = 4, 14
 HEAD = 1 << 18
 CELLS = 1 << 16
-ROUNDS = 2
+GROUPS, EPOCHS = 4, 1
+RATE = 0.5
+SCALE = 1024
 BATCH = 128
 PART = 2048
 #: Tokens whose gradient is held before it is summed by feature.
-WIDE = 1 << 15
-#: Bound of a weight: the sum of five is one that exp takes in single precision.
+WIDE = 1 << 16
+#: Partial sums that one task of the tree adds up.
+FAN = 64
+#: Bound of a weight: the sum of four is one that exp takes in single precision.
 BOUND = 16.0
 END = np.uint64(0x9E3779B97F4A7C15)
 SLOTS = 20
-NEVER = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 #: Masks that keep the first 0 to 8 bytes of a little-endian number.
 MASKS = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
@@ -102,7 +110,6 @@ class Tokens:
 
     def features(self) -> list[np.ndarray]:
         """Hashed features of the history of each token; before a text's start stand nothing's features."""
-        shift = np.uint64(64 - BITS)
         at = np.arange(len(self.hash))
 
         def before(k: int) -> np.ndarray:
@@ -112,8 +119,19 @@ class Tokens:
 
         one, two, three = before(1), before(2), before(3)
         with np.errstate(over="ignore"):
-            keys = (one * np.uint64(0x9E3779B97F4A7C15), one * np.uint64(0xC2B2AE3D27D4EB4F) + (two ^ np.uint64(0x165667B19E3779F9)) * np.uint64(0xD6E8FEB86659FD93), two * np.uint64(0xA0761D6478BD642F), three * np.uint64(0xE7037ED1A0B428DB))
-            return [((k >> shift) + np.uint64(i << BITS)).astype(np.int64) for i, k in enumerate(keys)]
+            return [one * np.uint64(0x9E3779B97F4A7C15), one * np.uint64(0xC2B2AE3D27D4EB4F) + (two ^ np.uint64(0x165667B19E3779F9)) * np.uint64(0xD6E8FEB86659FD93), two * np.uint64(0xA0761D6478BD642F), three * np.uint64(0xE7037ED1A0B428DB)]
+
+
+def rows_of(keys: list[np.ndarray], classes: np.ndarray | None = None) -> list[np.ndarray]:
+    """The row of weights of each feature, or of each feature within a class."""
+    out = []
+    for i, k in enumerate(keys):
+        if classes is not None:
+            with np.errstate(over="ignore"):
+                k = (k ^ (k >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9) + classes.astype(np.uint64) * END
+                k = (k ^ (k >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+        out.append((k >> np.uint64(64 - BITS)).astype(np.int64) + (i << BITS))
+    return out
 
 
 def _hash_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -150,21 +168,23 @@ class Head:
         return found
 
 
-class Classes:
-    """The class of a token: its own for frequent words and the end, else that of its cell."""
+class Leaves:
+    """The leaf (class and member) of a token: its own for frequent words and the end, else by its cell and its hash."""
 
-    def __init__(self, singles: np.ndarray, of_cell: np.ndarray | None = None):
-        self.singles, self.of_cell = np.append(singles, END), of_cell
-        order = np.argsort(self.singles)
-        self.order, self.sorted = order, self.singles[order]
+    def __init__(self, frequent: np.ndarray, of_cell: np.ndarray | None = None):
+        self.own, self.of_cell = np.append(frequent, END), of_cell
+        self.order = np.argsort(self.own)
+        self.sorted = self.own[self.order]
+        self.end = len(self.own) - 1
 
     def single(self, h: np.ndarray) -> np.ndarray:
+        """The place among frequent words, or -1."""
         at = np.minimum(np.searchsorted(self.sorted, h), len(self.sorted) - 1)
         return np.where(self.sorted[at] == h, self.order[at], -1)
 
     def __call__(self, h: np.ndarray, cell: np.ndarray) -> np.ndarray:
         own = self.single(h)
-        return np.where(own >= 0, own, SINGLES + self.of_cell[cell])
+        return np.where(own >= 0, own, (OWN + self.of_cell[cell]) * MEMBERS + (h >> np.uint64(59)).astype(np.int64))
 
 
 def _batches(batches, size: int = BATCH):
@@ -196,38 +216,55 @@ def word_counts(training: DataFrame) -> DataFrame:
     return training.select("text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def _summed(training: DataFrame, size: int, fill, blocks: int = 128, rough: bool = False) -> np.ndarray:
-    """The sum of ``fill(texts, total)`` over all batches; ``size`` numbers, in blocks, over two rounds of partial sums."""
+def pack(x: np.ndarray) -> bytes:
+    """Whole numbers, compressed: signs in the lowest bit, bytes of equal weight together."""
+    z = (x << 1) ^ (x >> 63)
+    return zlib.compress(z.view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+
+
+def unpack(data: bytes) -> np.ndarray:
+    z = np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(8, -1).T).view(np.int64).ravel()
+    return (z >> 1 & 0x7FFFFFFFFFFFFFFF) ^ -(z & 1)
+
+
+def _summed(texts: DataFrame, partitions: int, size: int, fill, blocks: int = 128) -> np.ndarray:
+    """The sum of ``fill(texts, total)`` over all batches: ``size`` whole numbers, added in blocks as a tree.
+
+    A task takes ``GROUPS`` partitions, so tasks grow with the input and partial sums stay a fixed share of it.
+    """
     step = -(-size // blocks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size, np.float64)
+        total = np.zeros(size)
         for batch in _batches(batches):
             fill(batch.column(0).to_pylist(), total)
-        shard = TaskContext.get().partitionId() % 8
-        part = total.astype(np.float32)
-        if rough:
-            part.view(np.uint32)[:] &= np.uint32(0xFFFFF000)  # fewer digits are smaller when compressed
-        blobs = [zlib.compress(part[i * step : (i + 1) * step].tobytes(), 1) for i in range(blocks)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(blocks), pa.int32()), pa.array([shard] * blocks, pa.int32()), pa.array(blobs, pa.binary())], ["block", "shard", "sums"])
+        shard = TaskContext.get().partitionId() // FAN
+        for i in range(blocks):
+            part = pack(total[i * step : (i + 1) * step].astype(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([shard], pa.int64()), pa.array([part], pa.binary())], ["block", "shard", "sums"])
 
     def add(group: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(zlib.decompress(x), np.float32).astype(np.float64) for x in group["sums"]).astype(np.float32)
-        return pd.DataFrame({"block": [group["block"].iloc[0]], "shard": [group["shard"].iloc[0]], "sums": [zlib.compress(total.tobytes(), 1)]})
-
-    schema = "block int, shard int, sums binary"
-    # Two sums for each core, not one for each partition; eight shards of them in between.
-    few = training.select("text").coalesce(2 * training.sparkSession.sparkContext.defaultParallelism)
-    parts = few.mapInArrow(run, schema).groupBy("block", "shard").applyInPandas(add, schema)
-    rows = parts.groupBy("block").applyInPandas(add, schema).collect()  # ``size`` numbers
-    out = np.zeros(blocks * step)
-    for r in rows:
-        got = np.frombuffer(zlib.decompress(r["sums"]), np.float32)
+        total = unpack(group["sums"].iloc[0])
+        for x in group["sums"].iloc[1:]:
+            total = total + unpack(x)
+        return pd.DataFrame({"block": [group["block"].iloc[0]], "shard": [group["shard"].iloc[0] // FAN], "sums": [pack(total)]})
+
+    schema = "block int, shard long, sums binary"
+    left = max(1, -(-partitions // GROUPS))
+    parts = texts.coalesce(left).mapInArrow(run, schema)
+    while True:
+        parts = parts.groupBy("block", "shard").applyInPandas(add, schema)
+        left = -(-left // FAN)
+        if left == 1:
+            break
+    out = np.zeros(size, np.int64)
+    for r in parts.collect():  # ``size`` numbers
+        got = unpack(r["sums"])
         out[r["block"] * step : r["block"] * step + len(got)] = got
-    return out[:size]
+    return out
 
 
-def _cluster(beside: np.ndarray, k: int = CLUSTERS, rounds: int = 25) -> np.ndarray:
+def _cluster(beside: np.ndarray, k: int = CLASSES - OWN, rounds: int = 25) -> np.ndarray:
     """A cluster for each cell: weighted spherical k-means of what stands beside it."""
     weight = beside.sum(axis=1)
     x = np.sqrt((beside + 0.0) / np.maximum(weight, 1)[:, None])
@@ -258,50 +295,96 @@ def _cluster(beside: np.ndarray, k: int = CLUSTERS, rounds: int = 25) -> np.ndar
     return out
 
 
+class Network:
+    """The two softmaxes: weights by feature, and fixed logs of the shares of classes and members."""
+
+    def __init__(self, leaves: Leaves, tokens: np.ndarray, words: np.ndarray):
+        self.leaves = leaves
+        self.mass = (tokens + words).reshape(CLASSES, MEMBERS)  # as in the base: counts and one for each different word
+        total = self.mass.sum(axis=1, keepdims=True)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            self.class_share = np.where(total[:, 0] > 0, np.log(total[:, 0] / max(1, total.sum())), -1e4).astype(np.float32)
+            self.member_share = np.where(self.mass > 0, np.log(self.mass / total), -1e4).astype(np.float32)
+        #: Rows of both softmaxes: those of classes, then those of members.
+        self.weights = np.zeros((2, FEATURES << BITS, MEMBERS), np.float32)
+
+    def parts(self, t: Tokens) -> Iterator[tuple[slice, list[tuple[np.ndarray, np.ndarray, list[np.ndarray]]]]]:
+        """(which tokens, for both softmaxes (outcomes, logits, rows)) in parts that fit a core's cache."""
+        leaf, keys = self.leaves(t.hash, t.cell), t.features()
+        for low in range(0, len(leaf), PART):
+            part = slice(low, low + PART)
+            y, own = leaf[part] // MEMBERS, [k[part] for k in keys]
+            out = []
+            for k, outcome, rows, share in ((0, y, rows_of(own), self.class_share), (1, leaf[part] % MEMBERS, rows_of(own, y), self.member_share[y])):
+                z = self.weights[k][rows[0]]
+                for x in rows[1:]:
+                    z += self.weights[k][x]
+                z += share
+                out.append((outcome, z, rows))
+            yield part, out
+
+    def log_leaf(self, t: Tokens) -> tuple[np.ndarray, np.ndarray]:
+        """Natural log probability of each token's leaf, and the leaves."""
+        logs = np.zeros(len(t.hash))
+        with np.errstate(divide="ignore", invalid="ignore"):  # leaves of unknown words may be empty; their logs are not used
+            for part, both in self.parts(t):
+                for y, z, _ in both:
+                    own = z[np.arange(len(y)), y].astype(np.float64)
+                    np.exp(z, out=z)
+                    logs[part] += own - np.log(z.sum(axis=1, dtype=np.float64))
+        return logs, self.leaves(t.hash, t.cell)
+
+    def gradient(self, texts: list, total: np.ndarray) -> None:
+        """Add the gradient of all tokens of ``texts``, in ``SCALE``-ths, to ``total`` (softmax, outcome, row)."""
+        slots, n = 1 << BITS, 0
+        held, rows = np.empty((2, MEMBERS, WIDE), np.float32), np.empty((2, FEATURES, WIDE), np.int32)
+        sums = total.reshape(2, MEMBERS, FEATURES << BITS)
+
+        def add() -> None:
+            for k in range(2):
+                for i in range(FEATURES):
+                    own = rows[k, i, :n] - i * slots
+                    for c in range(MEMBERS):
+                        sums[k, c, i * slots : (i + 1) * slots] += np.bincount(own, held[k, c, :n], slots)
+
+        for _, both in self.parts(Tokens(texts)):
+            size = len(both[0][0])
+            if n + size > WIDE:
+                add()
+                n = 0
+            for k, (y, z, own) in enumerate(both):
+                np.exp(z, out=z)
+                z *= -SCALE / z.sum(axis=1, keepdims=True)
+                np.rint(z, out=z)
+                z[np.arange(size), y] += SCALE
+                held[k, :, n : n + size] = z.T
+                rows[k, :, n : n + size] = own
+            n += size
+        add()
+
+
 class Model:
     """All that executors need to score texts."""
 
-    def __init__(self, head: Head, classes: Classes, weights: np.ndarray, class_tokens: np.ndarray, class_words: np.ndarray, n: int, v: int):
-        self.head, self.classes, self.n, self.v = head, classes, n, v
-        self.empty = class_words == 0
-        self.set(weights)
-        self.log_class = np.log10(np.maximum(1, class_tokens + class_words))
+    def __init__(self, head: Head, network: Network, n: int, v: int):
+        self.head, self.network, self.n, self.v = head, network, n, v
+        with np.errstate(divide="ignore"):
+            self.log_mass = np.log10(np.maximum(1, network.mass.ravel()))
         self.log_all = np.log10(n + v + 1)
         self.log_known = np.log10(1 - 1 / (n + v + 1)) if n else 0.0
-        own = head.counts if n else np.zeros(0)
-        self.log_count = np.log10(own + 1)
-
-    def set(self, weights: np.ndarray) -> None:
-        """New weights; a class without words has no probability."""
-        self.weights = np.clip(weights, -BOUND, BOUND).astype(np.float32)
-        self.weights[-1, self.empty] = -1e4
-
-    def parts(self, t: Tokens) -> Iterator[tuple[slice, np.ndarray, np.ndarray, list[np.ndarray]]]:
-        """(which tokens, their classes, logits of all classes, features) in parts that fit a core's cache."""
-        y, f = self.classes(t.hash, t.cell), t.features()
-        for low in range(0, len(y), PART):
-            part = slice(low, low + PART)
-            own = [x[part] for x in f]
-            z = self.weights[own[0]]
-            for x in own[1:]:
-                z += self.weights[x]
-            z += self.weights[-1]
-            yield part, y[part], z, own
-
-    def log_own(self, t: Tokens) -> tuple[np.ndarray, np.ndarray]:
-        """Natural log probability of each token's class, and the classes."""
-        out, classes = np.empty(len(t.hash)), np.empty(len(t.hash), np.int64)
-        for part, y, z, _ in self.parts(t):
-            own = z[np.arange(len(y)), y]
-            np.exp(z, out=z)
-            out[part], classes[part] = own - np.log(z.sum(axis=1)), y
-        return out, classes
-
-
-def train(training: DataFrame, rounds: int = ROUNDS) -> tuple[Model, DataFrame]:
+        self.log_count = np.log10(head.counts + 1)
+
+    def values(self, t: Tokens) -> np.ndarray:
+        """Log10 probability of each token, if it is known, without log10 of its count and one."""
+        logs, leaf = self.network.log_leaf(t)
+        return logs / np.log(10) - self.log_mass[leaf] + self.log_known
+
+
+def train(training: DataFrame, epochs: int = EPOCHS, rate: float = RATE) -> tuple[Model, DataFrame]:
     """The model learned from the texts of ``training``, and the stored counts (word, c) of all its words."""
     counts = stored(word_counts(training), "counts")
-    docs = training.count()
+    size = training.select(F.spark_partition_id().alias("part")).agg(F.count("*").alias("docs"), F.max("part").alias("last")).first()
+    docs, partitions = size["docs"], (size["last"] or 0) + 1
     total = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     n, v = (total["n"] or 0) + docs, total["v"] + (docs > 0)
     # Words by size of their count, in about 2,000 bins at most; the head is the bins from the top that fit.
@@ -312,91 +395,61 @@ def train(training: DataFrame, rounds: int = ROUNDS) -> tuple[Model, DataFrame]:
         if left < 0:
             break
         cut = r["bin"]
-    top = sorted(((bytes(r["word"]), r["c"]) for r in counts.filter(size >= cut).collect()), key=lambda x: (-x[1], x[0]))  # HEAD at most
-    top_hash = _hash_of([w for w, _ in top])[0] if top else np.zeros(0, np.uint64)
-    head = Head(np.append(top_hash, END), np.append(np.array([c for _, c in top], np.float64), docs))
-    classes = Classes(top_hash[: SINGLES - 1])
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _batches(batches, 20_000):
+            h, _ = _hash_of(batch.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), batch.column(1)], ["h", "c"])
+
+    top = counts.filter(size >= cut).mapInArrow(hashed, "h long, c long").collect()  # HEAD pairs of numbers at most, however long the words are
+    top_hash, top_count = np.array([r["h"] for r in top], np.int64).view(np.uint64), np.array([r["c"] for r in top], np.float64)
+    order = np.lexsort((top_hash, -top_count))
+    top_hash, top_count = top_hash[order], top_count[order]
+    head = Head(np.append(top_hash, END), np.append(top_count, docs))
+    leaves, marks, texts = Leaves(top_hash[: OWN * MEMBERS - 1]), Leaves(top_hash[: MARKS - 1]), training.select("text")
 
     def beside(texts: list, out: np.ndarray) -> None:
         t = Tokens(texts)
-        own = classes.single(t.hash)
+        own = marks.single(t.hash)
         for a, b in ((slice(1, None), slice(None, -1)), (slice(None, -1), slice(1, None))):
             use = (own[a] < 0) & (own[b] >= 0) & (t.text[a] == t.text[b])
-            np.add.at(out, t.cell[a][use] * SINGLES + own[b][use], 1.0)
+            np.add.at(out, t.cell[a][use] * MARKS + own[b][use], 1.0)
 
-    classes.of_cell = _cluster(_summed(training, CELLS * SINGLES, beside).reshape(CELLS, SINGLES)) if docs else np.zeros(CELLS, np.int64)
-    rows = FEATURES << BITS
+    leaves.of_cell = _cluster(_summed(texts, partitions, CELLS * MARKS, beside).reshape(CELLS, MARKS)) if docs else np.zeros(CELLS, np.int64)
+    # Tokens and different words of each leaf, over all words.
+    shared = training.sparkSession.sparkContext.broadcast(leaves)
 
-    def together(texts: list, out: np.ndarray) -> None:
-        t = Tokens(texts)
-        y = classes(t.hash, t.cell)
-        for f in t.features():
-            np.add.at(out, f * CLASSES + y, 1.0)
-        out[rows * CLASSES :] += np.bincount(y, minlength=CLASSES)
-
-    seen = _summed(training, (rows + 1) * CLASSES, together).reshape(-1, CLASSES) if docs else np.zeros((rows + 1, CLASSES))
-    share = (seen[-1] + 0.5) / (seen[-1] + 0.5).sum()
-    smooth = (seen + 20 * share) / (seen.sum(axis=1, keepdims=True) + 20)
-    weights = np.log(smooth / share) * 0.5
-    weights[-1] = np.log(share)
-    # Tokens and different words of each class, over all words.
-    shared = training.sparkSession.sparkContext.broadcast(classes)
-
-    def classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, words = np.zeros(CLASSES), np.zeros(CLASSES)
+    def of_leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, words = np.zeros(LEAVES), np.zeros(LEAVES)
         for batch in _batches(batches, 20_000):
             y = shared.value(*_hash_of(batch.column(0).to_pylist()))
-            tokens += np.bincount(y, batch.column(1).to_numpy(), CLASSES)
-            words += np.bincount(y, minlength=CLASSES)
-        yield pa.RecordBatch.from_arrays([pa.array(range(CLASSES), pa.int32()), pa.array(tokens), pa.array(words)], ["k", "tokens", "words"])
+            tokens += np.bincount(y, batch.column(1).to_numpy(), LEAVES)
+            words += np.bincount(y, minlength=LEAVES)
+        yield pa.RecordBatch.from_arrays([pa.array(range(LEAVES), pa.int32()), pa.array(tokens), pa.array(words)], ["k", "tokens", "words"])
 
-    found = counts.mapInArrow(classed, "k int, tokens double, words double").groupBy("k").agg(F.sum("tokens"), F.sum("words")).collect()
-    tokens, words = np.zeros(CLASSES), np.zeros(CLASSES)
-    for k, a, b in found:
+    tokens, words = np.zeros(LEAVES), np.zeros(LEAVES)
+    for k, a, b in counts.mapInArrow(of_leaves, "k int, tokens double, words double").groupBy("k").agg(F.sum("tokens"), F.sum("words")).collect():
         tokens[k], words[k] = a, b
-    tokens[classes.singles.tolist().index(END)], words[classes.singles.tolist().index(END)] = docs, docs > 0
-    model = Model(head, classes, weights.astype(np.float32), tokens, words, n, v)
-    for _ in range(rounds if docs else 0):
-        _update(training, model, seen)
-    return model, counts
-
-
-def _update(training: DataFrame, model: Model, seen: np.ndarray) -> None:
-    """One distributed gradient step on every token of every document."""
-    shared = training.sparkSession.sparkContext.broadcast(model)
-    rows = len(model.weights)
-
-    def gradient(texts: list, out: np.ndarray) -> None:
-        _gradient(shared.value, texts, out.reshape(rows, CLASSES))
-
-    g = _summed(training, rows * CLASSES, gradient, rough=True).reshape(rows, CLASSES)
-    model.set(model.weights + np.clip(g / (seen * FEATURES / 2 + 3.0), -1, 1))
-
-
-def _gradient(model: Model, texts: list, total: np.ndarray) -> None:
-    """Add the gradient of all tokens of ``texts`` to ``total``, by feature and class."""
-    slots = 1 << BITS
-    held, features, n = np.empty((CLASSES, WIDE)), np.empty((FEATURES, WIDE), np.int64), 0
-
-    def add() -> None:
-        for i in range(FEATURES):  # a class at a time: its sums of one template stay in the cache
-            own = features[i, :n] - i * slots
-            block = total[i * slots : (i + 1) * slots]
-            for low in range(0, CLASSES, 8):
-                block[:, low : low + 8] += np.stack([np.bincount(own, held[c, :n], slots) for c in range(low, low + 8)], axis=1)
-        total[-1] += held[:, :n].sum(axis=1)
-
-    for _, y, z, own in model.parts(Tokens(texts)):
-        np.exp(z, out=z)
-        z /= -z.sum(axis=1, keepdims=True)
-        z[np.arange(len(y)), y] += 1
-        if n + len(y) > WIDE:
-            add()
-            n = 0
-        held[:, n : n + len(y)] = z.T
-        features[:, n : n + len(y)] = own
-        n += len(y)
-    add()
+    tokens[leaves.end], words[leaves.end] = docs, docs > 0
+    shared.destroy()
+    network = Network(leaves, tokens, words)
+    squares = np.zeros(network.weights.shape)
+    for k in range(epochs * GROUPS if docs else 0):
+        group = texts.filter(F.pmod(F.xxhash64("text"), F.lit(GROUPS)) == k % GROUPS)
+        update(network, group, partitions, squares, rate)
+    return Model(head, network, n, v), counts
+
+
+def update(network: Network, texts: DataFrame, partitions: int, squares: np.ndarray, rate: float) -> None:
+    """One distributed step of AdaGrad on every token of every text; ``squares`` sums the squared gradients so far."""
+    shared = texts.sparkSession.sparkContext.broadcast(network)
+    g = _summed(texts, partitions, network.weights.size, lambda part, out: shared.value.gradient(part, out))
+    shared.destroy()
+    g = g.reshape(2, MEMBERS, FEATURES << BITS)
+    for k in range(2):
+        own = g[k].T / SCALE
+        squares[k] += own * own
+        network.weights[k] = np.clip(network.weights[k] + rate * own / (np.sqrt(squares[k]) + 1), -BOUND, BOUND)
 
 
 def score(docs: DataFrame, model: Model, counts: DataFrame, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
@@ -404,25 +457,24 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, keep: tuple[str, ...
     shared = docs.sparkSession.sparkContext.broadcast(model)
     frame = docs.select(*keep, F.col(text_col).alias("__text"))
     schema = docs.select(*keep).schema
-    rest_type = T.ArrayType(T.StructType([T.StructField("word", T.BinaryType()), T.StructField("m", T.FloatType())]))
+    rest_type = T.ArrayType(T.StructType([T.StructField("word", T.BinaryType()), T.StructField("m", T.DoubleType())]))
     for name, kind in (("rid", "long"), ("n_tokens", "long"), ("known", "long"), ("base", "double"), ("model", "double"), ("rest", rest_type)):
         schema = schema.add(name, kind)
-    struct = pa.struct([("word", pa.binary()), ("m", pa.float32())])
+    struct = pa.struct([("word", pa.binary()), ("m", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, row = shared.value, TaskContext.get().partitionId() << 33
         for batch in _batches(batches):
             t = Tokens(batch.columns[-1].to_pylist())
             place = m.head(t.hash)
-            logs, y = m.log_own(t)
-            value = logs / np.log(10) - m.log_class[y] + m.log_known
+            value = m.values(t)
             known = place >= 0
             count = np.where(known, m.log_count[place], 0.0)
             k = len(t.sizes)
             per = lambda x: np.bincount(t.text, x, k)
             tail = np.nonzero(~known)[0]
             words, at = t.bytes_of(tail), np.r_[0, np.cumsum(np.bincount(t.text[tail], minlength=k))]
-            rest = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.StructArray.from_arrays([pa.array(words, pa.binary()), pa.array(value[tail].astype(np.float32))], fields=list(struct)))
+            rest = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.StructArray.from_arrays([pa.array(words, pa.binary()), pa.array(value[tail])], fields=list(struct)))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:-1], pa.array(np.arange(row, row + k)), pa.array(t.sizes.astype(np.int64)), pa.array(per(known.astype(float)).astype(np.int64)), pa.array(per(count) - t.sizes * m.log_all), pa.array(per(np.where(known, value + count, 0.0))), rest],
                 schema.names,
@@ -437,7 +489,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, keep: tuple[str, ...
     # A known word beyond the head is rare; should an unknown one be hot, Spark splits its side of the join.
     joined = rare.join(counts, "word", "left").groupBy("rid").agg(
         F.count("c").alias("more"), F.sum(F.log10(F.coalesce("c", F.lit(0)) + 1.0)).alias("log_c"),
-        F.sum(F.when(F.col("c").isNotNull(), F.col("m").cast("double") + F.log10(F.col("c") + 1.0)).otherwise(F.lit(-float(model.log_all)))).alias("value"),
+        F.sum(F.when(F.col("c").isNotNull(), F.col("m") + F.log10(F.col("c") + 1.0)).otherwise(F.lit(-float(model.log_all)))).alias("value"),
     )
     out = first.drop("rest").join(joined, "rid", "left")
     return out.select(
