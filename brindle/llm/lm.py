@@ -54,11 +54,12 @@ HEAD = 1 << 18
 CELLS = 1 << 16
 GROUPS, EPOCHS = 4, 1
 RATE = 0.5
-SCALE = 1024
+SCALE = 512
 BATCH = 128
-PART = 2048
+PART = 1024
 #: Tokens whose gradient is held before it is summed by feature.
 WIDE = 1 << 16
+HALF = float(1 << 27)
 #: Partial sums that one task of the tree adds up.
 FAN = 64
 #: Bound of a weight: the sum of four is one that exp takes in single precision.
@@ -228,7 +229,7 @@ def unpack(data: bytes) -> np.ndarray:
 
 
 def _summed(texts: DataFrame, partitions: int, size: int, fill, blocks: int = 128) -> np.ndarray:
-    """The sum of ``fill(texts, total)`` over all batches: ``size`` whole numbers, added in blocks as a tree.
+    """The sum of what ``fill(batches of texts, total)`` adds up in each task: ``size`` whole numbers, added in blocks as a tree.
 
     A task takes ``GROUPS`` partitions, so tasks grow with the input and partial sums stay a fixed share of it.
     """
@@ -236,8 +237,7 @@ def _summed(texts: DataFrame, partitions: int, size: int, fill, blocks: int = 12
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size)
-        for batch in _batches(batches):
-            fill(batch.column(0).to_pylist(), total)
+        fill((batch.column(0).to_pylist() for batch in _batches(batches)), total)
         shard = TaskContext.get().partitionId() // FAN
         for i in range(blocks):
             part = pack(total[i * step : (i + 1) * step].astype(np.int64))
@@ -308,58 +308,74 @@ class Network:
         #: Rows of both softmaxes: those of classes, then those of members.
         self.weights = np.zeros((2, FEATURES << BITS, MEMBERS), np.float32)
 
-    def parts(self, t: Tokens) -> Iterator[tuple[slice, list[tuple[np.ndarray, np.ndarray, list[np.ndarray]]]]]:
-        """(which tokens, for both softmaxes (outcomes, logits, rows)) in parts that fit a core's cache."""
-        leaf, keys = self.leaves(t.hash, t.cell), t.features()
+    def parts(self, t: Tokens, leaf: np.ndarray) -> Iterator[tuple[slice, list[tuple[np.ndarray, np.ndarray, list[np.ndarray]]]]]:
+        """(which tokens, for both softmaxes (outcomes, logits, rows)) in parts that fit a core's cache; logits hold until the next part."""
+        y, keys = leaf // MEMBERS, t.features()
+        both = ((y, rows_of(keys)), (leaf % MEMBERS, rows_of(keys, y)))
+        logits, more = np.empty((2, PART, MEMBERS), np.float32), np.empty((PART, MEMBERS), np.float32)
         for low in range(0, len(leaf), PART):
-            part = slice(low, low + PART)
-            y, own = leaf[part] // MEMBERS, [k[part] for k in keys]
-            out = []
-            for k, outcome, rows, share in ((0, y, rows_of(own), self.class_share), (1, leaf[part] % MEMBERS, rows_of(own, y), self.member_share[y])):
-                z = self.weights[k][rows[0]]
-                for x in rows[1:]:
-                    z += self.weights[k][x]
-                z += share
-                out.append((outcome, z, rows))
+            part = slice(low, min(low + PART, len(leaf)))
+            n, out = part.stop - low, []
+            for k, (outcome, rows) in enumerate(both):
+                z, x, own = logits[k, :n], more[:n], [r[part] for r in rows]
+                np.take(self.weights[k], own[0], axis=0, out=z, mode="clip")
+                for r in own[1:]:
+                    np.take(self.weights[k], r, axis=0, out=x, mode="clip")
+                    z += x
+                if k:
+                    np.take(self.member_share, y[part], axis=0, out=x, mode="clip")
+                    z += x
+                else:
+                    z += self.class_share
+                out.append((outcome[part], z, own))
             yield part, out
 
-    def log_leaf(self, t: Tokens) -> tuple[np.ndarray, np.ndarray]:
-        """Natural log probability of each token's leaf, and the leaves."""
-        logs = np.zeros(len(t.hash))
+    def log_leaf(self, t: Tokens, leaf: np.ndarray) -> np.ndarray:
+        """Natural log probability of each token's leaf."""
+        logs, each = np.empty(len(leaf)), np.arange(PART)
         with np.errstate(divide="ignore", invalid="ignore"):  # leaves of unknown words may be empty; their logs are not used
-            for part, both in self.parts(t):
+            for part, both in self.parts(t, leaf):
+                own, total = 0.0, 1.0
                 for y, z, _ in both:
-                    own = z[np.arange(len(y)), y].astype(np.float64)
+                    own = own + z[each[: len(y)], y].astype(np.float64)
                     np.exp(z, out=z)
-                    logs[part] += own - np.log(z.sum(axis=1, dtype=np.float64))
-        return logs, self.leaves(t.hash, t.cell)
-
-    def gradient(self, texts: list, total: np.ndarray) -> None:
-        """Add the gradient of all tokens of ``texts``, in ``SCALE``-ths, to ``total`` (softmax, outcome, row)."""
-        slots, n = 1 << BITS, 0
-        held, rows = np.empty((2, MEMBERS, WIDE), np.float32), np.empty((2, FEATURES, WIDE), np.int32)
+                    total = total * z.sum(axis=1).astype(np.float64)
+                logs[part] = own - np.log(total)
+        return logs
+
+    def gradient(self, batches: Iterator[list], total: np.ndarray) -> None:
+        """Add the gradient of all tokens of all batches of texts, in ``SCALE``-ths, to ``total`` (softmax, outcome, row)."""
+        slots, half, n = 1 << BITS, MEMBERS // 2, 0
+        # Two outcomes in one double: sums of WIDE tokens stay below HALF / 2, so both are exact.
+        held, rows = np.empty((2, half, WIDE)), np.empty((2, FEATURES, WIDE), np.int64)
         sums = total.reshape(2, MEMBERS, FEATURES << BITS)
 
         def add() -> None:
             for k in range(2):
                 for i in range(FEATURES):
-                    own = rows[k, i, :n] - i * slots
-                    for c in range(MEMBERS):
-                        sums[k, c, i * slots : (i + 1) * slots] += np.bincount(own, held[k, c, :n], slots)
-
-        for _, both in self.parts(Tokens(texts)):
-            size = len(both[0][0])
-            if n + size > WIDE:
-                add()
-                n = 0
-            for k, (y, z, own) in enumerate(both):
-                np.exp(z, out=z)
-                z *= -SCALE / z.sum(axis=1, keepdims=True)
-                np.rint(z, out=z)
-                z[np.arange(size), y] += SCALE
-                held[k, :, n : n + size] = z.T
-                rows[k, :, n : n + size] = own
-            n += size
+                    own, at = rows[k, i, :n] - i * slots, slice(i * slots, (i + 1) * slots)
+                    for c in range(half):
+                        both = np.bincount(own, held[k, c, :n], slots)
+                        high = np.rint(both * (1 / HALF))
+                        sums[k, c, at] += both - high * HALF
+                        sums[k, c + half, at] += high
+
+        for t in map(Tokens, batches):
+            for _, both in self.parts(t, self.leaves(t.hash, t.cell)):
+                size = len(both[0][0])
+                if n + size > WIDE:
+                    add()
+                    n = 0
+                for k, (y, z, own) in enumerate(both):
+                    np.exp(z, out=z)
+                    z *= (-SCALE / z.sum(axis=1))[:, None]
+                    np.rint(z, out=z)
+                    z[np.arange(size), y] += SCALE
+                    held[k, :, n : n + size] = z[:, half:].T
+                    held[k, :, n : n + size] *= HALF
+                    held[k, :, n : n + size] += z[:, :half].T
+                    rows[k, :, n : n + size] = own
+                n += size
         add()
 
 
@@ -376,8 +392,8 @@ class Model:
 
     def values(self, t: Tokens) -> np.ndarray:
         """Log10 probability of each token, if it is known, without log10 of its count and one."""
-        logs, leaf = self.network.log_leaf(t)
-        return logs / np.log(10) - self.log_mass[leaf] + self.log_known
+        leaf = self.network.leaves(t.hash, t.cell)
+        return self.network.log_leaf(t, leaf) / np.log(10) - self.log_mass[leaf] + self.log_known
 
 
 def train(training: DataFrame, epochs: int = EPOCHS, rate: float = RATE) -> tuple[Model, DataFrame]:
@@ -408,12 +424,12 @@ def train(training: DataFrame, epochs: int = EPOCHS, rate: float = RATE) -> tupl
     head = Head(np.append(top_hash, END), np.append(top_count, docs))
     leaves, marks, texts = Leaves(top_hash[: OWN * MEMBERS - 1]), Leaves(top_hash[: MARKS - 1]), training.select("text")
 
-    def beside(texts: list, out: np.ndarray) -> None:
-        t = Tokens(texts)
-        own = marks.single(t.hash)
-        for a, b in ((slice(1, None), slice(None, -1)), (slice(None, -1), slice(1, None))):
-            use = (own[a] < 0) & (own[b] >= 0) & (t.text[a] == t.text[b])
-            np.add.at(out, t.cell[a][use] * MARKS + own[b][use], 1.0)
+    def beside(batches: Iterator[list], out: np.ndarray) -> None:
+        for t in map(Tokens, batches):
+            own = marks.single(t.hash)
+            for a, b in ((slice(1, None), slice(None, -1)), (slice(None, -1), slice(1, None))):
+                use = (own[a] < 0) & (own[b] >= 0) & (t.text[a] == t.text[b])
+                np.add.at(out, t.cell[a][use] * MARKS + own[b][use], 1.0)
 
     leaves.of_cell = _cluster(_summed(texts, partitions, CELLS * MARKS, beside).reshape(CELLS, MARKS)) if docs else np.zeros(CELLS, np.int64)
     # Tokens and different words of each leaf, over all words.
@@ -443,7 +459,7 @@ def train(training: DataFrame, epochs: int = EPOCHS, rate: float = RATE) -> tupl
 def update(network: Network, texts: DataFrame, partitions: int, squares: np.ndarray, rate: float) -> None:
     """One distributed step of AdaGrad on every token of every text; ``squares`` sums the squared gradients so far."""
     shared = texts.sparkSession.sparkContext.broadcast(network)
-    g = _summed(texts, partitions, network.weights.size, lambda part, out: shared.value.gradient(part, out))
+    g = _summed(texts, partitions, network.weights.size, lambda batches, out: shared.value.gradient(batches, out))
     shared.destroy()
     g = g.reshape(2, MEMBERS, FEATURES << BITS)
     for k in range(2):
