@@ -10,16 +10,20 @@ Training (Nyström): landmarks are strings that cover labelled toxic
 documents better than others, with common and confusable harmless words; the
 kernel to them, whitened by the landmarks' own kernel, gives the features of a
 linear support vector machine.  It is trained on the words of labelled sentences:
-all words of sentences of harmless documents are negative, and of each toxic document the
-word that scores highest is its witness (multiple-instance learning).  A document's
+words of sentences of harmless documents are negative, and of each toxic document the
+words that score highest are its witnesses (multiple-instance learning), if they are like a landmark and harmless documents
+do not have them as often; documents may be labelled toxic for other reasons.  Of
+documents that share most words only one is learned from.  Each round makes the harmless words that score highest
+negatives and landmarks too.  A document's
 score is that of its worst word, calibrated by a logistic curve.  As subsequences have explicit
 features, the trained machine is one weight for each subsequence.
 
-The fit uses a sample of labelled rows, up to ``TOXIC`` and ``HARMLESS`` documents;
-every document is scored by all words of its whole text.
+The fit uses a sample of labelled rows, about ``TOXIC`` and ``HARMLESS`` documents, drawn by a hash of
+the id, of texts of up to ``FIT_BYTES`` bytes; every document is scored by all words of its whole text.  The value of a window with unit features is at most that with the least length its letters can have, so words are
+ordered by this bound and exact values are computed until a text's greatest one is exact.
 
 Defined results: null and empty texts have the score of a text without a
-suspicious word; labels of null are ignored, of several labels of an id the highest counts;
+suspicious word; a text of any length is scored whole; repeated rows have equal results, and of several texts of one id the least is learned from; labels of null are ignored, of several labels of an id the highest counts;
 without labels of both kinds every score is the share of toxic labels; equal texts have equal
 scores; an empty table gives no rows; extra columns are ignored.
 """
@@ -27,6 +31,7 @@ scores; an empty table gives no rows; extra columns are ignored.
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -37,9 +42,16 @@ from pyspark.sql import functions as F
 
 from ._common import crc_mod
 
-#: Bounds of the labelled sample.
+#: Bounds of the labelled sample, in documents and in bytes of each.
 TOXIC, HARMLESS = 1500, 2500
+FIT_BYTES = 100_000
 LANDMARKS, BACKGROUND = 64, 64
+#: Rounds of training, and the harmless words that each adds to the landmarks.
+ROUNDS, HARD = 4, 24
+#: A toxic document's witnesses are its words of at least this share of its greatest value.
+NEAR = 0.9
+#: Kernel to a landmark from which a word can be a first witness.
+LIKE = 0.6
 DECAY = 0.6
 SPAN = 7
 WINDOW = 8
@@ -47,7 +59,7 @@ GRAM = 5
 THRESHOLD = 0.3
 ALPHABET = 48
 CACHE_WORDS = 400_000
-#: Values above this are computed with exact lengths of features.
+#: In training, bounds above this are replaced by exact values when words are ordered.
 HIGH = 0.5
 #: (second, third): places of a subsequence's letters after its first.
 PATTERNS = [(a, b) for b in range(2, SPAN) for a in range(1, b)]
@@ -112,8 +124,8 @@ class Words:
         squares = np.add.reduceat(v, first) ** 2 if len(first) else v
         return np.sqrt(np.maximum(1e-12, np.bincount(key[first] // ALPHABET**3, squares, len(windows))))
 
-    def scores(self, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each word the greatest value of its windows, and where that window starts."""
+    def scores(self, weights: np.ndarray, high: float = HIGH) -> tuple[np.ndarray, np.ndarray]:
+        """For each word the greatest value of its windows, and which window has it; values up to ``high`` are bounds."""
         value = np.zeros(len(self.start))
         for b, at, codes in self.subsequences():
             total = np.zeros(len(self.codes) + 1)
@@ -121,10 +133,10 @@ class Words:
             total = np.cumsum(total)
             value += total[np.maximum(self.end - b, self.start)] - total[self.start]
         value /= NORMS[self.end - self.start]
-        # Letters that come again make a window's features longer; that only lowers a value, and matters to high ones.
-        high = np.nonzero(value > HIGH)[0]
-        if len(high):
-            value[high] *= NORMS[(self.end - self.start)[high]] / self.norms(high)
+        # Letters that come again make a window's features longer, which only lowers a value.
+        inexact = np.nonzero(value > high)[0]
+        if len(inexact):
+            value[inexact] *= NORMS[(self.end - self.start)[inexact]] / self.norms(inexact)
         best, where = np.zeros(self.n), np.full(self.n, -1)
         order = np.argsort(value, kind="stable")
         order = order[value[order] > 0]
@@ -212,6 +224,26 @@ def _grams(word: str) -> list[str]:
     return [plain[i : i + GRAM] for i in range(len(plain) - GRAM + 1)]
 
 
+def _different(docs: list[list[str]]) -> list[list[str]]:
+    """``docs`` without those that share most words with one before: copies would make any of their words look toxic."""
+    factors = np.random.default_rng(4).integers(1 << 62, size=16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    seen: dict[tuple[int, int], list[int]] = {}
+    least, out = [], []
+    for words in docs:
+        if not words:
+            continue
+        h = np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words], np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        own = (factors[:, None] * h).min(axis=1)
+        near = {j for k, x in enumerate(own.tolist()) for j in seen.get((k, x), ())}
+        if any((least[j] == own).sum() >= 8 for j in near):
+            continue
+        for k, x in enumerate(own.tolist()):
+            seen.setdefault((k, x), []).append(len(least))
+        least.append(own)
+        out.append(words)
+    return out
+
+
 def _landmarks(toxic: list[list[str]], harmless: list[list[str]]) -> list[str]:
     """Strings that cover toxic documents: greedily, each the one that covers most that are left."""
 
@@ -222,13 +254,20 @@ def _landmarks(toxic: list[list[str]], harmless: list[list[str]]) -> list[str]:
     seen: Counter[str] = Counter()
     for d in toxic:
         seen.update(of(d))
-    often = {g for g, n in seen.items() if n >= 3}
+    strings, often = len(seen), {g for g, n in seen.items() if n >= 3}
     seen = Counter({g: seen[g] for g in often})
     good: Counter[str] = Counter()
     for d in harmless:
         good.update(of(d) & often)
     share = len(harmless) / max(1, len(toxic))
-    clear = {g for g in often if seen[g] * share > 12 * (good[g] + 1)}
+    # Of so many strings some meet toxic documents alone by chance: Chernoff's bound for one, times their number, is under a tenth.
+    chance, needed = 1 / (1 + share), math.log(10 * strings)
+
+    def surprise(g: str) -> float:
+        n, q = seen[g] + good[g], seen[g] / (seen[g] + good[g])
+        return n * (q * math.log(q / chance) + (1 - q) * math.log((1 - q) / (1 - chance) if q < 1 else 1.0))
+
+    clear = {g for g in often if seen[g] * share > 12 * (good[g] + 1) and surprise(g) > needed}
     holders: dict[str, set[int]] = {g: set() for g in clear}
     words_of: dict[str, Counter[str]] = {g: Counter() for g in clear}
     for i, d in enumerate(toxic):
@@ -239,7 +278,7 @@ def _landmarks(toxic: list[list[str]], harmless: list[list[str]]) -> list[str]:
                     words_of[g][w] += 1
     chosen, cover = [], Counter()
     for _ in range(LANDMARKS):
-        gain = {g: sum(0.25 ** cover[i] for i in h) - (good[g] + 1) / share for g, h in holders.items()}
+        gain = {g: sum(0.7 ** cover[i] for i in h) - (good[g] + 1) / share for g, h in holders.items()}
         if not gain or max(gain.values()) < 2:
             break
         g = max(sorted(gain), key=gain.get)
@@ -271,43 +310,52 @@ class Machine:
 
     def __init__(self, weights: np.ndarray | None, bias: float, slope: float, shift: float):
         self.weights, self.bias, self.slope, self.shift = weights, bias, slope, shift
+        #: Values of words, exact for those in ``exact``, else bounds.
         self.cache: dict[str, float] = {}
+        self.exact: set[str] = set()
 
     def __getstate__(self):
-        return {**self.__dict__, "cache": {}}
-
-    def values(self, words: list[str]) -> np.ndarray:
-        return Words(words).scores(self.weights)[0] if words else np.zeros(0)
+        return {**self.__dict__, "cache": {}, "exact": set()}
 
     def worst(self, texts: list[list[str]]) -> np.ndarray:
         """The greatest value of the words of each text; 0 if it has none."""
         if len(self.cache) > CACHE_WORDS:
             self.cache.clear()
-        cache = self.cache
-        missing = list({w for t in texts for w in t if w not in cache})
-        for low in range(0, len(missing), 20_000):
-            part = missing[low : low + 20_000]
-            cache.update(zip(part, self.values(part).tolist()))
-        return np.array([max(map(cache.__getitem__, t), default=0.0) for t in texts])
+            self.exact.clear()
+        known, exact = self.cache, self.exact
+        missing = list({w for t in texts for w in t if w not in known})
+        known.update(zip(missing, valued(missing, self.weights, math.inf).tolist()))
+        out, left = np.zeros(len(texts)), [i for i, t in enumerate(texts) if t]
+        while left:  # those whose greatest value is only a bound
+            tops = {i: max(texts[i], key=known.__getitem__) for i in left}
+            ask = list({w for w in tops.values() if w not in exact})
+            known.update(zip(ask, valued(ask, self.weights, 0.0).tolist()))
+            left, done = [i for i in left if tops[i] not in exact], [i for i in left if tops[i] in exact]
+            exact.update(ask)
+            for i in done:
+                out[i] = known[tops[i]]
+        return out
 
     def __call__(self, texts: list[str | None]) -> list[float]:
         if self.weights is None:
             return [self.shift] * len(texts)
-        f = self.worst([instances(t) for t in texts]) + self.bias
+        f = np.minimum(1.0, self.worst([instances(t) for t in texts]) + self.bias)
         return (1 / (1 + np.exp(-np.clip(self.slope * f + self.shift, -50, 50)))).tolist()
 
 
-def valued(words: list[str], weights: np.ndarray) -> np.ndarray:
+def valued(words: list[str], weights: np.ndarray, high: float = HIGH) -> np.ndarray:
     """The value of each word, in parts of bounded memory."""
-    return np.concatenate([np.zeros(0), *(Words(words[i : i + 20_000]).scores(weights)[0] for i in range(0, len(words), 20_000))])
+    return np.concatenate([np.zeros(0), *(Words(words[i : i + 20_000]).scores(weights, high)[0] for i in range(0, len(words), 20_000))])
 
 
 def train(toxic: list[str | None], harmless: list[str | None]) -> Machine:
     pool: dict[str, str] = {}  # each different word once in memory
     bad, good = ([[pool.setdefault(w, w) for w in instances(t)] for t in texts] for texts in (toxic, harmless))
+    share = len(bad) / max(1, len(bad) + len(good))
+    bad, good = _different(bad), _different(good)
     marks = _landmarks(bad, good) if bad and good else []
     if not marks:
-        return Machine(None, 0.0, 0.0, len(bad) / max(1, len(bad) + len(good)))
+        return Machine(None, 0.0, 0.0, share)
     words = Counter(w for d in good for w in d)
     common = [w for w, _ in words.most_common(BACKGROUND // 2)]
     # Harmless words that are most like a landmark are both landmarks and hard negatives.
@@ -318,20 +366,22 @@ def train(toxic: list[str | None], harmless: list[str | None]) -> Machine:
     order = np.argsort(-valued(all_words, nearness), kind="stable")
     like = [all_words[i] for i in order[: BACKGROUND // 2]]
     marks = list(dict.fromkeys([*marks, *common, *like]))
-    columns = dense(marks)
-    own = columns.T @ columns
-    value, vector = np.linalg.eigh(own.astype(np.float64))
-    white = (vector / np.sqrt(np.maximum(value, 1e-6))) @ vector.T * (value > 1e-6).any()
     rng = np.random.default_rng(5)
     hard = {all_words[i] for i in order[:4000]} | {all_words[i] for i in rng.choice(len(all_words), min(4000, len(all_words)), replace=False)}
     negatives = sorted(hard)
     machine = None
-    bad_words = sorted({w for d in bad for w in d})
-    weights = nearness  # the first witnesses are the words most like a landmark
-    for _ in range(3):
+    # A word that harmless documents have too is no witness: documents may be labelled toxic for other reasons.
+    seen = Counter(w for d in bad for w in d)
+    suspects = [[w for w in d if 5 * words[w] * len(bad) < seen[w] * len(good)] for d in bad]
+    bad_words = sorted({w for d in suspects for w in d})
+    weights, least = nearness, LIKE  # the first witnesses are the words most like a landmark
+    for _ in range(ROUNDS):
+        columns = dense(marks)
+        value, vector = np.linalg.eigh((columns.T @ columns).astype(np.float64))
+        white = (vector / np.sqrt(np.maximum(value, 1e-6))) @ vector.T * (value > 1e-6).any()
         value = dict(zip(bad_words, valued(bad_words, weights).tolist()))
-        tops = [max(d, key=value.__getitem__) for d in bad if d]
-        witnesses = _windows([w for w in tops if value[w] > 0], weights)
+        tops = [w for d in suspects if d for top in [max(map(value.__getitem__, d))] if top > least for w in d if value[w] >= NEAR * top]
+        witnesses = _windows(tops, weights)
         negative = _windows(negatives, weights)
         both = witnesses + negative
         z = kernel_to(both, columns) @ white
@@ -339,11 +389,12 @@ def train(toxic: list[str | None], harmless: list[str | None]) -> Machine:
         share = np.r_[np.full(len(witnesses), 1 / max(1, len(witnesses))), np.full(len(negative), 1 / max(1, len(negative)))]
         v, bias = _svm(z, y, share)
         weights = (columns @ (white @ v)).astype(np.float64)
-        machine = Machine(weights, bias, 1.0, 0.0)
-        # The harmless words with the greatest values become negatives too.
+        machine, least = Machine(weights, bias, 1.0, 0.0), -bias
+        # The harmless words with the greatest values become negatives too, and those above the border landmarks.
         order = np.argsort(-valued(all_words, weights), kind="stable")
         negatives = sorted({*negatives, *(all_words[i] for i in order[:2000])})
-    f = np.r_[machine.worst(bad), machine.worst(good)] + machine.bias
+        marks = list(dict.fromkeys([*marks, *_windows([all_words[i] for i in order[:HARD]], weights)]))
+    f = np.minimum(1.0, np.r_[machine.worst(bad), machine.worst(good)] + machine.bias)  # beyond the witnesses' side of the margin all is alike
     machine.slope, machine.shift = _calibrate(f, np.r_[np.ones(len(bad)), np.zeros(len(good))])
     return machine
 
@@ -383,10 +434,11 @@ def sample(docs: DataFrame, labels: DataFrame, modulus: int = 4, held: int = 2,
     part = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(17)), F.lit(1_000_003)) / 1_000_003.0
     share = {t: min(1.0, bound / max(1, sizes.get(t, 0))) for t, bound in ((True, toxic), (False, harmless))}
     drawn = rows.filter(part <= F.when(F.col("toxic") > 0, F.lit(share[True])).otherwise(F.lit(share[False]))).select("doc_id", "toxic")
-    # About toxic + harmless ids at most: a bound that does not grow with the tables.
-    texts = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("text", "toxic").collect()
-    texts.sort(key=lambda r: (r["toxic"], r["text"] or ""))
-    return [r["text"] for r in texts if r["toxic"] > 0][: 2 * toxic], [r["text"] for r in texts if r["toxic"] <= 0][: 2 * harmless]
+    # About toxic + harmless ids of FIT_BYTES each at most: a bound that does not grow with the tables.
+    short = docs.filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= FIT_BYTES).select("doc_id", "text")
+    rows = short.join(F.broadcast(drawn), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect()
+    rows.sort(key=lambda r: (r["toxic"], r["text"] or ""))
+    return [r["text"] for r in rows if r["toxic"] > 0], [r["text"] for r in rows if r["toxic"] <= 0]
 
 
 def score(docs: DataFrame, machine: Machine, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
