@@ -1,7 +1,9 @@
 """Licence scans: TF-IDF cosine to templates, then inheritance from directories.
 
 The passages of a file that can hold a licence are its lines and sentences with a
-licence term and the block of lines around them.  Each is a sparse TF-IDF
+licence term, and windows of words: wherever a text has one of a template's
+``ANCHORS``, a window of the template's length is laid so that the two anchors
+meet.  A licence is thus found in any line, however long, and over any number of lines.  Each passage is a sparse TF-IDF
 vector of words and word pairs; its licence is that of the template of greatest
 cosine, if that reaches ``THRESHOLD``.  Document frequencies count in how many
 files each term of a template occurs, over all files; a term that is in no template has
@@ -12,7 +14,7 @@ its text) rules its directory.  A file without a licence of its own takes that o
 nearest ancestor directory that has one: the distinct directories, not
 the files, are expanded to their ancestors and joined with the ruled ones.
 
-Defined results: null and empty texts have no licence of their own; a file with
+Defined results: null and empty texts have no licence of their own; a text of any length is scanned whole; a file with
 a null path inherits nothing; ties go to the licence that sorts first, in a
 directory to the file of greatest cosine and then smallest path; repeated rows have equal results; an
 empty table gives no rows; extra columns are ignored.
@@ -32,8 +34,6 @@ from pyspark.sql import functions as F
 from ._common import stored
 
 THRESHOLD = 0.55
-BLOCK_LINES = 24
-LONGEST = 400
 #: Notices by SPDX identifier, short and long forms.
 TEMPLATES = {
     "Apache-2.0": [
@@ -64,13 +64,19 @@ TEMPLATES = {
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the Mozilla Public License, version 2.0.", "SPDX-License-Identifier: MPL-2.0"],
     "Unlicense": ["This is free and unencumbered software released into the public domain.", "SPDX-License-Identifier: Unlicense"],
 }
-MAY_HAVE = re.compile(r"licen[sc]|copyright|spdx|redistribut|permission is hereby|public domain|free software|\bcc0?\b", re.I)
-WORD = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*", re.I)
+MAY_HAVE = re.compile(r"licen[sc]|copyright|spdx|redistribut|permission is hereby|public domain|free software|unencumbered|\bcc0?\b", re.I)
+#: Words of a template by which it is laid over a text; each template has one.
+ANCHORS = re.compile(r"licen[sc]|copyright|spdx|redistribut|unencumbered|cc0")
+WORD = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")
 LICENSE_NAME = r"(?i)^(licen[cs]e|copying|unlicense|notice)([._-].*)?$"
 
 
-def terms(text: str) -> Counter[str]:
-    words = [w.lower() for w in WORD.findall(text)]
+def words_of(text: str) -> list[str]:
+    return WORD.findall(text.lower())
+
+
+def terms(words: list[str]) -> Counter[str]:
+    """How often each word and each pair of words that touch occurs."""
     return Counter(words + [f"{a} {b}" for a, b in zip(words, words[1:])])
 
 
@@ -81,10 +87,16 @@ class Scanner:
         self.df, self.n = df, n
         self.names: list[str] = []
         self.lists: dict[str, list[tuple[int, float]]] = {}
+        #: Of each anchor: where it stands in a template, and the template's length.
+        self.anchors: dict[str, set[tuple[int, int]]] = {}
         for name, texts in sorted((templates or TEMPLATES).items()):
             for text in texts:
-                weights = self.weights(terms(text))
+                words = words_of(text)
+                weights = self.weights(terms(words))
                 norm = math.sqrt(sum(x * x for x in weights.values()))
+                for i, w in enumerate(words):
+                    if ANCHORS.search(w):
+                        self.anchors.setdefault(w, set()).add((i, len(words)))
                 for t, x in weights.items():
                     self.lists.setdefault(t, []).append((len(self.names), x / norm))
                 self.names.append(name)
@@ -93,8 +105,8 @@ class Scanner:
         rare = math.log1p(self.n) + 1
         return {t: (1 + math.log(c)) * (math.log((1 + self.n) / (1 + d)) + 1 if (d := self.df.get(t)) is not None else rare) for t, c in counts.items()}
 
-    def best(self, passage: str) -> tuple[str | None, float]:
-        weights = self.weights(terms(passage))
+    def best(self, words: list[str]) -> tuple[str | None, float]:
+        weights = self.weights(terms(words))
         norm = math.sqrt(sum(x * x for x in weights.values()))
         sums: dict[int, float] = {}
         for t, x in weights.items():
@@ -110,40 +122,28 @@ class Scanner:
         found: tuple[str | None, float, float] = (None, 0.0, 0.0)
         if not text or not MAY_HAVE.search(text):
             return found
-        size = max(1, len(text.split()))
-        for passage in passages(text):
+        words = words_of(text)
+        for passage in self.passages(text, words):
             name, cosine = self.best(passage)
             if name and cosine >= THRESHOLD and cosine > found[1] + 1e-9:
-                found = (name, cosine, min(1.0, len(passage.split()) / size))
+                found = (name, cosine, len(passage) / len(words))
         return found
 
-
-def passages(text: str) -> Iterator[str]:
-    """Lines with a licence term, their sentences, and the paragraphs of lines around them (each once)."""
-    lines = text.split("\n")
-    done = -1
-    for i, line in enumerate(lines):
-        if not MAY_HAVE.search(line):
-            continue
-        for sentence in re.split(r"(?<=[.!?;])\s+(?=[A-Z])", line) if line.count(" ") > 12 else [line]:
-            if MAY_HAVE.search(sentence) and sentence.count(" ") < LONGEST:
-                yield sentence
-        if i > done:
-            low = i
-            while low > 0 and i - low < BLOCK_LINES and lines[low - 1].strip():
-                low -= 1
-            high = i + 1
-            while high < len(lines) and high - i < BLOCK_LINES and lines[high].strip():
-                high += 1
-            done = high - 1
-            block = " ".join(lines[low:high])
-            if high - low > 1 and block.count(" ") < 4 * LONGEST:
-                yield block
+    def passages(self, text: str, words: list[str]) -> Iterator[list[str]]:
+        """Words of lines and sentences with a licence term, and windows of templates' lengths that meet at anchors."""
+        for line in text.split("\n"):
+            if MAY_HAVE.search(line):
+                for sentence in re.split(r"(?<=[.!?;])\s+(?=[A-Z])", line):
+                    if MAY_HAVE.search(sentence):
+                        yield words_of(sentence)
+        windows = {(max(0, at - i), max(0, at - i + size)) for at, w in enumerate(words) if w in self.anchors for i, size in self.anchors[w]}
+        for low, high in sorted(windows):
+            yield words[low:high]
 
 
 def frequencies(files: DataFrame, text_col: str = "text") -> tuple[dict[str, int], int]:
     """In how many files each template term occurs, over all files, and the number of files."""
-    vocabulary = {t for texts in TEMPLATES.values() for x in texts for t in terms(x)}
+    vocabulary = {t for texts in TEMPLATES.values() for x in texts for t in terms(words_of(x))}
     words = sorted({w for t in vocabulary for w in t.split()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,9 +151,9 @@ def frequencies(files: DataFrame, text_col: str = "text") -> tuple[dict[str, int
         known = set(words)
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                # Words of the vocabulary and pairs of them that touch.
-                own = [w if w in known else None for w in (text or "").lower().replace(",", " ").replace(". ", " ").split()]
-                found = {w for w in own if w}
+                # Terms of the vocabulary: words, and pairs of them that touch.
+                own = [w if w in known else None for w in words_of(text or "")]
+                found = {w for w in own if w in vocabulary}
                 found |= {p for a, b in zip(own, own[1:]) if a and b and (p := f"{a} {b}") in vocabulary}
                 counts.update(found)
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["term", "n"])
