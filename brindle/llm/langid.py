@@ -8,12 +8,14 @@ greatest cosine.  A text farther from its centroid than nearly all of that
 centroid's own texts is marked as rejected.
 
 Document frequencies count all training documents.  Centroids are fitted on a sample
-of about ``SAMPLE`` documents a language, drawn by language, each language in a task of its own.
+of up to ``SAMPLE`` different texts a language: those of least hash, so the sample, and with it the model, does not
+depend on partitions.  Its vectors, not its texts, meet in a task for each language, so
+that task's memory is bounded.  A text's score is computed from that text alone.
 
 Defined results: ``und`` with score 0 for null texts, for texts without a
 letter, and for all texts if nothing was learned; rows with a null language are
-not learned from; equal texts have equal results; ties go to the language that
-sorts first; an empty table gives no rows.
+not learned from; a text of any length is taken whole, in parts; equal texts, and so repeated rows, have equal results; ties go to the language that
+sorts first; an empty table gives no rows; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,13 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import stored
-
 BITS = 13
 DIMS = 1 << BITS
 CENTROIDS = 4
-#: Bound of the fit: about so many documents of each language.
+#: Bound of the fit: so many different texts of each language.
 SAMPLE = 1000
+BIN_BITS = 16
 ROUNDS = 12
 #: Share of a centroid's own texts that lie beyond its rejection distance.
 REJECTED_SHARE = 0.005
@@ -61,12 +62,17 @@ def counts(text: str) -> np.ndarray:
     return total
 
 
-def vectors(texts: list[str], idf: np.ndarray) -> np.ndarray:
-    out = np.empty((len(texts), DIMS), np.float32)
-    for i, t in enumerate(texts):
-        out[i] = np.log1p(counts(t)) * idf
-    norm = np.linalg.norm(out, axis=1, keepdims=True)
-    return out / np.maximum(norm, 1e-9)
+def sparse(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """(hashed n-grams that occur, how often)."""
+    found = counts(text)
+    dims = np.nonzero(found)[0]
+    return dims, found[dims]
+
+
+def weighted(dims: np.ndarray, n: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """The weights of a text's n-grams as a unit vector."""
+    x = np.log1p(n) * idf[dims]
+    return (x / max(1e-9, float(np.sqrt((x * x).sum())))).astype(np.float32)
 
 
 def _training(docs: DataFrame) -> DataFrame:
@@ -115,18 +121,20 @@ def fit_centroids(x: np.ndarray, k: int = CENTROIDS) -> tuple[np.ndarray, np.nda
 
 class Model:
     def __init__(self, idf: np.ndarray, languages: list[str], centres: np.ndarray, bounds: np.ndarray):
-        self.idf, self.languages, self.centres, self.bounds = idf, languages, centres, bounds
+        self.idf, self.languages, self.bounds = idf, languages, bounds
+        #: A row for each n-gram, so that a text takes those of its own.
+        self.centres = np.ascontiguousarray(centres.T)
+
+    def one(self, text: str | None) -> tuple[str, float, bool]:
+        if not self.languages or not has_letter(text):
+            return UNKNOWN, 0.0, True
+        dims, n = sparse(text)
+        near = (self.centres[dims] * weighted(dims, n, self.idf)[:, None]).sum(axis=0)
+        best = int(near.argmax())
+        return self.languages[best], float(min(1.0, max(0.0, near[best]))), bool(near[best] < self.bounds[best])
 
     def __call__(self, texts: list[str | None]) -> list[tuple[str, float, bool]]:
-        out: list[tuple[str, float, bool]] = [(UNKNOWN, 0.0, True)] * len(texts)
-        known = [i for i, t in enumerate(texts) if has_letter(t)] if len(self.languages) else []
-        for low in range(0, len(known), 256):
-            part = known[low : low + 256]
-            near = vectors([texts[i] for i in part], self.idf) @ self.centres.T
-            best = near.argmax(axis=1)
-            for i, j, c in zip(part, best, near[np.arange(len(part)), best]):
-                out[i] = (self.languages[j], float(min(1.0, max(0.0, c))), bool(c < self.bounds[j]))
-        return out
+        return [self.one(t) for t in texts]
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE, k: int = CENTROIDS) -> Model:
@@ -134,23 +142,49 @@ def fit(docs: DataFrame, sample: int = SAMPLE, k: int = CENTROIDS) -> Model:
     training = _training(docs)
     df, n = _frequencies(training)
     idf = np.log((1 + n) / (1 + df)).astype(np.float32) + 1
-    sizes = {r["lang"]: r["n"] for r in training.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
+    # A language's hashes are counted in ``2 ** BIN_BITS`` bins, each text once; the first bins that hold a sample are drawn.
+    hashed = training.withColumn("h", F.xxhash64("text"))
+    each = hashed.select("lang", F.shiftrightunsigned("h", 64 - BIN_BITS).cast("int").alias("bin"), "h").distinct()
+    sizes: dict[str, dict[int, int]] = {}
+    for r in each.groupBy("lang", "bin").agg(F.count("*").alias("n")).collect():  # 2 ** BIN_BITS rows a language at most
+        sizes.setdefault(r["lang"], {})[r["bin"]] = r["n"]
     if not sizes:
         return Model(idf, [], np.zeros((0, DIMS), np.float32), np.zeros(0))
-    drawn = training.sampleBy("lang", {v: min(1.0, 2 * sample / c) for v, c in sizes.items()}, seed=11)
+    limits = {lang: _last_bin(own, 2 * sample) for lang, own in sizes.items()}
+    limit = F.create_map(*[F.lit(x) for pair in limits.items() for x in pair])[F.col("lang")]
+    drawn = hashed.filter(F.shiftrightunsigned("h", 64 - BIN_BITS) <= limit).select("lang", "h", "text").distinct()
+
+    def vector(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            known = [(lang, h, *sparse(t)) for lang, h, t in zip(*(c.to_pylist() for c in batch.columns)) if has_letter(t)]
+            lang, h, dims, n = zip(*known) if known else ((),) * 4
+            yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(h, pa.int64()), pa.array([d.astype(np.int32).tobytes() for d in dims], pa.binary()), pa.array([x.astype(np.int64).tobytes() for x in n], pa.binary())], ["lang", "h", "dims", "n"])
 
     def clusters(group: pd.DataFrame) -> pd.DataFrame:
-        texts = [t for t in group["text"] if has_letter(t)][:sample]
-        if not texts:
-            return pd.DataFrame({"lang": [], "centre": [], "bound": []})
-        centres, bounds = fit_centroids(vectors(texts, idf), k)
+        group = group.sort_values(["h", "dims", "n"])[:sample]
+        x = np.zeros((len(group), DIMS), np.float32)
+        for i, (dims, n) in enumerate(zip(group["dims"], group["n"])):
+            at = np.frombuffer(dims, np.int32)
+            x[i, at] = weighted(at, np.frombuffer(n, np.int64), idf)
+        centres, bounds = fit_centroids(x, k)
         return pd.DataFrame({"lang": group["lang"].iloc[0], "centre": [c.tolist() for c in centres], "bound": bounds})
 
-    rows = stored(drawn.groupBy("lang").applyInPandas(clusters, "lang string, centre array<float>, bound double"), "centroids").collect()
-    rows.sort(key=lambda r: (r["lang"], r["bound"]))
+    vectors = drawn.mapInArrow(vector, "lang string, h long, dims binary, n binary")
+    rows = vectors.groupBy("lang").applyInPandas(clusters, "lang string, centre array<float>, bound double").collect()  # k rows a language
+    rows.sort(key=lambda r: (r["lang"], r["bound"], r["centre"]))
     return Model(idf, [r["lang"] for r in rows], np.array([r["centre"] for r in rows], np.float32).reshape(-1, DIMS), np.array([r["bound"] for r in rows]))
 
 
+def _last_bin(sizes: dict[int, int], wanted: int) -> int:
+    """The bin with which the first ones hold ``wanted`` texts, or the last bin."""
+    total = 0
+    for i in sorted(sizes):
+        total += sizes[i]
+        if total >= wanted:
+            return i
+    return 1 << BIN_BITS
+
+
 def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
     """The columns ``keep``, lang_pred, score and rejected; only the text decides."""
     spark = docs.sparkSession
