@@ -1,16 +1,18 @@
 """Quality rules with adaptive thresholds.
 
 A document is measured in one pass of built-in functions.  For each language and source
-a mergeable quantile sketch (KLL) of every measure is built on the map side, so
-that a source with a third of all rows is a few kilobytes when it is shuffled.
-The sketches of sources are merged to sketches of languages, and those to one of
+a mergeable quantile sketch of every measure is counted: bins whose borders grow by a fixed factor, so a
+quantile is known within ``ACCURACY`` of its value.  Counts add up exactly, in any order, so thresholds do not depend
+on partitions, retries or runs.  A source with a third of all rows is a few hundred counts a
+task when it is shuffled.
+The sketches of sources are added up to sketches of languages, and those to one of
 everything; a bucket with fewer than ``min_rows`` measured rows takes its
 parent's, and everything has fences however few its rows.  Fences replace fixed cut-offs: a measure may lie ``spread`` times the
-distance of the median and the tenth of the better side beyond the median.  This half of a
+distance of the median and the tenth of the better side beyond the median, and no fence is nearer to the median than a least distance of its measure.  This half of a
 distribution is clean while less than half of a bucket is junk.  Documents are
 then joined with their bucket's fences.
 
-Defined results: a null text has no words and fails; null languages and sources
+Defined results: a null text has no words and fails; a text of any length is measured whole; null languages and sources
 are buckets of their own; an empty table gives no rows; extra columns are kept
 by ``filter_quality`` whatever their names; repeated rows are judged alike.
 """
@@ -19,7 +21,9 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from math import log
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import SPACES, let, stored
@@ -39,9 +43,13 @@ MEASURES = {
 }
 SPREAD = 6.0
 MIN_ROWS = 200
-SKETCH_K = 400
-#: Fences of up to so many buckets (about 100 bytes each) are broadcast; more are joined with salts.
-BROADCAST_BUCKETS = 100_000
+#: Relative accuracy of a quantile, and the factor between borders of bins that it takes.
+ACCURACY = 0.01
+FACTOR = (1 + ACCURACY) / (1 - ACCURACY)
+#: The bin of zero, below those of all other values.
+ZERO = -(1 << 30)
+#: Fences of up to so many bytes are broadcast; more are joined with salts.
+BROADCAST_BYTES = 32 << 20
 SALTS = 32
 MINIMUM_WORDS, MOST_REPEATED = 50, 50
 
@@ -86,7 +94,7 @@ def base_measures(text: Column) -> Column:
             s["w"]["r"].alias("n_repeat_words"),
             s["l"]["n"].alias("n_lines"),
             (chars - _without(text, PUNCTUATION)).alias("n_punctuation"),
-            (chars - _without(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZÄÖÜÉÈÀÇÑÓÍ")).alias("n_upper"),
+            F.regexp_count(text, F.lit(r"\p{Lu}")).cast("long").alias("n_upper"),
         ),
     )
 
@@ -111,24 +119,37 @@ def rates(q: Column) -> Column:
     )
 
 
-def fences(measured: DataFrame, spread: float = SPREAD, min_rows: int = MIN_ROWS, k: int = SKETCH_K) -> DataFrame:
+def sketches(measured: DataFrame) -> DataFrame:
+    """(lang, source, m, bin, n): how many rows of ``measured`` (lang, source, rate) have measure ``m`` in each bin."""
+    rate = F.col("rate")
+    cells = F.array(*[F.struct(F.lit(i).alias("m"), F.when(rate[m] > 0, F.ceil(F.log(rate[m]) / log(FACTOR)).cast("int")).otherwise(F.lit(ZERO)).alias("bin")) for i, m in enumerate(MEASURES)])
+    return measured.select("lang", "source", F.inline(cells)).groupBy("lang", "source", "m", "bin").agg(F.count("*").alias("n"))
+
+
+def fences(measured: DataFrame, spread: float = SPREAD, min_rows: int = MIN_ROWS) -> DataFrame:
     """(lang, source, fence): bounds of each measure in each bucket of ``measured`` (lang, source, rate).
 
     Rows that fail the base rules are not in the sketches.
     """
-    # Sums and sketches are partial before the shuffle: a row for each bucket and task.
-    low = measured.groupBy("lang", "source").agg(F.count("*").alias("n"), *[F.kll_sketch_agg_double(F.col("rate")[m], F.lit(k)).alias(m) for m in MEASURES])
-    low = stored(low, "sketches")
-    mid = low.groupBy("lang").agg(F.sum("n").alias("n"), *[F.kll_merge_agg_double(m).alias(m) for m in MEASURES])
-    top = mid.agg(F.sum("n").alias("n"), *[F.kll_merge_agg_double(m).alias(m) for m in MEASURES])
+    low = stored(sketches(measured), "sketches")
+    mid = low.groupBy("lang", "m", "bin").agg(F.sum("n").alias("n"))
+    top = mid.groupBy("m", "bin").agg(F.sum("n").alias("n"))
 
     def bounds(df: DataFrame, name: str, *keys: str, least_rows: int = min_rows) -> DataFrame:
+        # A sketch has a bounded number of bins, whatever its number of rows.
+        whole = Window.partitionBy(*keys, "m")
+        ranked = df.select("*", F.sum("n").over(whole.orderBy("bin")).alias("upto"), F.sum("n").over(whole).alias("all"))
+        value = F.when(F.col("bin") == ZERO, F.lit(0.0)).otherwise(F.pow(F.lit(FACTOR), F.col("bin")) * (2 / (1 + FACTOR)))
+
+        def quantile(tenths: int) -> Column:
+            return F.min(F.when(F.col("upto") * 10 >= F.col("all") * tenths, value))
+
+        found = ranked.groupBy(*keys, "m").agg(quantile(5).alias("middle"), quantile(1).alias("one"), quantile(9).alias("nine"), F.first("all").alias("n"))
         cols = []
-        for m, (side, least) in MEASURES.items():
-            middle = F.kll_sketch_get_quantile_double(m, F.lit(0.5))
-            good = F.kll_sketch_get_quantile_double(m, F.lit(0.1 if side > 0 else 0.9))
-            cols.append((middle + side * F.greatest(F.lit(least), spread * F.abs(middle - good))).alias(m))
-        return df.select(*keys, F.when(F.col("n") >= least_rows, F.struct(*cols)).alias(name))
+        for i, (m, (side, least)) in enumerate(MEASURES.items()):
+            fence = F.col("middle") + side * F.greatest(F.lit(least), spread * F.abs(F.col("middle") - F.col("one" if side > 0 else "nine")))
+            cols.append(F.max(F.when(F.col("m") == i, fence)).alias(m))
+        return found.groupBy(*keys).agg(*cols, F.max("n").alias("n")).select(*keys, F.when(F.col("n") >= least_rows, F.struct(*MEASURES)).alias(name))
 
     per_source = bounds(low, "s", "lang", "source").alias("a")
     per_lang = bounds(mid, "l", "lang").alias("b")
@@ -153,7 +174,8 @@ def assess(docs: DataFrame, keep: dict[str, Column], lang_col: str = "lang", sou
     found = stored(fences(measured.filter(~base_failed(F.col("q"))), **kw), "fences")
     a, b = measured.alias("a"), found.alias("b")
     same = F.col("a.lang").eqNullSafe(F.col("b.lang")) & F.col("a.source").eqNullSafe(F.col("b.source"))
-    if found.count() <= BROADCAST_BUCKETS:
+    size = found.select(F.sum(F.coalesce(F.octet_length("lang"), F.lit(0)) + F.coalesce(F.octet_length("source"), F.lit(0)) + 16 + 8 * len(MEASURES)).alias("bytes")).first()["bytes"] or 0
+    if size <= BROADCAST_BYTES:
         joined = a.join(F.broadcast(b), same, "left")
     else:
         a = measured.withColumn("salt", F.pmod(F.xxhash64("q", "lang"), F.lit(SALTS)).cast("int")).alias("a")
