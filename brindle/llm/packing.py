@@ -10,8 +10,8 @@ partition offsets by a prefix sum; the second pass adds both offsets and cuts
 each document at the boundaries of the fixed windows.  A document that crosses a
 boundary yields one boundary record, called a piece, for each window it meets.
 
-Defined results: a null text is an empty text (its only id is the end id); a
-null id stays null; repeated rows are separate documents; an empty table gives no
+Defined results: a null text is an empty text (its only id is the end id); a text of any length is encoded whole; a
+null id stays null; an added token of the file (such as ``<|endoftext|>``) written in a text has that token's id, as the file says; repeated rows are separate documents; an empty table gives no
 pieces; columns besides the id and the text are ignored, whatever their names.
 """
 
@@ -31,8 +31,9 @@ from ._common import stored
 
 END_ID = 1
 LENGTH = 2048
-#: Beyond Latin, Greek and Cyrillic letters the two libraries may follow different Unicode versions.
-FARTHER = re.compile("[^\x00-\u04ff]")
+#: Characters from here on go to the exact path; the class of each one below is compared.
+FARTHEST = 0x500
+FARTHER = re.compile(f"[^\x00-{chr(FARTHEST - 1)}]")
 #: The split of byte-level BPE files of this kind (a fixed value; the files themselves only say ``use_regex``).
 SPLIT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -49,19 +50,21 @@ class TextEncoder:
 
     The file's ids are in the order of its merges, so its vocabulary is a table of
     ranks, with which ``tiktoken`` gives the same ids at several times the speed and
-    without a cache.  Texts with letters on which the two could differ, and a
-    sample of the others as a check, go to ``tokenizers``; if the file is of another
-    kind or the check ever fails, all texts do.
+    without a cache.  This holds for a text if both libraries split it alike and merge each piece alike.  How a text is split
+    depends on its characters' classes alone, so the classes of all characters below ``FARTHEST`` are compared when
+    an encoder is made, and texts with others go to ``tokenizers``, as do texts with an added token.  Pieces are merged
+    in the order of ranks by both; ``tiktoken`` also takes a piece that is a word of the
+    vocabulary as that word, so each word must be what its own merges lead to.  If a comparison fails or the file is of another
+    kind, all texts go to ``tokenizers``.
     """
 
-    CHECKED = 64
-
     def __init__(self, file: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
-        self.tokenizer.encode_special_tokens = True
-        self.fast, self.left = self._fast(file), self.CHECKED
+        self.fast, self.added = self._fast(file)
+        if self.fast is not None and not self._alike():
+            self.fast = None
 
     @staticmethod
     def _fast(file: str):
@@ -70,35 +73,52 @@ class TextEncoder:
         with open(file, encoding="utf-8") as f:
             known = json.load(f)
         kind, model = known.get("pre_tokenizer") or {}, known["model"]
-        if kind.get("type") != "ByteLevel" or kind.get("add_prefix_space") or not kind.get("use_regex") or known.get("normalizer") or model.get("type") != "BPE":
-            return None
-        letters, special = byte_letters(), {t["content"] for t in known.get("added_tokens", ())}
-        ranks = {bytes(letters[c] for c in word): i for word, i in model["vocab"].items() if word not in special}
-        merged = [bytes(letters[c] for c in "".join(m.split(" ") if isinstance(m, str) else m)) for m in model["merges"]]
-        if [ranks.get(m) for m in merged] != list(range(256, 256 + len(merged))):
-            return None
-        return tiktoken.Encoding("ranks", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+        plain = not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+        if kind.get("type") != "ByteLevel" or kind.get("add_prefix_space") or not kind.get("use_regex") or known.get("normalizer") or model.get("type") != "BPE" or not plain:
+            return None, None
+        letters, added = byte_letters(), [t["content"] for t in known.get("added_tokens", ())]
+        ranks = {bytes(letters[c] for c in word): i for word, i in model["vocab"].items() if word not in added}
+        pairs = [tuple(bytes(letters[c] for c in x) for x in (m.split(" ") if isinstance(m, str) else m)) for m in model["merges"]]
+        if [ranks.get(a + b) for a, b in pairs] != list(range(256, 256 + len(pairs))) or len(ranks) != 256 + len(pairs):
+            return None, None
+        order = {p: i for i, p in enumerate(pairs)}
+        if any(_merged(a + b, order) != 1 for a, b in pairs):
+            return None, None
+        return tiktoken.Encoding("ranks", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}), re.compile("|".join(map(re.escape, added))) if added else None
+
+    def _alike(self) -> bool:
+        """Whether both libraries split around each character alike."""
+        probes = [f"a{c}a{c}1{c}1 {c} {c}{c}!{c}! {c}a  {c}" for c in map(chr, range(FARTHEST))]
+        return self.exact(probes) == [array("I", self.fast.encode_ordinary(t)).tobytes() for t in probes]
 
     def exact(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _far(self, text: str) -> bool:
+        return (not text.isascii() and FARTHER.search(text) is not None) or (self.added is not None and self.added.search(text) is not None)
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         if self.fast is None:
             return self.exact(texts)
         encode = self.fast.encode_ordinary
-        out = [None if not t.isascii() and FARTHER.search(t) else array("I", encode(t)).tobytes() for t in texts]
+        out = [None if self._far(t) else array("I", encode(t)).tobytes() for t in texts]
         far = [i for i, x in enumerate(out) if x is None]
         for i, x in zip(far, self.exact([texts[i] for i in far])):
             out[i] = x
-        if self.left > 0:
-            sample = texts[: self.left]
-            self.left -= len(sample)
-            if self.exact(sample) != out[: len(sample)]:
-                self.fast = None
-                return self.exact(texts)
         return out
 
 
+def _merged(word: bytes, ranks: dict[tuple[bytes, bytes], int]) -> int:
+    """How many parts are left of a word after all merges."""
+    parts = [word[i : i + 1] for i in range(len(word))]
+    while len(parts) > 1:
+        rank, at = min((ranks.get(p, len(ranks)), i) for i, p in enumerate(zip(parts, parts[1:])))
+        if rank == len(ranks):
+            break
+        parts[at : at + 2] = [parts[at] + parts[at + 1]]
+    return len(parts)
+
+
 _encoders: dict[str, TextEncoder] = {}
 
 
