@@ -5,15 +5,16 @@ the calendar), mapped to an index within their format, permuted there by a keyed
 Feistel network with cycle walking and written back with the same separators.
 The permutation depends on the key and the kind only, so equal values
 have equal pseudonyms in all documents and formats, different values different
-ones, and whoever holds the key can undo it (but for dates with strokes whose
+ones, and whoever holds the key can undo it (but for dates with strokes or hyphens whose
 day and month could change places).
 
-Kinds: e-mail addresses (the registered domain stays), telephone numbers (country code
-stays), IPv4 addresses, payment cards (Luhn stays valid), IBANs (check digits
-stay valid), US social security numbers, dates in four forms, access keys
-and assigned secrets (letters stay letters, digits digits).
+Kinds: e-mail addresses (the registered domain stays), telephone numbers (a country code after ``+`` or
+``00`` stays and is told by its first digits, so spaces do not matter), IPv4 addresses, payment cards (Luhn stays valid), IBANs (check digits
+stay valid), US social security numbers, dates in five forms (the time of a timestamp stays), access keys
+and assigned secrets (letters stay letters, digits digits).  A national number is told from an international one
+by its signs alone: without ``+``, ``00`` or the North American form its country is not known.
 
-Defined results: a null text stays null; an empty text stays empty; what does not
+Defined results: a null text stays null; an empty text stays empty; a text of any length is read whole; what does not
 validate is left alone, but for valid cards and IBANs of whole groups within it (undoing
 these fails should the pseudonym and the groups beside it happen to be valid as a whole); repeated rows have equal results; an empty table gives no
 rows; all columns are kept, whatever their names.
@@ -80,6 +81,20 @@ def iban_rest(iban: str) -> int:
     return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97
 
 
+def phone_form(plus: bool, digits: str) -> tuple[int, str, bool]:
+    """(digits that stay, country code or "", whether it is a North American number)."""
+    lead, code = 2 * (not plus and digits.startswith("00")), ""
+    if plus or lead:
+        code = next((c for c in SHORT_CODES if digits.startswith(c, lead)), digits[lead : lead + 3])
+    elif len(digits) == 11 and digits[0] == "1":
+        code = "1"
+    rest = digits[lead + len(code) :]
+    american = code in ("", "1") and len(rest) == 10 and rest[0] in "23456789" and rest[3] in "23456789"
+    if not (plus or lead or american):
+        code = ""
+    return lead + len(code), code, american
+
+
 def _with_digits(shape: str, digits: str) -> str:
     """``shape`` with its digits replaced in order."""
     rest = iter(digits)
@@ -94,7 +109,7 @@ PATTERNS = {
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?![A-Za-z0-9])",
     "ip": r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
-    "date": r"(?<![\w/.-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![\w/-]|\.\d)",
+    "date": r"(?<![\w/.-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}-\d{1,2}-\d{4})(?:(?=T\d)|(?![\w/-]|\.\d))",
     "card": r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w-]|\.\d)",
     "phone": r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{2,4}(?:[ .-]?\d{2,4}){1,3}(?![\w-]|\.\d)|(?<![\w.])\+\d{8,14}(?!\w)",
 }
@@ -103,6 +118,8 @@ SCAN = re.compile("|".join(f"(?P<{k}>{p})" for k, p in PATTERNS.items()))
 PARTS = {k: re.compile(PATTERNS[k]) for k in ("iban", "card")}
 #: A text without any of these has nothing that is looked for.
 MAY_HAVE = re.compile(r"[0-9@=:]|AKIA|ASIA|ghp_|sk_live_|xoxb-")
+#: Country codes of one and of two digits; all others have three (fixed values).
+SHORT_CODES = "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
 #: A date is permuted within the days of so many years, counted from 1900.
 BLOCK_YEARS = 200
 
@@ -153,7 +170,7 @@ class Pseudonyms:
     def card(self, m: str) -> str | None:
         digits = re.sub(r"\D", "", m)
         if not is_card(digits):
-            return self.phone(m) if len(digits) <= 15 and m != digits else None
+            return self.phone(m) if m != digits else None
         n = len(digits) - 2
         payload = digits[0] + f"{self._permute(int(digits[1:-1]), 10**n, 'card' + digits[0]):0{n}d}"
         return _with_digits(m, payload + str(luhn_digit(payload)))
@@ -181,8 +198,8 @@ class Pseudonyms:
         parts = re.split(r"\D", m)
         year_first = len(parts[0]) == 4
         year, month, day = map(int, parts if year_first else reversed(parts))
-        american = not year_first and "/" in m and (day <= 12 or month > 12)
-        if american:  # month/day/year, unless only the other order is a date
+        american = not year_first and (("/" in m and day <= 12) or ("." not in m and month > 12))
+        if american:  # month first: with strokes if it can be, with hyphens only if the other order is no date
             month, day = day, month
         try:
             at = date(year, month, day).toordinal()
@@ -202,16 +219,19 @@ class Pseudonyms:
 
     def phone(self, m: str) -> str | None:
         digits = re.sub(r"\D", "", m)
-        if not 8 <= len(digits) <= 15:
+        lead, code, american = form = phone_form(m[0] == "+", digits)
+        if not 8 <= len(digits) - 2 * (m[0] != "+" and digits.startswith("00")) <= 15:
             return None
-        if len(digits) - (digits[0] == "1" and len(digits) == 11) == 10 and digits[-10] in "23456789" and digits[-7] in "23456789":
-            a, b = int(digits[-10:-7]) - 200, int(digits[-7:-4]) - 200
-            value, last = divmod(self._permute((a * 800 + b) * 10_000 + int(digits[-4:]), 800 * 800 * 10_000, "phone"), 10_000)
-            a, b = divmod(value, 800)
-            return _with_digits(m, digits[:-10] + f"{a + 200}{b + 200}{last:04d}")
-        kept = len(re.match(r"\+?(\d*)", m).group(1)) if m[0] == "+" and not m[1:].isdigit() else 2 if m[0] == "+" else 0
-        n = len(digits) - kept
-        return _with_digits(m, digits[:kept] + f"{self._permute(int(digits[kept:]), 10**n, 'phone' + digits[:kept]):0{n}d}")
+        rest = digits[lead:]
+        while True:  # a value that is no number of the same form is permuted again
+            if american:
+                value, last = divmod(self._permute(((int(rest[:3]) - 200) * 800 + int(rest[3:6]) - 200) * 10_000 + int(rest[6:]), 800 * 800 * 10_000, "phone"), 10_000)
+                a, b = divmod(value, 800)
+                rest = f"{a + 200}{b + 200}{last:04d}"
+            else:
+                rest = f"{self._permute(int(rest), 10 ** len(rest), 'phone' + code):0{len(rest)}d}"
+            if phone_form(m[0] == "+", digits[:lead] + rest) == form:
+                return _with_digits(m, digits[:lead] + rest)
 
     def value(self, kind: str, text: str) -> str | None:
         at = (kind, text)
@@ -249,6 +269,8 @@ class Pseudonyms:
                     continue
                 start, end, new = part
                 low = end
+            if kind == "card" and not is_card(re.sub(r"\D", "", text[start:end])):
+                kind = "phone"
             out += [text[at:start], new]
             size += start - at
             spans.append((kind, size, size + len(new)))
