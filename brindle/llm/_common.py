@@ -17,33 +17,53 @@ LOWER = UPPER.lower()
 SPACES = r"[\x20\x09-\x0D]+"
 
 
-_written: list[tuple[SparkSession, str]] = []
+_written: dict[str, SparkSession] = {}
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     This cuts the lineage: a lost executor costs only its running tasks, as
-    the files are on shared storage.  Files go when the driver exits.
+    the files are on shared storage.  Files go when they are discarded or the driver exits.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.option("compression", "zstd").parquet(path)
     if not _written:
-        atexit.register(_remove_written)
-    _written.append((spark, path))
-    return spark.read.schema(schema).parquet(path)
+        atexit.register(discard_all)
+    _written[path] = spark
+    df.write.option("compression", "zstd").parquet(path)
+    found = spark.read.schema(schema).parquet(path)
+    found._stored_at = path
+    return found
+
+
+def stored_alone(make, name: str) -> DataFrame:
+    """``stored(make(), name)`` without the files that ``make`` has stored on the way."""
+    before = set(_written)
+    found = stored(make(), name)
+    for path in set(_written) - before - {found._stored_at}:
+        _remove(path)
+    return found
+
 
+def discard(df: DataFrame) -> None:
+    """Remove the files of what ``stored`` gave, once nothing is made of them any more."""
+    _remove(df._stored_at)
 
-def _remove_written() -> None:
-    for spark, path in _written:
-        try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-        except Exception:  # noqa: BLE001 - the session may be gone already; nothing is lost
-            return
+
+def _remove(path: str) -> None:
+    spark = _written.pop(path)
+    try:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    except Exception:  # noqa: BLE001 - the session may be gone already; nothing is lost
+        return
+
+
+def discard_all() -> None:
+    for path in list(_written):
+        _remove(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,7 +88,7 @@ def crc_mod(doc_id, modulus: int):
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node each node of ``edges`` can reach.
 
-    Alternates "large star" and "small star" steps until no edge changes; the
+    Alternates "large star" and "small star" steps until the edges are stars around smallest nodes; the
     number of rounds grows with the logarithm of a component's size and no
     round holds more than about the number of edges.  A star's centre is a
     minimum over its neighbours, so a hub is pre-aggregated on the map side and
@@ -76,8 +96,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     e = edges.select(F.greatest(a, b).alias("v"), F.least(a, b).alias("u")).filter("v != u").distinct()
     e = stored(e, "edges")
-    before = None
-    while True:
+    while not _are_stars(e):
         both = e.unionByName(e.select(F.col("u").alias("v"), F.col("v").alias("u")))
         least = both.groupBy("v").agg(F.min("u").alias("m"))
         large = (
@@ -92,11 +111,15 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             .select(F.explode(F.array(F.struct(F.col("v").alias("v"), F.col("m").alias("u")), F.struct(F.col("u").alias("v"), F.col("m").alias("u")))).alias("p"))
             .select("p.v", "p.u").filter("v != u").distinct()
         )
+        discard(e)
         e = stored(small, "edges")
-        # A stable forest of stars has one edge for each node, and the sum of centres no longer falls.
-        now = e.agg(F.count("*"), F.countDistinct("v"), F.sum(F.hash("v", "u").cast("long"))).first()
-        if now == before:
-            break
-        before = now
+        discard(large)
     centres = e.select("u").distinct().select(F.col("u").alias("node"), F.col("u").alias("component"))
     return e.select(F.col("v").alias("node"), F.col("u").alias("component")).unionByName(centres)
+
+
+def _are_stars(e: DataFrame) -> bool:
+    """Whether each node has one smaller neighbour and that one has none: then it is the least of its component."""
+    if not e.groupBy("v").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+        return False
+    return e.join(e.select(F.col("u").alias("v")).distinct(), "v", "left_semi").isEmpty()

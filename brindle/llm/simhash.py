@@ -13,9 +13,16 @@ at most two bits exactly if they share a midpoint, that is a value one bit away
 or equal, so each emits its 65 midpoints, and what meets at one
 (65 fingerprints at most) is linked as a star.  No link is lost.
 
+``deduplicate`` is about texts whose sets of five-word shingles have a similarity
+(Jaccard) of 0.8 or more.  Such texts differ in about ten of 64 bits, and no choice of pigeonhole blocks both finds
+them and parts the others, so further candidates come from blocks of another kind: bands of ``BAND``
+least hashes of the shingles under ``PERMUTATIONS`` permutations.  In each band a text meets the first and the
+last text there, so a bucket of any size gives two pairs a text at most.  All candidates,
+those of the fingerprints' blocks too, are verified by the share of permutations in which they agree.
+
 Defined results: a null or empty text and one without words have fingerprint
 zero and are linked as any other; with fewer words than a shingle, the whole
-sequence is the shingle; null ids never name a component unless all its ids are
+sequence is the shingle; a text of any length is taken whole, in parts; null ids never name a component unless all its ids are
 null; repeated rows are linked; an empty table gives no rows; extra columns are
 kept by ``deduplicate`` whatever their names.
 """
@@ -29,6 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ._common import components, stored
 
@@ -39,27 +47,55 @@ BLOCKS = 5
 BUCKET = 32
 #: Hashes whose bits are counted at once; a longer text is counted in parts.
 PART = 1 << 15
+#: For whole texts: words of a shingle, least similarity, permutations, and how many of them a band has.
+WIDE_SHINGLE, SIMILARITY = 5, 0.8
+PERMUTATIONS, BAND = 240, 8
+#: Odd numbers: multiplication by one permutes hashes.
+FACTORS = np.random.default_rng(9).integers(1 << 63, size=PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """The fingerprint as a signed 64-bit integer."""
+def _words(text: str | None) -> list[bytes]:
+    return text.encode("utf-8", "surrogatepass").lower().split() if text else []  # bytes: A-Z and ASCII white space only
+
+
+def _digests(words: list[bytes], shingle: int) -> Iterator[np.ndarray]:
+    """The hashes of all shingles as rows of eight bytes, in parts."""
     from xxhash import xxh64_digest
 
-    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []  # bytes: A-Z and ASCII white space only
-    if not words:
-        return 0
-    if len(words) <= shingle:
-        return int.from_bytes(xxh64_digest(b" ".join(words), SEED), "big", signed=True)
+    if words and len(words) <= shingle:
+        yield np.frombuffer(xxh64_digest(b" ".join(words), SEED), np.uint8).reshape(1, 8)
+        return
     n = len(words) - shingle + 1
-    counts = np.zeros(64, np.int64)
     for low in range(0, n, PART):
         columns = [words[low + k : min(n, low + PART) + k] for k in range(shingle)]
-        digests = b"".join([xxh64_digest(s, SEED) for s in map(b" ".join, zip(*columns))])
-        bits = np.unpackbits(np.frombuffer(digests, np.uint8).reshape(-1, 8), axis=1)
-        counts += bits.sum(axis=0, dtype=np.int32)
+        yield np.frombuffer(b"".join([xxh64_digest(s, SEED) for s in map(b" ".join, zip(*columns))]), np.uint8).reshape(-1, 8)
+
+
+def _majority(parts: list[np.ndarray]) -> int:
+    """The fingerprint of hashes as a signed 64-bit integer."""
+    counts, n = np.zeros(64, np.int64), 0
+    for x in parts:
+        counts += np.unpackbits(x, axis=1).sum(axis=0, dtype=np.int32)
+        n += len(x)
     return int.from_bytes(np.packbits(counts * 2 > n).tobytes(), "big", signed=True)
 
 
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """The fingerprint as a signed 64-bit integer."""
+    return _majority(_digests(_words(text), shingle))
+
+
+def signature(parts: list[np.ndarray]) -> np.ndarray:
+    """16 bits of the least hash under each permutation; zeros without a shingle."""
+    least = np.full(PERMUTATIONS, np.iinfo(np.uint64).max, np.uint64)
+    for x in parts:
+        h = x.view(">u8").ravel().astype(np.uint64)
+        for low in range(0, len(h), 512):
+            np.minimum(least, (FACTORS[:, None] * h[low : low + 512]).min(axis=1), out=least)
+    least ^= least >> np.uint64(31)
+    return (least * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(48)).astype(np.uint16)
+
+
 def _fingerprints(column) -> pa.Array:
     return pa.array([fingerprint(t) for t in column.to_pylist()], pa.int64())
 
@@ -131,17 +167,68 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(found, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
+def with_signature(docs: DataFrame, text_col: str, keep: tuple[str, ...], shingle: int = WIDE_SHINGLE) -> DataFrame:
+    """The columns ``keep``, whole (128 bits that tell a text's words), fp, sig and bands of each row."""
+    frame = docs.select(*keep, F.col(text_col).alias("__text"))
+    schema = docs.select(*keep).schema.add("whole", "binary").add("fp", "long").add("sig", "binary").add("bands", T.ArrayType(T.LongType()))
+
+    def of(text: str | None) -> tuple[bytes, int, bytes, list[int]]:
+        from xxhash import xxh3_128_digest, xxh64_intdigest
+
+        words = _words(text)
+        parts = list(_digests(words, shingle))
+        sig = signature(parts)
+        bands = [xxh64_intdigest(band.tobytes(), i) for i, band in enumerate(sig.reshape(-1, BAND))] if words else []
+        return xxh3_128_digest(b" ".join(words)), _majority(parts), sig.tobytes(), [b - (1 << 64) if b >> 63 else b for b in bands]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for low in range(0, whole.num_rows, 1024):
+                batch = whole.slice(low, 1024)
+                found = zip(*map(of, batch.columns[-1].to_pylist()))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(x, k) for x, k in zip(found, (pa.binary(), pa.int64(), pa.binary(), pa.list_(pa.int64()))))], schema.names)
+
+    return frame.mapInArrow(run, schema)
+
+
+def candidates(texts: DataFrame, **kw) -> DataFrame:
+    """(a, b): pairs of different texts (node, fp, bands) that share a block, a < b; a text has a bounded number of them in each."""
+    by_print = texts.groupBy("fp").agg(F.min("node").alias("least"))
+    same = texts.join(by_print, "fp").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    near = links(by_print.select("fp"), **kw)
+    ends = [by_print.select(F.col("fp").alias(c), F.col("least").alias(f"n{c}")) for c in ("a", "b")]
+    close = near.join(ends[0], "a").join(ends[1], "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
+    keyed = texts.select("node", F.explode("bands").alias("band"))
+    edges = keyed.groupBy("band").agg(F.min("node").alias("first"), F.max("node").alias("last")).filter("first < last")
+    met = keyed.join(edges, "band").select("node", F.explode(F.array("first", "last")).alias("other")).select(F.col("node").alias("a"), F.col("other").alias("b"))
+    pairs = same.unionByName(close).unionByName(met).filter("a <> b")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def similar(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Those of ``pairs`` whose signatures (node, sig) agree in at least ``similarity`` of the permutations."""
+    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("sig").alias("sa")), "a").join(texts.select(F.col("node").alias("b"), F.col("sig").alias("sb")), "b").select("a", "b", "sa", "sb")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, right = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(-1, PERMUTATIONS) for k in (2, 3))
+            keep = (left == right).sum(axis=1) >= similarity * PERMUTATIONS
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep))
+
+    return both.mapInArrow(run, "a long, b long")
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = WIDE_SHINGLE, similarity: float = SIMILARITY, **kw) -> DataFrame:
     """``docs`` with one row of each group: that of the smallest id (nulls last), the first of these if they are repeated."""
     names = [f"c{i}" for i in range(len(docs.columns))]
     plain = docs.toDF(*names)
     id_at, text_at = (f"c{docs.columns.index(c)}" for c in (id_col, text_col))
     # Row numbers are stored with the rows: computed anew they might change.
     rows = stored(plain.withColumn("rid", F.monotonically_increasing_id()), "rows")
-    prints = stored(with_fingerprint(rows, text_at, ("rid", id_at)), "prints")
-    found = groups(prints, id_at, **kw)
-    first = (
-        prints.groupBy("fp").agg(F.min(F.struct(F.col(id_at).isNull().alias("none"), F.col(id_at).alias("id"), "rid")).alias("m"))
-        .join(found.select("fp", "root"), "fp").groupBy("root").agg(F.min("m").alias("m")).select("m.rid")
-    )
-    return rows.join(first, "rid", "left_semi").select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)])
+    prints = stored(with_signature(rows, text_at, ("rid", id_at), shingle), "prints")
+    # Copies are one text from here on, however many there are.
+    first = F.min(F.struct(F.col(id_at).isNull().alias("none"), F.col(id_at).alias("id"), "rid")).alias("m")
+    texts = stored(prints.groupBy("whole").agg(first, F.min("rid").alias("node"), F.first("fp").alias("fp"), F.first("sig").alias("sig"), F.first("bands").alias("bands")).drop("whole"), "texts")
+    found = components(similar(stored(candidates(texts, **kw), "pairs"), texts, similarity))
+    kept = texts.select("node", "m").join(found, "node", "left").groupBy(F.coalesce("component", "node")).agg(F.min("m").alias("m")).select("m.rid")
+    return rows.join(kept, "rid", "left_semi").select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)])
