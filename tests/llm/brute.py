@@ -31,6 +31,29 @@ def fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
+def shingles(text, size=5):
+    words = WORD.findall((text or "").translate(FOLD))
+    return {tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))}
+
+
+def similar_groups(texts, least):
+    """texts: {id: text}; {id: smallest id that it reaches} by pairs of a Jaccard of ``least`` or more."""
+    ids, sets = sorted(texts), {i: shingles(t) for i, t in texts.items()}
+    up = {i: i for i in ids}
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for k, i in enumerate(ids):
+        for j in ids[k + 1 :]:
+            if len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j]):
+                a, b = root(i), root(j)
+                up[max(a, b)] = min(a, b)
+    return {i: root(i) for i in ids}
+
+
 def components(prints):
     """prints: {id: fingerprint}; {id: smallest id that it reaches}."""
     up = {i: i for i in prints}

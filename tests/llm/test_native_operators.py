@@ -37,6 +37,59 @@ def test_quality_whole_table(spark):
     assert sum(good) >= 0.97 * len(good)
 
 
+def test_quality_kept_against_brute_force(spark):
+    """Fences from exact quantiles of all rows, bucket by bucket; sketches are within their accuracy of them."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    found = quality.assess(docs, {c: F.col(c) for c in ("doc_id", "lang", "source")}).select("row.*", quality.rates(F.col("q")).alias("rate"), "base_failed", "kept").collect()
+    good = [r for r in found if not r["base_failed"]]
+    levels = [{}, {}, {}]
+    for r in good:
+        for level, key in zip(levels, ((r["lang"], r["source"]), r["lang"], None)):
+            level.setdefault(key, []).append(r["rate"])
+    checked = 0
+    for r in found:
+        if r["base_failed"]:
+            assert not r["kept"]
+            continue
+        own = next(x for x in (levels[0][r["lang"], r["source"]], levels[1][r["lang"]], levels[2][None]) if len(x) >= quality.MIN_ROWS or x is levels[2][None])
+        sides = []
+        for m, (side, least) in quality.MEASURES.items():
+            values = sorted(x[m] for x in own)
+            rank = lambda tenths: values[-(-len(values) * tenths // 10) - 1]  # noqa: B023, E731
+            distance = max(least, quality.SPREAD * abs(rank(5) - rank(1 if side > 0 else 9)))
+            slack = quality.ACCURACY * (2 * quality.SPREAD + 1) * max(rank(9), 1e-9)
+            beyond = side * (r["rate"][m] - rank(5)) - distance
+            sides.append(0 if abs(beyond) <= slack else 1 if beyond > 0 else -1)
+        if 1 in sides or 0 not in sides:
+            assert r["kept"] == (1 not in sides)
+            checked += 1
+    assert checked > 0.9 * len(good)
+
+
+def test_quality_is_repeatable(spark):
+    """Fences and verdicts are the same for any partitions and in any run."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    seen = []
+    for n in (1, 7, 7):
+        measured = docs.repartition(n).select("lang", "source", quality.base_measures(F.col("text")).alias("q"))
+        fences = quality.fences(measured.withColumn("rate", quality.rates(F.col("q"))).filter(~quality.base_failed(F.col("q"))))
+        kept = quality.assess(docs.repartition(n), {"doc_id": F.col("doc_id")}).select("row.doc_id", "kept")
+        seen.append((sorted(map(repr, fences.collect())), sorted(map(tuple, kept.collect()))))
+    assert seen[0] == seen[1] == seen[2]
+
+
+def test_quality_sketch_quantiles(spark):
+    """A quantile lies within the accuracy of the exact one, zeros included."""
+    r = random.Random(9)
+    rate = {m: [0.0 if r.random() < 0.3 else r.lognormvariate(0, 2) for _ in range(500)] for m in quality.MEASURES}
+    rows = [("en", "s", tuple(rate[m][i] for m in quality.MEASURES)) for i in range(500)]
+    kinds = ", ".join(f"{m}: double" for m in quality.MEASURES)
+    df = spark.createDataFrame(rows, f"lang string, source string, rate struct<{kinds}>")
+    fence = quality.fences(df, spread=0.0, min_rows=1).first()["fence"]
+    for m, (side, least) in quality.MEASURES.items():
+        assert fence[m] - side * least == pytest.approx(sorted(rate[m])[249], rel=1.01 * quality.ACCURACY)
+
+
 def test_quality_thresholds_adapt(spark):
     """A source whose habit is long words keeps them; an outlier in another source goes."""
     plain = [" ".join(f"{w}{k}x{j}" for j, w in enumerate(WORDS * 4)) for k in range(260)]
@@ -51,7 +104,7 @@ def test_quality_empty_and_salted(spark, monkeypatch):
     assert quality.filter_quality(frame(spark, [])).count() == 0
     docs = frame(spark, [f"{LONG[k:k + 3000]}" for k in range(0, 60000, 3000)])
     want = sorted(r["doc_id"] for r in quality.filter_quality(docs).collect())
-    monkeypatch.setattr(quality, "BROADCAST_BUCKETS", 0)
+    monkeypatch.setattr(quality, "BROADCAST_BYTES", 0)
     assert sorted(r["doc_id"] for r in quality.filter_quality(docs).collect()) == want
 
 
@@ -63,6 +116,43 @@ def test_simhash_against_brute_force(spark):
     assert {r["doc_id"]: r["component_id"] for r in rows} == brute.components(prints)
 
 
+def test_simhash_whole_table(spark):
+    docs = dict(spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect())
+    prints = {d: brute.fingerprint(t) for d, t in docs.items()}
+    groups = brute.components(prints)
+    assert sorted(map(tuple, queries.op3_simhash_near_dedup(spark, SMALL).collect())) == sorted((d, f"{prints[d]:016x}", groups[d]) for d in docs)
+
+
+def test_similarity_against_brute_force(spark):
+    """Texts with a Jaccard of 0.8 or more on words in fives meet; those well below do not."""
+    r = random.Random(8)
+    texts = []
+    for _ in range(40):
+        base = [f"{r.choice(WORDS)}{r.randrange(300)}" for _ in range(r.choice([30, 120, 600]))]
+        for edits in (0, 0, 1, 2, len(base) // 60, len(base) // 40, len(base) // 5):
+            own = list(base)
+            for _ in range(edits):
+                own[r.randrange(len(own))] = f"new{r.randrange(10**6)}"
+            texts.append(" ".join(own))
+    rows = simhash.with_signature(spark.createDataFrame(list(enumerate(texts)), "rid long, text string"), "text", ("rid",))
+    nodes = rows.groupBy("whole").agg(F.min("rid").alias("node"), F.first("fp").alias("fp"), F.first("sig").alias("sig"), F.first("bands").alias("bands")).cache()
+    found = components(simhash.similar(simhash.candidates(nodes), nodes))
+    of = {x["node"]: x["component"] for x in found.collect()}
+    kept = sorted(x["node"] for x in nodes.select("node").collect())
+    sets = {i: brute.shingles(texts[i]) for i in kept}
+    pairs = missed = 0
+    for a in kept:
+        for b in kept:
+            if a < b:
+                j = len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+                together = of.get(a, a) == of.get(b, b)
+                if j >= 0.8:
+                    pairs, missed = pairs + 1, missed + (not together)
+                assert not (j < 0.5 and together)
+                assert together or j < 0.9
+    assert pairs > 80 and missed <= 0.05 * pairs
+
+
 @pytest.mark.parametrize("bucket", [1, 4, 1000])
 def test_simhash_links_are_whole_for_any_bucket(spark, bucket):
     """Dense clusters: midpoints and pairs tell the same components."""
@@ -96,9 +186,10 @@ ITEMS = [(1, "the quick brown fox jumps over the lazy dog today and more"), (2,
 DOCS = [None, "", "nothing", "The QUICK, brown fox; jumps over the lazy dog today!! and more", "x short item y short item", "short-item", "jumps over the lazy dog today and more words follow here", "an only hit", "the quick brown fox jumps over the lazy dog", LONG]
 
 
-@pytest.mark.parametrize("literal", [decontam.SET_WINDOWS, 0])
-def test_decontamination_against_brute_force(spark, monkeypatch, literal):
-    monkeypatch.setattr(decontam, "SET_WINDOWS", literal)
+@pytest.mark.parametrize("limits", [{}, {"SET_BYTES": 10}, {"SET_WINDOWS": 0}, {"SET_WINDOWS": 0, "BROADCAST_BYTES": 0}])
+def test_decontamination_against_brute_force(spark, monkeypatch, limits):
+    for name, value in limits.items():
+        monkeypatch.setattr(decontam, name, value)
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     docs = frame(spark, DOCS)
     want = brute.contamination(DOCS, ITEMS)
@@ -111,6 +202,23 @@ def test_decontamination_against_brute_force(spark, monkeypatch, literal):
     assert not any(w[4] for w in brute.contamination(spans.values(), ITEMS))
 
 
+def test_decontamination_of_large_sets_stores_no_windows(spark, monkeypatch):
+    """Beyond the plan's set hashes are looked up: what is stored is about the text once, not each window of it."""
+    from brindle.llm import _common
+
+    def size(path):
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(hadoop).getLength()
+
+    docs, items = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "benchmark"))
+    want = sorted(map(tuple, decontam.report(docs, items).collect()))
+    monkeypatch.setattr(decontam, "SET_WINDOWS", 0)
+    before = set(_common._written)
+    assert sorted(map(tuple, decontam.report(docs, items).collect())) == want
+    made = sum(size(p) for p in set(_common._written) - before if "windows" not in p)
+    assert made < 1.3 * size(f"{SMALL}/documents.parquet")
+
+
 def test_decontamination_empty_tables(spark):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     assert decontam.report(frame(spark, []), items).count() == 0

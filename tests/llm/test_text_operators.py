@@ -15,6 +15,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 FILE = public_tokenizers.path("byte_bpe_50k.json")
+PLAIN = Tokenizer.from_file(FILE)
 NAMES, UNDO = pii.Pseudonyms(), pii.Pseudonyms(undo=True)
 
 
@@ -53,6 +54,46 @@ def test_pseudonyms_link_equal_values():
     assert datetime.date.fromisoformat(d1) == datetime.datetime.strptime(d2, "%d.%m.%Y").date()
 
 
+PHONES = [("353", "861234567"), ("44", "2079460958"), ("49", "3012345678"), ("1", "9885552485"), ("1", "0885552485"), ("7", "4951234567"), ("998", "712345678")]
+
+
+@pytest.mark.parametrize("code, rest", PHONES)
+def test_equal_numbers_have_equal_pseudonyms_in_any_format(code, rest):
+    forms = [f"+{code}{rest}", f"+{code} {rest[:2]} {rest[2:5]} {rest[5:]}", f"+{code}-{rest[:3]}-{rest[3:6]}-{rest[6:]}", f"00{code} {rest[:3]} {rest[3:6]} {rest[6:]}"]
+    if len(rest) == 10 and code == "1" and rest[0] > "1":
+        forms += [f"({rest[:3]}) {rest[3:6]}-{rest[6:]}", f"{rest[:3]}.{rest[3:6]}.{rest[6:]}"]
+    made = set()
+    for f in forms:
+        text, spans = NAMES(f"call {f} now")
+        new = text[spans[0][1] : spans[0][2]]
+        assert spans[0][0] == "phone" and re.sub(r"\d", "9", new) == re.sub(r"\d", "9", f) and UNDO(text)[0] == f"call {f} now"
+        digits = re.sub(r"\D", "", new)
+        made.add(digits[-len(rest):])
+        assert digits.removeprefix("00").startswith(code) or len(digits) == len(rest)
+    assert len(made) == 1 and made != {rest}
+
+
+@given(st.integers(0, 10**10 - 1), st.booleans())
+@settings(max_examples=200, deadline=None)
+def test_numbers_are_permuted_and_can_be_undone(value, plus):
+    digits = f"{value:010d}"
+    m = f"{'+1 ' if plus else ''}{digits[:3]}-{digits[3:6]}-{digits[6:]}"
+    new = NAMES.phone(m)
+    assert UNDO.phone(new) == m and re.sub(r"\d", "9", new) == re.sub(r"\d", "9", m)
+
+
+@given(st.dates(datetime.date(1901, 1, 1), datetime.date(2099, 12, 31)))
+@settings(max_examples=100, deadline=None)
+def test_equal_dates_have_equal_pseudonyms_in_any_format(day):
+    made = set()
+    for form in ("%Y-%m-%d", "%Y/%m/%d", "%d.%m.%Y", "%m/%d/%Y", "%d-%m-%Y", "%Y-%m-%dT10:00:00Z"):
+        text, spans = NAMES(f"on {day.strftime(form)} it was")
+        assert [s[0] for s in spans] == ["date"], form
+        made.add(datetime.datetime.strptime(text[3:-7], form).date())
+    assert len(made) == 1
+    assert NAMES("12-05-1990")[1][0][0] == "date" and NAMES("1990-05-17T10:00:00Z")[0].endswith("T10:00:00Z")
+
+
 def test_what_does_not_validate_stays():
     for text in ["", "no numbers", "4111111111111112", "999.1.1.1", "000-12-3456", "2023-02-30", "v1.2.3", "12345", "a@b", "AKIA123", "DE00 3704 0044 0532 0130 00"]:
         assert NAMES(text) == (text, [])
@@ -84,27 +125,47 @@ def test_pii_whole_table(spark):
 TEXTS = ["", " ", "\n", "a\n\n\nb", " a", "a  b ", "a\tb", "<|endoftext|> hi", "it's don't 's we'll I'VE", "é à b", "日本 語 🙂 x\n\n🙂", "﻿a", "a\x85b\x00c\x1cd ß²³½", "12 345,6!!! ...", "Ünïcode WÖRDS", "x" * 3000]
 
 
+def plain_ids(text):
+    """The contract's own call."""
+    return PLAIN.encode(text, add_special_tokens=False).ids
+
+
 def test_encoder_gives_the_librarys_ids():
-    own = Tokenizer.from_file(FILE)
-    own.encode_special_tokens = True
     encoder = packing.TextEncoder(FILE)
     assert encoder.fast is not None
-    encoder.left = 0
     for text, got in zip(TEXTS, encoder(TEXTS)):
-        assert array("I", got).tolist() == own.encode(text, add_special_tokens=False).ids, text
+        assert array("I", got).tolist() == plain_ids(text), text
+    assert 50256 in array("I", encoder(["hello <|endoftext|> world"])[0])
+
+
+def test_encoder_on_all_words_of_the_vocabulary():
+    encoder = packing.text_encoder(FILE)
+    words = [PLAIN.decode([i], skip_special_tokens=False) for i in range(PLAIN.get_vocab_size())]
+    assert encoder(words) == encoder.exact(words) and encoder([f"x{w}y {w}" for w in words]) == encoder.exact([f"x{w}y {w}" for w in words])
+
+
+def test_encoder_of_other_files_is_exact(tmp_path):
+    """A file whose merges do not lead to each of its words is not taken for ranks."""
+    import json
+
+    known = json.load(open(FILE, encoding="utf-8"))
+    known["model"]["ignore_merges"] = True
+    other = tmp_path / "other.json"
+    other.write_text(json.dumps(known), encoding="utf-8")
+    encoder = packing.TextEncoder(str(other))
+    assert encoder.fast is None and encoder(TEXTS) == encoder.exact(TEXTS)
 
 
 @given(st.text(alphabet=st.characters(max_codepoint=0x4FF, exclude_categories=("Cs",)), max_size=60))
 @settings(max_examples=300, deadline=None)
 def test_encoder_on_any_text(text):
     encoder = packing.text_encoder(FILE)
-    assert encoder.fast is not None and encoder([text]) == encoder.exact([text])
+    assert encoder.fast is not None and array("I", encoder([text])[0]).tolist() == plain_ids(text)
 
 
 def pack_check(rows, texts, length=packing.LENGTH):
     """Every id lies in one piece, sequences have no gaps, and only the last may be short."""
-    encoder = packing.text_encoder(FILE)
-    want = sorted(encoder.exact([t or ""])[0] + b"\1\0\0\0" for t in texts)
+    want = sorted(array("I", [*plain_ids(t or ""), packing.END_ID]).tobytes() for t in texts)
     docs, sequences = {}, {}
     for r in rows:
         sequences.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
@@ -181,13 +242,35 @@ def test_license_scanner():
     s = licenses.Scanner({}, 10)
     for name, texts in licenses.TEMPLATES.items():
         for t in texts:
-            assert s.best(t) == (name, pytest.approx(1.0))
+            assert s.best(licenses.words_of(t)) == (name, pytest.approx(1.0))
+            assert any(licenses.ANCHORS.search(w) for w in licenses.words_of(t))
             assert s("# " + t.lower() + "\nx = 1")[0] == name
     assert s("Copyright of nothing in particular, all rights are mine alone")[0] is None
     assert s(None) == s("") == s("plain text") == (None, 0.0, 0.0)
     assert s("code\n" * 50 + "// Licensed under the Apache License, Version 2.0\n" + "more\n" * 5000)[0] == "Apache-2.0"
 
 
+def test_licenses_in_long_lines_and_texts():
+    """A licence is found wherever it stands, in one line or over many, whatever is around it."""
+    s = licenses.Scanner({}, 10)
+    filler = [f"word{k % 317}x" for k in range(4000)]
+    for name, (first, *more) in licenses.TEMPLATES.items():
+        for t in (first, *more):
+            for before, after in ((450, 0), (0, 1700), (2000, 2000)):
+                one_line = " ".join([*filler[:before], t, *filler[:after]])
+                assert s(one_line)[0] == name, (name, before, after)
+                assert s(one_line.lower())[0] == name and s(one_line.replace(" ", "\n# "))[0] == name
+    three_thousand = " ".join(f"{t} {' '.join(filler[:900])}" for t in licenses.TEMPLATES["Apache-2.0"])
+    assert s(three_thousand)[0] == "Apache-2.0" and s(" ".join(filler) + " license " + " ".join(filler))[0] is None
+
+
+def test_license_frequencies_count_the_terms_that_are_scored(spark):
+    texts = ['("License");', "the License\nVersion 2.0", None, "no terms", "MIT License. MIT", 'under "the License"'] * 2
+    found, n = licenses.frequencies(spark.createDataFrame([(t, 1) for t in texts], "text string, n int"))
+    known = [set(licenses.terms(licenses.words_of(t or ""))) for t in texts]
+    assert n == len(texts) and found == {t: sum(t in k for k in known) for t in found} and found["license"] == 8
+
+
 def test_license_inheritance(spark):
     mit, gpl = licenses.TEMPLATES["MIT"][1], licenses.TEMPLATES["GPL-3.0"][0]
     files = [("LICENSE", mit), ("a/b/COPYING", gpl), ("a/b/c/d/x.py", "code"), ("a/y.py", "code"), ("a/b/z.py", "# Licensed under CC BY-NC 4.0.\ncode " + "w " * 50), (None, "code"), ("q/e.py", None), ("q/e.py", None)]
