@@ -3,7 +3,10 @@
 Rows have a hidden identity (batch, row) that also is their order.  A write
 rewrites the parts that hold affected rows and no others.  Checks are joins and
 aggregations that look for one violation.  Only rows that the caller gives, and
-rows that triggers must see, are handled on the driver.
+rows that triggers must see, are handled on the driver, the latter in batches.
+
+Small parts are merged as they come: ``TIER`` parts of about the same size become one, so a table has
+few parts for each power of ``TIER`` in its number of rows, and a row is rewritten a few times at most.
 """
 
 from __future__ import annotations
@@ -30,6 +33,13 @@ from .sources.store import BATCH, HIDDEN, ROW
 from .types import cast_column, cast_value
 
 ROW_BITS = 33
+TIER = 16
+#: Parts of more rows are not merged.
+LARGE_ROWS = 10_000_000
+#: Up to so many identities (16 bytes each) are broadcast.
+FEW_IDS = 10_000
+#: Rows that triggers see at a time.
+TRIGGER_ROWS = 5_000
 
 
 @dataclass(frozen=True)
@@ -71,6 +81,21 @@ def _same(columns) -> Any:
 class Writer:
     def __init__(self, engine):
         self.engine = engine
+        #: Folders of rows that the running statement holds; None outside of one.
+        self.held: list[str] | None = None
+
+    def begun(self) -> bool:
+        """A statement begins; whether it is the outermost one."""
+        outer = self.held is None
+        self.held = [] if outer else self.held
+        return outer
+
+    def ended(self, outer: bool) -> None:
+        """After the outermost statement nothing reads the rows it held."""
+        if outer:
+            for path in self.held:
+                self.store.files.remove(path)
+            self.held = None
 
     # parts
 
@@ -78,12 +103,18 @@ class Writer:
     def store(self):
         return self.engine.store
 
-    def _hold(self, df: DataFrame) -> DataFrame:
-        """``df`` written aside: read again it is the same, whatever becomes of the tables."""
-        path = f"{self.store.root}/_aside/{uuid.uuid4().hex}"
+    def _hold(self, df: DataFrame) -> tuple[DataFrame, int]:
+        """``df`` written aside, and its number of rows: read again it is the same, whatever becomes of the tables."""
+        path, seen = f"{self.store.root}/_aside/{uuid.uuid4().hex}", Observation()
         schema = df.schema
-        df.write.parquet(path)
-        return self.engine.spark.read.schema(schema).parquet(path)
+        if self.held is not None:
+            self.held.append(path)
+        df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
+        return self.engine.spark.read.schema(schema).parquet(path), seen.get["rows"]
+
+    def _of(self, name: str, ids: DataFrame, n: int) -> DataFrame:
+        """The rows of ``n`` identities.  Parts are immutable, so this stays as it is when the table changes."""
+        return self.engine.frame(name, HIDDEN).join(F.broadcast(ids) if n < FEW_IDS else ids, list(HIDDEN), "left_semi")
 
     def _add(self, name: str, df: DataFrame, batches: list[int]) -> dict:
         seen = Observation()
@@ -101,6 +132,21 @@ class Writer:
         path = self.store.write(df, self.engine.database, name)
         entry["parts"] = [{"path": path, "rows": sum(p["rows"] for p in entry["parts"]), "batches": batches}]
 
+    def _merge(self, name: str) -> None:
+        """Merges parts of about the same size once there are ``TIER`` of them."""
+        entry, struct = self.engine.entry(name), self.engine.table_schema(name).struct()
+        while True:
+            tiers: dict[int, list[dict]] = {}
+            for p in entry["parts"]:
+                if p["rows"] <= LARGE_ROWS:
+                    tiers.setdefault(len(f"{p['rows']:x}"), []).append(p)  # a hexadecimal digit more is TIER times as many
+            if not (full := [t for t in tiers.values() if len(t) >= TIER]):
+                return
+            old = full[0]
+            rows = self.store.read([p["path"] for p in old], struct)
+            entry["parts"] = [p for p in entry["parts"] if p not in old]
+            self._add(name, rows.coalesce(max(1, sum(p["rows"] for p in old) // 1_000_000)), sorted({b for p in old for b in p["batches"]}))
+
     def _swap(self, name: str, ids: DataFrame, change: Callable[[DataFrame], DataFrame]) -> None:
         """Rewrites the parts that hold rows of ``ids``: ``change`` maps their rows."""
         entry = self.engine.entry(name)
@@ -190,6 +236,7 @@ class Writer:
         df = self.engine.spark.createDataFrame([(*[r[c] for c in s.names()], batch, i) for i, r in enumerate(made)], types)
         self._check(name, df, self._near(s, before, made), set(s.names()))
         self._add(name, df.coalesce(1), [batch])
+        self._merge(name)
         for row in made:
             for t in triggers.of(name, "insert", "after"):
                 t.handler(dict(row))
@@ -204,7 +251,7 @@ class Writer:
 
     def _numbered(self, df: DataFrame, column: str, start: int) -> DataFrame:
         """Numbers after ``start`` where ``column`` is NULL: a count for each partition, then offsets; no global sort."""
-        held = self._hold(df.withColumn("__at", F.monotonically_increasing_id())).withColumn("__part", F.shiftright("__at", ROW_BITS))
+        held = self._hold(df.withColumn("__at", F.monotonically_increasing_id()))[0].withColumn("__part", F.shiftright("__at", ROW_BITS))
         counts = held.groupBy("__part").agg(F.count("*").alias("n"))
         before = F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         offsets = counts.select("__part", before.alias("__base"))  # one row for each partition
@@ -240,6 +287,7 @@ class Writer:
             if auto is not None:
                 entry["counter"] = max(entry["counter"], int(new.agg(F.max(auto.name)).first()[0]))
             self._check(name, new, before, set(s.names()))
+            self._merge(name)
             return part["rows"]
 
         return self.engine.statement(run)
@@ -257,31 +305,27 @@ class Writer:
         return (rows.filter(reduce(lambda a, b: a | b, tests)) if tests else rows.limit(0)).select(*HIDDEN)
 
     def insert_ignore(self, name: str, row: dict) -> int:
-        if self._any(self._conflicts(name, row)):
-            return 0
-        return self.insert(name, [row]).row_count
+        return self.engine.statement(lambda: 0 if self._any(self._conflicts(name, row)) else self._insert(name, [row]).row_count)
 
     def upsert(self, name: str, row: dict) -> int:
         def run() -> int:
-            found = self._hold(self._conflicts(name, row))
-            n = found.count()
+            found, n = self._hold(self._conflicts(name, row))
             if n > 1:
                 raise ConstraintError("the row meets several others")
             if not n:
                 self._insert(name, [row])
                 return 1
             s = self.engine.table_schema(name)
-            self._assign(name, found, {c: cast_value(s.column(c), v) for c, v in row.items()})
+            self._assign(name, found, n, {c: cast_value(s.column(c), v) for c, v in row.items()})
             return 2
 
         return self.engine.statement(run)
 
     def replace(self, name: str, row: dict) -> int:
         def run() -> int:
-            found = self._hold(self._conflicts(name, row))
-            n = found.count()
+            found, n = self._hold(self._conflicts(name, row))
             if n:
-                self._delete(name, found)
+                self._delete(name, found, n)
             return n + self._insert(name, [row]).row_count
 
         return self.engine.statement(run)
@@ -294,8 +338,8 @@ class Writer:
             raise QueryError(f"{what} takes WHERE, and either joins or ORDER BY and LIMIT")
         return plan.source.name
 
-    def _matched(self, plan: ir.Select) -> DataFrame:
-        """Identities of the base table's rows that a write is about."""
+    def _matched(self, plan: ir.Select) -> tuple[DataFrame, int]:
+        """Identities of the base table's rows that a write is about, and how many they are."""
         compiler = Compiler(self.engine)
         df, scope = compiler.matched(plan, HIDDEN)
         if plan.order_by or plan.limit is not None:
@@ -314,10 +358,9 @@ class Writer:
         def run() -> int:
             s = self.engine.table_schema(name)
             cast = {c.rpartition(".")[2]: cast_value(s.column(c.rpartition(".")[2]), v) for c, v in values.items()}
-            ids = self._matched(plan)
-            n = ids.count()
+            ids, n = self._matched(plan)
             if n:
-                self._assign(name, ids, cast)
+                self._assign(name, ids, n, cast)
             return n
 
         return self.engine.statement(run)
@@ -346,49 +389,60 @@ class Writer:
         found = {a: self._hold(df.select(*[F.col(f"`{h}@{a}`").alias(h) for h in HIDDEN]).na.drop().distinct()) for a in targets}
         total = 0
         for alias, cast in targets.items():
-            n = found[alias].count()
+            ids, n = found[alias]
             if n:
-                self._assign(tables[alias], found[alias], cast)
+                self._assign(tables[alias], ids, n, cast)
             total += n
         return total
 
-    def _assign(self, name: str, ids: DataFrame, values: dict) -> None:
-        """Constants for the rows of ``ids``."""
+    def _assign(self, name: str, ids: DataFrame, n: int, values: dict) -> None:
+        """Constants for the ``n`` rows of ``ids``."""
         s = self.engine.table_schema(name)
-        old = self._hold(self.engine.frame(name, HIDDEN).join(F.broadcast(ids) if ids.count() < 10_000 else ids, list(HIDDEN), "left_semi"))
-        new = old.withColumns({c: F.lit(v).cast(s.column(c).spark_type()) for c, v in values.items()})
-        self._update(name, old, new, set(values))
-
-    def _update(self, name: str, old: DataFrame, new: DataFrame, columns: set[str]) -> None:
-        """Rows ``old`` become ``new`` (equal identities); only ``columns`` differ."""
-        triggers, s = self.engine.triggers, self.engine.table_schema(name)
-        pairs = None
-        if triggers.of(name, "update"):
-            order = [r.asDict() for r in old.orderBy(*HIDDEN).collect()]
-            wanted = [r.asDict() for r in new.orderBy(*HIDDEN).collect()]
-            pairs = []
-            for a, b in zip(order, wanted):
-                plain, made = {c: a[c] for c in s.names()}, {c: b[c] for c in s.names()}
-                for t in triggers.of(name, "update", "before"):
-                    made = t.handler(dict(plain), dict(made)) or made
-                pairs.append((plain, {c: cast_value(s.column(c), v) for c, v in made.items()}, [a[h] for h in HIDDEN]))
-            new = self.engine.spark.createDataFrame([(*[m[c] for c in s.names()], *h) for _, m, h in pairs], self.store.read([], s.struct()).schema)
-            columns = set(s.names())
-        new = self._hold(new.select(*s.names(), *HIDDEN))
-        ids = new.select(*HIDDEN)
+        constants = {c: F.lit(v).cast(s.column(c).spark_type()) for c, v in values.items()}
+        old = self._of(name, ids, n)
 
         def change(rows: DataFrame) -> DataFrame:
-            return rows.join(ids, list(HIDDEN), "left_anti").unionByName(new)
+            marked = ids.withColumn("__hit", F.lit(True))
+            rows = rows.join(F.broadcast(marked) if n < FEW_IDS else marked, list(HIDDEN), "left")
+            return rows.withColumns({c: F.when(F.col("__hit"), v).otherwise(F.col(f"`{c}`")) for c, v in constants.items()})
 
+        self._update(name, ids, old, old.withColumns(constants), set(values), change)
+
+    def _update(self, name: str, ids: DataFrame, old: DataFrame, new: DataFrame, columns: set[str], change: Callable[[DataFrame], DataFrame] | None = None) -> None:
+        """Rows ``old`` become ``new`` (equal identities ``ids``); only ``columns`` differ."""
+        triggers, s = self.engine.triggers, self.engine.table_schema(name)
+        if triggers.of(name, "update", "before"):
+            new, columns, change = self._before_update(name, old, new), set(s.names()), None
+        new = new.select(*s.names(), *HIDDEN)
         others = self.engine.frame(name, HIDDEN).join(ids, list(HIDDEN), "left_anti")
-        if any(columns & set(g) for g in s.unique_groups()):
-            others = self._hold(others)
-        self._swap(name, ids, change)
+        self._swap(name, ids, change or (lambda rows: rows.join(ids, list(HIDDEN), "left_anti").unionByName(new)))
         self._check(name, new, others, columns)
         self._propagate(name, old, new, columns)
-        for plain, made, _ in pairs or ():
-            for t in triggers.of(name, "update", "after"):
-                t.handler(dict(plain), dict(made))
+        if after := triggers.of(name, "update", "after"):
+            for (a, _), (b, _) in zip(self._rows(name, old), self._rows(name, new)):
+                for t in after:
+                    t.handler(dict(a), dict(b))
+
+    def _rows(self, name: str, df: DataFrame):
+        """(values, identity) of rows in their order, a partition at a time on the driver."""
+        names = self.engine.table_schema(name).names()
+        for r in df.orderBy(*HIDDEN).toLocalIterator():
+            yield {c: r[c] for c in names}, [r[h] for h in HIDDEN]
+
+    def _before_update(self, name: str, old: DataFrame, new: DataFrame) -> DataFrame:
+        """The rows that the triggers make of ``new``, written aside batch by batch."""
+        s, parts = self.engine.table_schema(name), []
+        schema = self.store.read([], s.struct()).schema
+        pairs = zip(self._rows(name, old), self._rows(name, new))
+        while batch := list(itertools.islice(pairs, TRIGGER_ROWS)):
+            rows = []
+            for (a, identity), (b, _) in batch:
+                made = dict(b)
+                for t in self.engine.triggers.of(name, "update", "before"):
+                    made = t.handler(dict(a), dict(made)) or made
+                rows.append((*[cast_value(s.column(c), made[c]) for c in s.names()], *identity))
+            parts.append(self._hold(self.engine.spark.createDataFrame(rows, schema))[0])
+        return reduce(DataFrame.unionAll, parts)
 
     def _children(self, name: str):
         for child in self.engine.tables():
@@ -401,11 +455,11 @@ class Writer:
             if f.references not in columns:
                 continue
             a, b = old.select(*HIDDEN, F.col(f.references).alias("was")), new.select(*HIDDEN, F.col(f.references).alias("now"))
-            moved = self._hold(a.join(b, list(HIDDEN)).filter(F.col("was").isNotNull() & ~F.col("was").eqNullSafe(F.col("now"))).select("was", "now").distinct())
+            moved, _ = self._hold(a.join(b, list(HIDDEN)).filter(F.col("was").isNotNull() & ~F.col("was").eqNullSafe(F.col("now"))).select("was", "now").distinct())
             rows = self.engine.frame(child, HIDDEN)
             kind = rows.schema[f.column].dataType
-            met = self._hold(rows.join(moved, F.col(f.column) == F.col("was").cast(kind)))
-            if not self._any(met):
+            met, n = self._hold(rows.join(moved, F.col(f.column) == F.col("was").cast(kind)))
+            if not n:
                 continue
             if f.on_update == "RESTRICT":
                 raise ConstraintError(f"{name}.{f.references} is named by rows of {child!r}")
@@ -413,7 +467,7 @@ class Writer:
             value = {"CASCADE": F.col("now").cast(kind), "SET_NULL": F.lit(None).cast(kind)}.get(f.on_update)
             if value is None:
                 value = F.lit(cast_value(column, column.default)).cast(kind)
-            self._update(child, met.drop("was", "now"), met.withColumn(f.column, value).drop("was", "now"), {f.column})
+            self._update(child, met.select(*HIDDEN), met.drop("was", "now"), met.withColumn(f.column, value).drop("was", "now"), {f.column})
 
     # delete
 
@@ -421,40 +475,39 @@ class Writer:
         name = self._plain(plan, "DELETE")
 
         def run() -> int:
-            ids = self._matched(plan)
-            n = ids.count()
+            ids, n = self._matched(plan)
             if n:
-                self._delete(name, ids)
+                self._delete(name, ids, n)
             return n
 
         return self.engine.statement(run)
 
-    def _delete(self, name: str, ids: DataFrame) -> None:
+    def _delete(self, name: str, ids: DataFrame, n: int) -> None:
         """Deletes rows, then what their foreign keys ask for; rows that are gone are not met again, so cycles end."""
-        triggers = self.engine.triggers
-        gone = self._hold(self.engine.frame(name, HIDDEN).join(ids, list(HIDDEN), "left_semi"))
-        rows = [{k: v for k, v in r.asDict().items() if k not in HIDDEN} for r in gone.orderBy(*HIDDEN).collect()] if triggers.of(name, "delete") else []
-        for row in rows:
-            for t in triggers.of(name, "delete", "before"):
-                t.handler(dict(row))
-        self._swap(name, gone, lambda part: part.join(gone.select(*HIDDEN), list(HIDDEN), "left_anti"))
+        triggers, gone = self.engine.triggers, self._of(name, ids, n)
+        if before := triggers.of(name, "delete", "before"):
+            for row, _ in self._rows(name, gone):
+                for t in before:
+                    t.handler(dict(row))
+        self._swap(name, ids, lambda part: part.join(F.broadcast(ids) if n < FEW_IDS else ids, list(HIDDEN), "left_anti"))
         for child, f in list(self._children(name)):
             keys = gone.select(F.col(f.references).alias("__key")).na.drop().distinct()
             mine = self.engine.frame(child, HIDDEN)
-            met = self._hold(mine.join(keys, mine[f.column] == keys["__key"].cast(mine.schema[f.column].dataType), "left_semi"))
-            if not self._any(met):
+            met, few = self._hold(mine.join(keys, mine[f.column] == keys["__key"].cast(mine.schema[f.column].dataType), "left_semi"))
+            if not few:
                 continue
             if f.on_delete == "RESTRICT":
                 raise ConstraintError(f"rows of {name!r} are named by {child}.{f.column}")
             if f.on_delete == "CASCADE":
-                self._delete(child, met.select(*HIDDEN))
+                self._delete(child, met.select(*HIDDEN), few)
                 continue
             column = self.engine.table_schema(child).column(f.column)
             value = None if f.on_delete == "SET_NULL" else cast_value(column, column.default)
-            self._update(child, met, met.withColumn(f.column, F.lit(value).cast(column.spark_type())), {f.column})
-        for row in rows:
-            for t in triggers.of(name, "delete", "after"):
-                t.handler(dict(row))
+            self._update(child, met.select(*HIDDEN), met, met.withColumn(f.column, F.lit(value).cast(column.spark_type())), {f.column})
+        if after := triggers.of(name, "delete", "after"):
+            for row, _ in self._rows(name, gone):
+                for t in after:
+                    t.handler(dict(row))
 
     def truncate(self, name: str) -> None:
         for child, _ in self._children(name):

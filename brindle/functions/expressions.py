@@ -169,7 +169,14 @@ class Call(Expression):
         return F.coalesce(*[to_column(x, r) for x in xs])
 
     def _nullif(self, r, a, b):
-        return F.nullif(to_column(a, r), to_column(b, r))
+        from ..operators.predicates import compare, loosely_equal
+
+        left = to_column(a, r)
+        if isinstance(a, ColumnRef) and not isinstance(b, Expression):
+            same = compare(left, r.kind(a.name), "=", b)
+        else:
+            same = loosely_equal(left, to_column(b, r))
+        return F.when(same, F.lit(None)).otherwise(left)
 
 
 @dataclass(frozen=True)

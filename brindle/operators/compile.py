@@ -4,6 +4,11 @@ Order of operations: sources and joins, WHERE, grouping or projection, HAVING,
 windows, DISTINCT, ORDER BY, OFFSET and LIMIT, and after a union the last three on what was merged.
 Columns have unique internal names until the end, so Catalyst may move and prune
 everything freely.
+
+Ties of an ORDER BY and of ROW_NUMBER keep the order of the source: a hidden ordinal is the last sort
+key.  For stored tables it is the rows' identity, from every joined table; for registered ones it is the order in which
+Spark reads them, taken after WHERE so that filters still reach the scan, and only
+without joins.  Groups and distinct rows stand where their first row does.  Ties of a union have no order.
 """
 
 from __future__ import annotations
@@ -20,6 +25,7 @@ from ..errors import QueryError
 from ..functions import Aggregate, ColumnRef, Expression, Window
 from ..functions.expressions import aggregate_column
 from ..plans import ir
+from ..sources.store import HIDDEN
 from .predicates import Predicates, compare
 from .ranking import ONE_TASK_BYTES, estimated_bytes, rank_all
 from .resolve import Field, Scope
@@ -92,14 +98,23 @@ class Compiler:
         scope.add(source.alias, fields)
         return df.select(*[F.col(f"`{held[f.name]}`").alias(f.internal) for f in fields], *keep)
 
-    def sources(self, plan: ir.Select, scope: Scope, ordinal: bool = False) -> DataFrame:
-        df = self.source(plan.source, scope)
-        if ordinal:
-            df = df.withColumn(ORDINAL, F.monotonically_increasing_id())
+    def sources(self, plan: ir.Select, scope: Scope, ordinal: bool = False) -> tuple[DataFrame, list[str]]:
+        """FROM and JOIN, and the columns that tell the order of stored rows."""
+        order: list[str] = []
+
+        def side(source) -> DataFrame:
+            if not (ordinal and isinstance(source, ir.TableSource) and self.engine.schema_of(source.name) is not None):
+                return self.source(source, scope)
+            names = {h: f"{h}{len(order)}" for h in HIDDEN}
+            df = self.source(source, scope, HIDDEN).withColumnsRenamed(names)
+            order.extend(names.values())
+            return df
+
+        df = side(plan.source)
         for join in plan.joins:
-            right = self.source(join.source, scope)
+            right = side(join.source)
             df = df.join(right, self.predicates(scope)(join.on), JOINS[join.kind])
-        return df
+        return df, order
 
     def predicates(self, scope: Scope) -> Predicates:
         return Predicates(scope, self.select)
@@ -128,11 +143,17 @@ class Compiler:
         if plan.having and not grouped:
             raise QueryError("HAVING without groups or aggregates")
         first = grouped and any(isinstance(i, (str, Expression)) for i in plan.items)
-        df = self.sources(plan, scope, first)
+        numbered = any(isinstance(i, Window) and i.func == "ROW_NUMBER" for i in plan.items)
+        ordinal = first or (outer is None and not plan.unions and (bool(plan.order_by) or numbered))
+        df, order = self.sources(plan, scope, ordinal)
         # Spark cannot tell the types of a query that refers to one around it; they are those without the filter.
         base = df if outer is not None else None
         if plan.where.items:
             df = df.filter(self.predicates(scope)(plan.where))
+        if order:
+            df = df.withColumn(ORDINAL, F.array(*order)).drop(*order)
+        elif first or (ordinal and not plan.joins and not df.isStreaming):
+            df = df.withColumn(ORDINAL, F.array(F.monotonically_increasing_id()))
         df, outputs, kinds = self.grouped(plan, df, scope, base) if grouped else self.projected(plan, df, scope, base)
         windows = [i for i in plan.items if isinstance(i, Window)]
         if windows:
@@ -177,13 +198,16 @@ class Compiler:
         rest += [(Output(a.output, self._name(a.output)), a.column(scope)) for a in plan.items if isinstance(a, Aggregate)]
         by = [c.alias(o.internal) for o, c in keys]
         aggregates = [c.alias(o.internal) for o, c in rest]
+        if by and plan.order_by and ORDINAL in df.columns:
+            aggregates.append(F.min(ORDINAL).alias(ORDINAL))
 
         def group(rows: DataFrame) -> DataFrame:
             if not by:
                 return rows.select(*aggregates)
             return rows.groupBy(*by).agg(*aggregates) if aggregates else rows.select(*by).distinct()
 
-        df, kinds = group(df), _types(group(df if base is None else base))
+        kinds = _types(group(df if base is None else base.withColumn(ORDINAL, F.array(F.lit(0).cast("long")))))
+        df = group(df)
         outputs = [o for o, _ in keys + rest]
         if plan.having:
             name, op, value = plan.having
@@ -199,13 +223,15 @@ class Compiler:
         for w in windows:
             out = Output(w.output, self._name(w.output))
             if w.ranks and w.order and not w.partition and outer is None and not df.isStreaming and estimated_bytes(df) > ONE_TASK_BYTES:
-                df = rank_all(df, w.func, [(resolve(c), down) for c, down in w.order], out.internal)
+                tie = F.col(ORDINAL) if ORDINAL in df.columns else F.array(F.monotonically_increasing_id())
+                df = rank_all(df, w.func, [(resolve(c), down) for c, down in w.order], out.internal, tie)
                 added.append((out, out.column))
                 continue
             if w.ranks:
                 if not w.order:
                     raise QueryError(f"{w.func} takes an ORDER BY")
-                spec = W.partitionBy(*[resolve(c) for c in w.partition]).orderBy(*[self._sorted(resolve(c), down) for c, down in w.order])
+                tie = [F.col(ORDINAL)] if w.func == "ROW_NUMBER" and ORDINAL in df.columns else []
+                spec = W.partitionBy(*[resolve(c) for c in w.partition]).orderBy(*[self._sorted(resolve(c), down) for c, down in w.order], *tie)
                 added.append((out, {"ROW_NUMBER": F.row_number, "RANK": F.rank, "DENSE_RANK": F.dense_rank}[w.func]().over(spec).cast("long")))
             elif w.partition or outer is not None:
                 # Aggregates are over whole partitions, whatever their order.
@@ -227,21 +253,24 @@ class Compiler:
     def unions(self, plan: ir.Select, df: DataFrame, outputs: list[Output]):
         names = [o.name for o in outputs]
         merged = df.select(*[o.column.alias(o.name) for o in outputs])
-        for u in plan.unions:
+        # Duplicates that any UNION removes are gone after the last one, so that one alone does it.
+        last = max((i for i, u in enumerate(plan.unions) if not u.all), default=-1)
+        for i, u in enumerate(plan.unions):
             side, fields = self.select(u.query)
             if {f.name for f in fields} != set(names):
                 raise QueryError(f"union of different columns: {names} and {[f.name for f in fields]}")
             merged = merged.unionByName(side.select(*[F.col(f"`{f.internal}`").alias(f.name) for f in fields]))
-            if not u.all:
+            if i == last:
                 merged = merged.distinct()
         return merged, [Output(n, n) for n in names]
 
     def finish(self, plan: ir.Select, df: DataFrame, outputs: list[Output], scope: Scope | None) -> DataFrame:
         own = [o.column for o in outputs]
+        tie = [F.col(ORDINAL)] if plan.order_by and ORDINAL in df.columns else []
         if plan.distinct:
-            df, scope = df.select(*own).distinct(), None
+            df, scope = df.groupBy(*own).agg(F.min(ORDINAL).alias(ORDINAL)) if tie else df.select(*own).distinct(), None
         if plan.order_by:
-            df = df.orderBy(*[self._sorted(self._key(c, outputs, scope), down) for c, down in plan.order_by])
+            df = df.orderBy(*[self._sorted(self._key(c, outputs, scope), down) for c, down in plan.order_by], *tie)
         if plan.offset:
             df = df.offset(plan.offset)
         if plan.limit is not None:

@@ -19,10 +19,9 @@ from pyspark.sql import types as T
 
 from ..errors import QueryError
 from ..plans import ir
+from ..types import NUMBER
 from .resolve import Scope
 
-#: What looks like a number (a fixed value).
-NUMBER = r"^[+-]?(\d+(\.\d*)?|\.\d+)$"
 _OPS = {"=": op_module.eq, "!=": op_module.ne, "<": op_module.lt, "<=": op_module.le, ">": op_module.gt, ">=": op_module.ge}
 
 
@@ -72,6 +71,13 @@ def compare_columns(left: Column, left_kind: T.DataType, op: str, right: Column,
     return _OPS[op](left, right)
 
 
+def loosely_equal(left: Column, right: Column) -> Column:
+    """Equality of columns of any types: as numbers if both look like numbers, else as text."""
+    a, b = left.cast("string"), right.cast("string")
+    numbers = a.try_cast("double").isNotNull() & b.try_cast("double").isNotNull() & a.rlike(f"{NUMBER}|E") & b.rlike(f"{NUMBER}|E")
+    return F.when(numbers, a.try_cast("double") == b.try_cast("double")).otherwise(a == b)
+
+
 def like(column: Column, pattern: str) -> Column:
     """LIKE where a backslash escapes only ``%``, ``_`` and itself, and is else a letter."""
     return column.like(re.sub(r"\\([%_\\])|\\", lambda m: m[0] if m[1] else "\\\\", pattern))

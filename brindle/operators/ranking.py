@@ -1,9 +1,10 @@
 """Ranking of a whole table without a partition, in many tasks.
 
-A window without a partition puts all rows into one task.  Here the distinct
-sort keys are counted, dealt out by range, and each range's totals (one row for each
-range) are turned into offsets, so that a key's rank is its range's offset plus its place
-there.  Rows then get the rank of their key by a join.
+A window without a partition puts all rows into one task.  For ROW_NUMBER the rows, which a last sort key
+makes different, are dealt out by range and each range's total (one row for each range) is turned into an
+offset, so that a row's number is its range's offset plus its place there: a key that many
+rows share is dealt over many ranges.  For RANK and DENSE_RANK the distinct
+sort keys are counted and dealt out in the same way; rows then get the rank of their key by a join.
 """
 
 from __future__ import annotations
@@ -24,29 +25,35 @@ def estimated_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def rank_all(df: DataFrame, func: str, keys: list[tuple[Column, bool]], name: str) -> DataFrame:
-    """``df`` with ``name``: ROW_NUMBER, RANK or DENSE_RANK by ``keys`` (column, descending)."""
-    spark, cols = df.sparkSession, [f"__k{i}" for i in range(len(keys))]
+def _dealt(df: DataFrame, order: list[Column]) -> DataFrame:
+    """``df`` in sorted ranges, told by ``__range``; written once, as what is in a range must not change between two uses."""
+    path = f"{shared_folder(df.sparkSession)}/ranks-{uuid.uuid4().hex}"
+    dealt = df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id())
+    dealt.write.parquet(path)
+    return df.sparkSession.read.schema(dealt.schema).parquet(path)
+
+
+def rank_all(df: DataFrame, func: str, keys: list[tuple[Column, bool]], name: str, tie: Column) -> DataFrame:
+    """``df`` with ``name``: ROW_NUMBER (equal keys by ``tie``), RANK or DENSE_RANK by ``keys`` (column, descending)."""
+    cols = [f"__k{i}" for i in range(len(keys))]
     keyed = df.select("*", *[c.alias(k) for (c, _), k in zip(keys, cols)])
     order = [F.col(k).desc_nulls_last() if down else F.col(k).asc_nulls_first() for (_, down), k in zip(keys, cols)]
-    counted = keyed.groupBy(*cols).agg(F.count("*").alias("__n"))
-    path = f"{shared_folder(spark)}/ranks-{uuid.uuid4().hex}"
-    dealt = counted.repartitionByRange(*order).withColumn("__range", F.spark_partition_id())
-    # Written once: which keys are in a range must not change between the two uses.
-    dealt.write.parquet(path)
-    held = spark.read.schema(dealt.schema).parquet(path)
     before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    own = [F.col(f"`{c}`") for c in df.columns]
+    if func == "ROW_NUMBER":
+        order = [*order, F.col("__tie")]
+        held = _dealt(keyed.withColumn("__tie", tie), order)
+        totals = held.groupBy("__range").agg(F.count("*").alias("__rows"))
+        offsets = totals.select("__range", F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__base"))
+        number = F.col("__base") + F.row_number().over(Window.partitionBy("__range").orderBy(*order))
+        return held.join(F.broadcast(offsets), "__range").select(*own, number.cast("long").alias(name))
+    counted = keyed.groupBy(*cols).agg(F.count("*").alias("__n"))
+    held = _dealt(counted, order)
     totals = held.groupBy("__range").agg(F.sum("__n").alias("__rows"), F.count("*").alias("__keys"))
     offsets = totals.select("__range", F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__row_base"), F.coalesce(F.sum("__keys").over(before), F.lit(0)).alias("__key_base"))
     within = Window.partitionBy("__range").orderBy(*order)
     smaller = F.coalesce(F.sum("__n").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = held.select(*cols, "__range", smaller.alias("__rows_before"), F.row_number().over(within).alias("__key"))
-    ranks = placed.join(F.broadcast(offsets), "__range").select(
-        *[F.col(k).alias(f"{k}r") for k in cols], (F.col("__row_base") + F.col("__rows_before") + 1).alias("__rank"), (F.col("__key_base") + F.col("__key")).alias("__dense")
-    )
-    same = [F.col(k).eqNullSafe(F.col(f"{k}r")) for k in cols]
-    joined = keyed.join(ranks, same)
-    value = {"RANK": F.col("__rank"), "DENSE_RANK": F.col("__dense")}.get(func)
-    if value is None:  # peers are numbered in any order
-        value = F.col("__rank") + F.row_number().over(Window.partitionBy(*cols).orderBy(F.lit(0))) - 1
-    return joined.select(*[F.col(f"`{c}`") for c in df.columns], value.cast("long").alias(name))
+    value = F.col("__row_base") + F.col("__rows_before") + 1 if func == "RANK" else F.col("__key_base") + F.col("__key")
+    ranks = placed.join(F.broadcast(offsets), "__range").select(*[F.col(k).alias(f"{k}r") for k in cols], value.cast("long").alias(name))
+    return keyed.join(ranks, [F.col(k).eqNullSafe(F.col(f"{k}r")) for k in cols]).select(*own, F.col(f"`{name}`"))

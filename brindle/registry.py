@@ -431,3 +431,6 @@ def flagship(e: Engine):
         .select(Agg.sum("l.l_extendedprice").as_("revenue"), Agg.count().as_("lines")).where("c.c_mktsegment", "BUILDING").group_by("n.n_name").having("revenue", ">", 1000000)
     )
     return e.table("lineitem").from_sub(inner, "t").select("t.n_name", Func.round(C("t.revenue"), 2).as_("revenue"), "t.lines").order_by_desc("revenue").order_by("n_name").limit(10)
+
+
+from . import states as _states  # noqa: E402, F401 - registers queries on state and outcomes

@@ -16,7 +16,9 @@ from .errors import TypeCastError
 from .schema import BOUNDS, INTEGERS, ColumnSchema
 
 WHOLE = re.compile(r"^[+-]?\d+$")
-DECIMAL = re.compile(r"^[+-]?(\d+(\.\d*)?|\.\d+)$")
+#: What looks like a number (a fixed value).
+NUMBER = r"^[+-]?(\d+(\.\d*)?|\.\d+)$"
+DECIMAL = re.compile(NUMBER)
 
 
 def _fail(c: ColumnSchema, value: Any, why: str = ""):
