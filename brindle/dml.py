@@ -132,6 +132,12 @@ class Writer:
         path = self.store.write(df, self.engine.database, name)
         entry["parts"] = [{"path": path, "rows": sum(p["rows"] for p in entry["parts"]), "batches": batches}]
 
+    def clustered(self, name: str, df: DataFrame) -> DataFrame:
+        """Rows sorted within each file by the first declared index or the primary key, so that a lookup skips row groups."""
+        s = self.engine.table_schema(name)
+        keys = s.indexes[0].columns if s.indexes else s.primary_columns()
+        return df.sortWithinPartitions(*keys) if keys else df
+
     def _merge(self, name: str) -> None:
         """Merges parts of about the same size once there are ``TIER`` of them."""
         entry, struct = self.engine.entry(name), self.engine.table_schema(name).struct()
@@ -145,7 +151,7 @@ class Writer:
             old = full[0]
             rows = self.store.read([p["path"] for p in old], struct)
             entry["parts"] = [p for p in entry["parts"] if p not in old]
-            self._add(name, rows.coalesce(max(1, sum(p["rows"] for p in old) // 1_000_000)), sorted({b for p in old for b in p["batches"]}))
+            self._add(name, self.clustered(name, rows.coalesce(max(1, sum(p["rows"] for p in old) // 1_000_000))), sorted({b for p in old for b in p["batches"]}))
 
     def _swap(self, name: str, ids: DataFrame, change: Callable[[DataFrame], DataFrame]) -> None:
         """Rewrites the parts that hold rows of ``ids``: ``change`` maps their rows."""
@@ -280,7 +286,7 @@ class Writer:
                 entry["counter"] = max(entry["counter"], int(top))
                 rows = self._numbered(rows, auto.name, entry["counter"])
             before = self.engine.frame(name)
-            part = self._add(name, rows.withColumn(BATCH, F.lit(batch).cast("long")).withColumn(ROW, F.monotonically_increasing_id()), [batch])
+            part = self._add(name, self.clustered(name, rows.withColumn(BATCH, F.lit(batch).cast("long")).withColumn(ROW, F.monotonically_increasing_id())), [batch])
             if not part["rows"]:
                 return 0
             new = self.store.read([part["path"]], s.struct())

@@ -322,3 +322,39 @@ def test_triggers_see_many_rows_in_batches(db, monkeypatch):
     assert db.table("users").where("id", ">", 2).update({"age": 30}) == 8
     assert seen == [(18, 30 + i) for i in range(3, 11)]
     assert rows(db, "users", "id", "age") == [(1, 18), (2, 18)] + [(i, 30 + i) for i in range(3, 11)]
+
+
+def test_encrypted_store(spark, tmp_path):
+    root, key = str(tmp_path / "db"), b"0123456789abcdef"
+    e = Engine(spark, root, key=key)
+
+    def define(t):
+        t.int("id").primary_key()
+        t.varchar("name", 20)
+        t.decimal("price", 12, 2)
+        t.double("x")
+        t.date("day")
+
+    e.create_table("t", define)
+    e.table("t").insert_many([{"id": 1, "name": "very secret", "price": "12.50", "x": 0.1, "day": "2024-02-29"}, {"id": 2}])
+    e.table("t").where("id", 2).update({"name": "secret too"})
+    again = Engine(spark, root, key=key)
+    assert [tuple(r.values()) for r in again.table("t").order_by("id").get()] == [tuple(r.values()) for r in e.table("t").order_by("id").get()]
+    assert again.table("t").where("name", "very secret").first()["x"] == 0.1 and str(again.table("t").find(1)["price"]) == "12.50"
+    assert not any(b"secret" in p.read_bytes() for p in (tmp_path / "db").rglob("*.parquet"))
+    with pytest.raises(Exception, match="AES|decrypt"):
+        Engine(spark, root, key=b"fedcba9876543210").table("t").get().rows()
+
+
+def test_lookups_skip_row_groups(spark, tmp_path):
+    """Rows lie sorted by the primary key within a file, whatever order they came in."""
+    e = Engine(spark)
+
+    def define(t):
+        t.bigint("id").primary_key()
+
+    e.create_table("t", define)
+    e.register("source", spark.range(5000).selectExpr("id * 7919 % 5003 as id").coalesce(1))
+    e.table("t").insert_select(e.table("source").select("id"))
+    stored = [r["id"] for r in e.frame("t").collect()]
+    assert stored == sorted(stored) and len(set(stored)) == 5000
