@@ -98,14 +98,15 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     e = stored(e, "edges")
     while not _are_stars(e):
         both = e.unionByName(e.select(F.col("u").alias("v"), F.col("v").alias("u")))
-        least = both.groupBy("v").agg(F.min("u").alias("m"))
+        # Stored, so that both sides of the join are plain shuffles: the rows of a hub can be split among tasks.
+        least = stored(both.groupBy("v").agg(F.min("u").alias("m")), "least")
         large = (
             both.filter("u > v").join(least.select("v", F.least("m", "v").alias("m")), "v")
             .select(F.col("u").alias("v"), F.col("m").alias("u"))
             .filter("v != u").distinct()
         )
         large = stored(large, "edges")
-        low = large.groupBy("v").agg(F.min("u").alias("m"))
+        low = stored(large.groupBy("v").agg(F.min("u").alias("m")), "least")
         small = (
             large.join(low, "v")
             .select(F.explode(F.array(F.struct(F.col("v").alias("v"), F.col("m").alias("u")), F.struct(F.col("u").alias("v"), F.col("m").alias("u")))).alias("p"))
@@ -113,7 +114,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         )
         discard(e)
         e = stored(small, "edges")
-        discard(large)
+        for done in (least, large, low):
+            discard(done)
     centres = e.select("u").distinct().select(F.col("u").alias("node"), F.col("u").alias("component"))
     return e.select(F.col("v").alias("node"), F.col("u").alias("component")).unionByName(centres)
 

@@ -23,7 +23,7 @@ from functools import reduce
 
 from math import log
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import SPACES, let, stored
@@ -137,14 +137,17 @@ def fences(measured: DataFrame, spread: float = SPREAD, min_rows: int = MIN_ROWS
 
     def bounds(df: DataFrame, name: str, *keys: str, least_rows: int = min_rows) -> DataFrame:
         # A sketch has a bounded number of bins, whatever its number of rows.
-        whole = Window.partitionBy(*keys, "m")
-        ranked = df.select("*", F.sum("n").over(whole.orderBy("bin")).alias("upto"), F.sum("n").over(whole).alias("all"))
-        value = F.when(F.col("bin") == ZERO, F.lit(0.0)).otherwise(F.pow(F.lit(FACTOR), F.col("bin")) * (2 / (1 + FACTOR)))
+        found = df.groupBy(*keys, "m").agg(F.array_sort(F.collect_list(F.struct("bin", "n"))).alias("sketch"), F.sum("n").alias("n"))
 
         def quantile(tenths: int) -> Column:
-            return F.min(F.when(F.col("upto") * 10 >= F.col("all") * tenths, value))
+            def add(a: Column, x: Column) -> Column:
+                upto = a["upto"] + x["n"]
+                return F.struct(upto.alias("upto"), F.when(a["bin"].isNull() & (upto * 10 >= F.col("n") * tenths), x["bin"]).otherwise(a["bin"]).alias("bin"))
 
-        found = ranked.groupBy(*keys, "m").agg(quantile(5).alias("middle"), quantile(1).alias("one"), quantile(9).alias("nine"), F.first("all").alias("n"))
+            bin = F.aggregate("sketch", F.struct(F.lit(0).cast("long").alias("upto"), F.lit(None).cast("int").alias("bin")), add)["bin"]
+            return F.when(bin == ZERO, F.lit(0.0)).otherwise(F.pow(F.lit(FACTOR), bin) * (2 / (1 + FACTOR)))
+
+        found = found.select(*keys, "m", "n", quantile(5).alias("middle"), quantile(1).alias("one"), quantile(9).alias("nine"))
         cols = []
         for i, (m, (side, least)) in enumerate(MEASURES.items()):
             fence = F.col("middle") + side * F.greatest(F.lit(least), spread * F.abs(F.col("middle") - F.col("one" if side > 0 else "nine")))
