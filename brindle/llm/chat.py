@@ -9,7 +9,8 @@ not forge a mark: in texts and roles every backslash is doubled and a backslash
 is put before each ``#`` and each ``</turn>``, so no unescaped mark is left and
 reading back is exact.
 
-Defined results: a null text is an empty text; a null role is the role ``null``
+Defined results: a null text is an empty text; texts may have any length, but a conversation has to fit in a task, as
+the last of its examples holds all its turns; a null role is the role ``null``
 in the output; a conversation without an assistant turn has one example with
 nothing trainable, so that its turns are still in the output; a null conv_id is a
 conversation like any other; repeated rows are repeated turns; empty tables give

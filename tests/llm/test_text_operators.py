@@ -238,6 +238,16 @@ def test_chat_rows(spark):
     assert -7 in {r["conv_id"] for r in queries.op10_chat_formatting(spark, SMALL).collect()}
 
 
+def test_chat_long_texts_and_conversations(spark):
+    rows = [(1, i, "assistant" if i % 2 else "user", f"turn {i} # " * 5) for i in range(400)] + [(2, 0, "user", "#" * 500_000), (2, 1, "assistant", "\\" * 500_000)]
+    got = {r["conv_id"]: r for r in chat.digest(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    for conv in (1, 2):
+        own = [(r, t) for c, _, r, t in rows if c == conv]
+        loss = "".join(t for r, t in own if r == "assistant")
+        assert (got[conv]["n_turns"], got[conv]["loss_chars"], got[conv]["loss_sha256"]) == (len(own), len(loss), hashlib.sha256(loss.encode()).hexdigest())
+        assert got[conv]["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in own).encode()).hexdigest()
+
+
 def test_license_scanner():
     s = licenses.Scanner({}, 10)
     for name, texts in licenses.TEMPLATES.items():
@@ -280,6 +290,53 @@ def test_license_inheritance(spark):
     assert licenses.scan(df.limit(0)).count() == 0
 
 
+def test_license_inheritance_against_brute_force(spark):
+    """The nearest ancestor directory with a ruling file, in it the file of greatest cosine and then smallest path."""
+    import random
+
+    r = random.Random(7)
+    texts = {None: "x = 1\n" * 30, **{n: t[-1] for n, t in licenses.TEMPLATES.items()}}
+    paths = []
+    for i in range(250):
+        folders = [r.choice("abc") for _ in range(r.randrange(5))]
+        name = r.choice([None, None, None, *licenses.TEMPLATES])
+        paths.append(("/".join([*folders, f"LICENSE.{i}" if name and r.random() < 0.5 else f"f{i}.py"]), (texts[name] + "\n" + "code " * 200) if name else texts[None]))
+    scanner = licenses.Scanner(*licenses.frequencies(spark.createDataFrame(paths, "path string, text string")))
+    own, rules = {}, {}
+    for p, t in paths:
+        own[p] = scanner(t)
+        folder, _, base = p.rpartition("/")
+        if own[p][0] and (base.startswith("LICENSE") or own[p][2] >= 0.5):
+            rules.setdefault(folder, []).append((-own[p][1], p, own[p][0]))
+    want = {}
+    for p in own:
+        folder = p.rpartition("/")[0]
+        while folder and folder not in rules:
+            folder = folder.rpartition("/")[0]
+        want[p] = (own[p][0], min(rules[folder])[2], folder) if folder in rules else (own[p][0], None, None)
+    got = {x["path"]: (x["license"], x["inherited_license"], x["inherited_from"]) for x in licenses.scan(spark.createDataFrame(paths, "path string, text string")).collect()}
+    assert got == want and len(rules) > 10
+
+
+def test_license_windows_against_brute_force(spark):
+    """Windows at anchors find what windows of all templates' lengths at every word find."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    scanner = licenses.Scanner(*licenses.frequencies(docs))
+    sizes = {len(licenses.words_of(t)) for texts in licenses.TEMPLATES.values() for t in texts}
+    checked = 0
+    for r in docs.select("text").collect():
+        text = r["text"] or ""
+        words = licenses.words_of(text)[-250:]
+        name, cosine, _ = scanner(" ".join(words))
+        if not any(licenses.ANCHORS.search(w) for w in words):
+            assert name is None or licenses.MAY_HAVE.search(" ".join(words))
+            continue
+        best = max((scanner.best(words[i : i + n])[::-1] for n in sizes for i in range(len(words)) if any(licenses.ANCHORS.search(w) for w in words[i : i + n])), key=lambda x: x[0])
+        assert (name is not None) == (best[0] >= licenses.THRESHOLD) and (name is None or (name, round(cosine, 6)) == (best[1], round(max(cosine, best[0]), 6)))
+        checked += 1
+    assert checked > 10
+
+
 def test_license_whole_table(spark):
     docs = dict(spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect())
     lines = {"Licensed under the Apache License, Version 2.0.": "Apache-2.0", "Released under the MIT License.": "MIT", "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0"}
