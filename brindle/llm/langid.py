@@ -33,7 +33,6 @@ DIMS = 1 << BITS
 CENTROIDS = 4
 #: Bound of the fit: so many different texts of each language.
 SAMPLE = 1000
-BIN_BITS = 16
 ROUNDS = 12
 #: Share of a centroid's own texts that lie beyond its rejection distance.
 REJECTED_SHARE = 0.005
@@ -142,17 +141,15 @@ def fit(docs: DataFrame, sample: int = SAMPLE, k: int = CENTROIDS) -> Model:
     training = _training(docs)
     df, n = _frequencies(training)
     idf = np.log((1 + n) / (1 + df)).astype(np.float32) + 1
-    # A language's hashes are counted in ``2 ** BIN_BITS`` bins, each text once; the first bins that hold a sample are drawn.
+    # Each different text counts once; those of least hash are drawn, about twice the sample of each language.
     hashed = training.withColumn("h", F.xxhash64("text"))
-    each = hashed.select("lang", F.shiftrightunsigned("h", 64 - BIN_BITS).cast("int").alias("bin"), "h").distinct()
-    sizes: dict[str, dict[int, int]] = {}
-    for r in each.groupBy("lang", "bin").agg(F.count("*").alias("n")).collect():  # 2 ** BIN_BITS rows a language at most
-        sizes.setdefault(r["lang"], {})[r["bin"]] = r["n"]
+    rank = F.shiftrightunsigned("h", 1)
+    sizes = {r["lang"]: r["n"] for r in hashed.select("lang", "h").distinct().groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
     if not sizes:
         return Model(idf, [], np.zeros((0, DIMS), np.float32), np.zeros(0))
-    limits = {lang: _last_bin(own, 2 * sample) for lang, own in sizes.items()}
+    limits = {lang: min((1 << 63) - 1, (1 << 63) * 2 * sample // size) for lang, size in sizes.items()}
     limit = F.create_map(*[F.lit(x) for pair in limits.items() for x in pair])[F.col("lang")]
-    drawn = hashed.filter(F.shiftrightunsigned("h", 64 - BIN_BITS) <= limit).select("lang", "h", "text").distinct()
+    drawn = hashed.filter(rank <= limit).select("lang", "h", "text").distinct()
 
     def vector(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,16 +172,6 @@ def fit(docs: DataFrame, sample: int = SAMPLE, k: int = CENTROIDS) -> Model:
     return Model(idf, [r["lang"] for r in rows], np.array([r["centre"] for r in rows], np.float32).reshape(-1, DIMS), np.array([r["bound"] for r in rows]))
 
 
-def _last_bin(sizes: dict[int, int], wanted: int) -> int:
-    """The bin with which the first ones hold ``wanted`` texts, or the last bin."""
-    total = 0
-    for i in sorted(sizes):
-        total += sizes[i]
-        if total >= wanted:
-            return i
-    return 1 << BIN_BITS
-
-
 def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
     """The columns ``keep``, lang_pred, score and rejected; only the text decides."""
     spark = docs.sparkSession
