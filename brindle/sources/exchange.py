@@ -8,6 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..errors import StorageError
+from ..operators.ranking import estimated_bytes
+
+#: Estimated size up to which a table is written as one document.
+ONE_DOCUMENT_BYTES = 256 << 20
+
 
 def read_table_json(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     """Rows of a document ``{"schema": ..., "auto_increment": ..., "rows": [...]}``."""
@@ -19,7 +25,9 @@ def read_table_json(spark: SparkSession, path: str, schema: T.StructType | None
 
 
 def write_table_json(df: DataFrame, path: str, schema: dict, counter: int = 0) -> None:
-    """The same document from a table's rows: one file, so for tables that one task can hold."""
+    """The same document from a table's rows: one file, so for tables that one task can hold; larger ones are refused."""
+    if (size := estimated_bytes(df)) > ONE_DOCUMENT_BYTES:
+        raise StorageError(f"a table of about {size} bytes does not go into one document; write JSON lines")
     rows = F.collect_list(F.struct(*[F.col(f"`{c}`") for c in df.columns]))
     head = json.dumps({"schema": schema, "auto_increment": counter})[:-1] + ', "rows": '
     whole = df.coalesce(1).agg(F.concat(F.lit(head), F.to_json(rows, {"ignoreNullFields": "false"}), F.lit("}")).alias("value"))

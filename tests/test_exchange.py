@@ -1,4 +1,6 @@
-from brindle import Engine
+import pytest
+
+from brindle import Engine, StorageError
 from brindle.sources import exchange
 from brindle.sources.store import Store
 
@@ -45,3 +47,19 @@ def test_own_store(spark, tmp_path):
     e.create_table("t", define)
     e.table("t").insert({"id": 1})
     assert Counted.writes == 1 and Engine(spark, str(tmp_path / "own")).table("t").count() == 1
+
+
+def test_large_tables_do_not_go_into_one_document(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(exchange, "ONE_DOCUMENT_BYTES", 100)
+    with pytest.raises(StorageError):
+        exchange.write_table_json(spark.range(1000).toDF("id"), str(tmp_path / "doc"), {})
+
+
+def test_old_catalogs_go(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "db"))
+    for i in range(15):
+        e.create_database(f"d{i}")
+    e.vacuum()
+    assert len(e.store.files.names(f"{e.store.root}/_catalog")) == 15  # young
+    e.vacuum(grace=0)
+    assert len(e.store.files.names(f"{e.store.root}/_catalog")) == 11 and len(Engine(spark, str(tmp_path / "db")).databases()) == 16
