@@ -155,9 +155,9 @@ def _chunks(e: Engine) -> DataFrame:
 
 # rules of writes
 
-query("auto_increment", _values("id, name", (1, "a"), (2, "b"), (10, "c"), (11, "d"), (12, "e")))(lambda e: _numbered(e))
+query("auto_increment", "SELECT CAST(id AS BIGINT) AS id, name FROM (" + _values("id, name", (1, "a"), (2, "b"), (10, "c"), (11, "d"), (12, "e")) + ")")(lambda e: _numbered(e))
 query("insert_result", _values("row_count, last_insert_id", (2, 2), (1, 10), (2, 12)))(lambda e: _inserted(e))
-query("auto_increment_select", "SELECT count(*) AS n, 1 AS lo, count(*) AS hi, count(DISTINCT s_suppkey) AS named FROM supplier")(lambda e: _numbered_select(e))
+query("auto_increment_select", "SELECT count(*) AS n, CAST(1 AS BIGINT) AS lo, count(*) AS hi, count(DISTINCT s_suppkey) AS named FROM supplier")(lambda e: _numbered_select(e))
 query("rule_outcomes", _values("what, outcome", ("unique", "ConstraintError"), ("not null", "ConstraintError"), ("check", "ConstraintError"), ("too long", "TypeCastError"), ("no parent", "ConstraintError"), ("parent in use", "ConstraintError"), ("unknown column", "QueryError"), ("two in one batch", "ConstraintError"), ("fine", "none")))(lambda e: _rules(e))
 query("rules_leave_nothing", _values("id, name, age", (1, "al", 18), (2, "ok", 30)))(lambda e: _ruled(e))
 _write("write_where_subquery", "SELECT c_custkey, c_name, c_nationkey, c_acctbal FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000)", "regions", "nations", "customers")(
@@ -166,11 +166,11 @@ _write("write_where_subquery", "SELECT c_custkey, c_name, c_nationkey, c_acctbal
 _write("write_where_exists", "SELECT n_nationkey, CASE WHEN EXISTS (SELECT 1 FROM customer c WHERE c.c_nationkey = n.n_nationkey AND c.c_acctbal > 9900) THEN 'RICH' ELSE n_name END AS n_name, n_regionkey FROM nation n", "regions", "nations", "customers")(
     lambda e: _then(e, "nations", lambda: e.table("nations n").where_exists(e.table("customers c").where_column("c.c_nationkey", "=", "n.n_nationkey").where("c.c_acctbal", ">", 9900)).update({"n_name": "RICH"}))
 )
-_write("matched_rows", "SELECT (SELECT count(*) FROM customer WHERE c_acctbal < 0) AS updated, (SELECT count(*) FROM customer WHERE c_acctbal > 9000) AS deleted, 0 AS none", "regions", "nations", "customers")(
+_write("matched_rows", "SELECT (SELECT count(*) FROM customer WHERE c_acctbal < 0) AS updated, (SELECT count(*) FROM customer WHERE c_acctbal > 9000) AS deleted, CAST(0 AS BIGINT) AS none", "regions", "nations", "customers")(
     lambda e: _row(e.spark, updated=e.table("customers").where("c_acctbal", "<", 0).update({"c_acctbal": 0}), deleted=e.table("customers").where("c_acctbal", ">", 9000).delete(), none=e.table("customers").where("c_custkey", -1).update({"c_name": "x"}))
 )
 _write("trigger_update_delete", "SELECT r_regionkey, CASE r_regionkey WHEN 1 THEN 'ONE' ELSE r_name END AS r_name, 'AMERICA>ONE' AS updates, 1 AS deletes FROM region WHERE r_regionkey <> 4", "regions")(lambda e: _triggered(e))
-_write("many_small_writes", "SELECT * FROM region UNION ALL SELECT 100 + i, 'R' || i FROM range(0, 40) t(i)", "regions")(lambda e: _small(e))
+_write("many_small_writes", "SELECT * FROM region UNION ALL SELECT CAST(100 + i AS INTEGER), 'R' || i FROM range(0, 40) t(i)", "regions")(lambda e: _small(e))
 
 
 def _numbered(e: Engine) -> DataFrame:
@@ -369,7 +369,7 @@ def _exchanged(e: Engine) -> DataFrame:
 
 
 query("backup", "SELECT r_regionkey, CASE r_regionkey WHEN 0 THEN 'ZERO' ELSE r_name END AS r_name FROM region")(_backed_up)
-query("two_writers", "SELECT *, 'TransactionError' AS outcome, (SELECT count(*) + 1 FROM region) AS seen, 0 AS removed FROM (SELECT * FROM region UNION ALL SELECT 50, 'TWO')")(_two_writers)
+query("two_writers", "SELECT *, 'TransactionError' AS outcome, (SELECT CAST(count(*) + 1 AS INTEGER) FROM region) AS seen, 0 AS removed FROM (SELECT * FROM region UNION ALL SELECT 50, 'TWO')")(_two_writers)
 query("crash_recovery", "SELECT r_regionkey, r_name, 1 AS removed FROM region")(_crashed)
 query("own_store", "SELECT r_regionkey, r_name FROM region")(_own_store)
 query("exchange_formats", "SELECT r_regionkey, r_name FROM region")(_exchanged)
