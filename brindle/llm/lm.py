@@ -37,6 +37,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -55,7 +56,8 @@ CELLS = 1 << 16
 GROUPS, EPOCHS = 4, 1
 RATE = 0.5
 SCALE = 512
-BATCH = 128
+#: Documents and bytes of text that are handled at once.
+BATCH, BATCH_BYTES = 128, 4 << 20
 PART = 1024
 #: Tokens whose gradient is held before it is summed by feature.
 WIDE = 1 << 16
@@ -188,10 +190,16 @@ class Leaves:
         return np.where(own >= 0, own, (OWN + self.of_cell[cell]) * MEMBERS + (h >> np.uint64(59)).astype(np.int64))
 
 
-def _batches(batches, size: int = BATCH):
+def _batches(batches: Iterator[pa.RecordBatch], size: int = BATCH, text: int = 0) -> Iterator[pa.RecordBatch]:
+    """Slices of up to ``size`` rows and about ``BATCH_BYTES`` in column ``text``; a longer text is one of its own."""
     for whole in batches:
-        for low in range(0, whole.num_rows, size):
-            yield whole.slice(low, size)
+        upto = np.cumsum(pc.fill_null(pc.binary_length(whole.column(text)), 0).to_numpy(zero_copy_only=False))
+        low = 0
+        while low < whole.num_rows:
+            most = (upto[low - 1] if low else 0) + BATCH_BYTES
+            high = min(low + size, max(low + 1, int(np.searchsorted(upto, most, side="right"))))
+            yield whole.slice(low, high - low)
+            low = high
 
 
 def word_counts(training: DataFrame) -> DataFrame:
@@ -480,7 +488,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, keep: tuple[str, ...
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, row = shared.value, TaskContext.get().partitionId() << 33
-        for batch in _batches(batches):
+        for batch in _batches(batches, text=len(keep)):
             t = Tokens(batch.columns[-1].to_pylist())
             place = m.head(t.hash)
             value = m.values(t)

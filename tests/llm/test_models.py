@@ -254,6 +254,17 @@ def _end_after(model, text):
     return (model.values(t) + model.log_count[model.head(t.hash)])[-1]
 
 
+def test_lm_batches_are_bounded_in_bytes(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(lm, "BATCH_BYTES", 10)
+    texts = ["abc", None, "", "defgh", "x" * 50, "y", "z" * 10, "w" * 11, None]
+    whole = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["i", "t"])
+    parts = [b.column(1).to_pylist() for b in lm._batches(iter([whole, whole.slice(0, 0)]), 4, 1)]
+    assert [t for p in parts for t in p] == texts and all(len(p) <= 4 for p in parts)
+    assert all(sum(len(t or "") for t in p) <= 10 or len([t for t in p if t]) == 1 for p in parts)
+
+
 def test_lm_rows(spark):
     docs = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, None), (3, ""), (4, "x " * 100_000), (5, "É é A\x0bb")], "doc_id long, text string")
     model, counts = lm.train(docs.filter("doc_id = 1"))
