@@ -17,7 +17,8 @@ or equal, so each emits its 65 midpoints, and what meets at one
 (Jaccard) of 0.8 or more.  Such texts differ in about ten of 64 bits, and no choice of pigeonhole blocks both finds
 them and parts the others, so further candidates come from blocks of another kind: bands of ``BAND``
 least hashes of the shingles under ``PERMUTATIONS`` permutations.  In each band a text meets the first and the
-last text there, so a bucket of any size gives two pairs a text at most.  All candidates,
+last text there in two orders, so a bucket of any size gives four pairs a text at most; the orders are by hashes of the texts, so
+partitions do not matter.  All candidates,
 those of the fingerprints' blocks too, are verified by the share of permutations in which they agree.
 
 Defined results: a null or empty text and one without words have fingerprint
@@ -192,22 +193,27 @@ def with_signature(docs: DataFrame, text_col: str, keep: tuple[str, ...], shingl
 
 
 def candidates(texts: DataFrame, **kw) -> DataFrame:
-    """(a, b): pairs of different texts (node, fp, bands) that share a block, a < b; a text has a bounded number of them in each."""
-    by_print = texts.groupBy("fp").agg(F.min("node").alias("least"))
-    same = texts.join(by_print, "fp").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    """(a, b): keys of different texts (key, fp, bands) that share a block, a < b; a text has a bounded number of them in each."""
+    by_print = texts.groupBy("fp").agg(F.min("key").alias("least"))
+    same = texts.join(by_print, "fp").select(F.col("least").alias("a"), F.col("key").alias("b"))
     near = links(by_print.select("fp"), **kw)
     ends = [by_print.select(F.col("fp").alias(c), F.col("least").alias(f"n{c}")) for c in ("a", "b")]
     close = near.join(ends[0], "a").join(ends[1], "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
-    keyed = texts.select("node", F.explode("bands").alias("band"))
-    edges = keyed.groupBy("band").agg(F.min("node").alias("first"), F.max("node").alias("last")).filter("first < last")
-    met = keyed.join(edges, "band").select("node", F.explode(F.array("first", "last")).alias("other")).select(F.col("node").alias("a"), F.col("other").alias("b"))
-    pairs = same.unionByName(close).unionByName(met).filter("a <> b")
+    keyed = texts.select("key", F.explode("bands").alias("band"))
+    # The first and the last in two orders that depend on the texts alone.
+    other = F.xxhash64("key")
+    met = keyed.groupBy("band").agg(F.min("key").alias("w"), F.max("key").alias("x"), F.min_by("key", other).alias("y"), F.max_by("key", other).alias("z")).filter("w < x")
+    band = keyed.join(met, "band").select(F.col("key").alias("a"), F.explode(F.array("w", "x", "y", "z")).alias("b"))
+    pairs = same.unionByName(close).unionByName(band).filter("a <> b")
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def similar(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Those of ``pairs`` whose signatures (node, sig) agree in at least ``similarity`` of the permutations."""
-    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("sig").alias("sa")), "a").join(texts.select(F.col("node").alias("b"), F.col("sig").alias("sb")), "b").select("a", "b", "sa", "sb")
+    """(a, b): nodes of the texts (key, node, sig) of those ``pairs`` whose signatures agree in at least ``similarity`` of the permutations."""
+    both = pairs
+    for c in ("a", "b"):
+        both = both.join(texts.select(F.col("key").alias(c), F.col("node").alias(f"n{c}"), F.col("sig").alias(f"s{c}")), c)
+    both = both.select("na", "nb", "sa", "sb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -228,7 +234,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     prints = stored(with_signature(rows, text_at, ("rid", id_at), shingle), "prints")
     # Copies are one text from here on, however many there are.
     first = F.min(F.struct(F.col(id_at).isNull().alias("none"), F.col(id_at).alias("id"), "rid")).alias("m")
-    texts = stored(prints.groupBy("whole").agg(first, F.min("rid").alias("node"), F.first("fp").alias("fp"), F.first("sig").alias("sig"), F.first("bands").alias("bands")).drop("whole"), "texts")
+    texts = stored(prints.groupBy("whole").agg(first, F.min("rid").alias("node"), F.first("fp").alias("fp"), F.first("sig").alias("sig"), F.first("bands").alias("bands")).withColumn("key", F.xxhash64("whole")).drop("whole"), "texts")
     found = components(similar(stored(candidates(texts, **kw), "pairs"), texts, similarity))
     kept = texts.select("node", "m").join(found, "node", "left").groupBy(F.coalesce("component", "node")).agg(F.min("m").alias("m")).select("m.rid")
     return rows.join(kept, "rid", "left_semi").select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)])

@@ -135,7 +135,7 @@ def test_similarity_against_brute_force(spark):
                 own[r.randrange(len(own))] = f"new{r.randrange(10**6)}"
             texts.append(" ".join(own))
     rows = simhash.with_signature(spark.createDataFrame(list(enumerate(texts)), "rid long, text string"), "text", ("rid",))
-    nodes = rows.groupBy("whole").agg(F.min("rid").alias("node"), F.first("fp").alias("fp"), F.first("sig").alias("sig"), F.first("bands").alias("bands")).cache()
+    nodes = rows.groupBy("whole").agg(F.min("rid").alias("node"), F.first("fp").alias("fp"), F.first("sig").alias("sig"), F.first("bands").alias("bands")).withColumn("key", F.xxhash64("whole")).cache()
     found = components(simhash.similar(simhash.candidates(nodes), nodes))
     of = {x["node"]: x["component"] for x in found.collect()}
     kept = sorted(x["node"] for x in nodes.select("node").collect())
@@ -153,6 +153,12 @@ def test_similarity_against_brute_force(spark):
     assert pairs > 80 and missed <= 0.05 * pairs
 
 
+def test_deduplicate_does_not_depend_on_partitions(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    kept = [sorted(r["doc_id"] for r in simhash.deduplicate(docs.repartition(n)).select("doc_id").collect()) for n in (1, 7)]
+    assert kept[0] == kept[1] and len(kept[0]) < docs.count()
+
+
 @pytest.mark.parametrize("bucket", [1, 4, 1000])
 def test_simhash_links_are_whole_for_any_bucket(spark, bucket):
     """Dense clusters: midpoints and pairs tell the same components."""
