@@ -19,7 +19,8 @@ them and parts the others, so further candidates come from blocks of another kin
 least hashes of the shingles under ``PERMUTATIONS`` permutations.  In each band a text meets the first and the
 last text there in two orders, so a bucket of any size gives four pairs a text at most; the orders are by hashes of the texts, so
 partitions do not matter.  All candidates,
-those of the fingerprints' blocks too, are verified by the share of permutations in which they agree.
+those of the fingerprints' blocks too, are verified by the share of permutations in which they agree, and near the limit
+by their shingles.
 
 Defined results: a null or empty text and one without words have fingerprint
 zero and are linked as any other; with fewer words than a shingle, the whole
@@ -51,6 +52,8 @@ PART = 1 << 15
 #: For whole texts: words of a shingle, least similarity, permutations, and how many of them a band has.
 WIDE_SHINGLE, SIMILARITY = 5, 0.8
 PERMUTATIONS, BAND = 240, 8
+#: Shares of agreement this near to the limit do not tell.
+MARGIN = 0.1
 #: Odd numbers: multiplication by one permutes hashes.
 FACTORS = np.random.default_rng(9).integers(1 << 63, size=PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -208,8 +211,8 @@ def candidates(texts: DataFrame, **kw) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def similar(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(a, b): nodes of the texts (key, node, sig) of those ``pairs`` whose signatures agree in at least ``similarity`` of the permutations."""
+def agreement(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """(a, b, share): nodes of the texts (key, node, sig) of those ``pairs`` whose signatures agree in a share of ``least`` or more."""
     both = pairs
     for c in ("a", "b"):
         both = both.join(texts.select(F.col("key").alias(c), F.col("node").alias(f"n{c}"), F.col("sig").alias(f"s{c}")), c)
@@ -218,10 +221,38 @@ def similar(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             left, right = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(-1, PERMUTATIONS) for k in (2, 3))
-            keep = (left == right).sum(axis=1) >= similarity * PERMUTATIONS
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep))
+            share = (left == right).mean(axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(share)], ["a", "b", "share"]).filter(pa.array(share >= least))
 
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(run, "a long, b long, share double")
+
+
+def jaccard(a: str | None, b: str | None, shingle: int = WIDE_SHINGLE) -> float:
+    """The similarity of the sets of shingles of two texts."""
+    x, y = (set(np.concatenate([d.view(np.uint64).ravel() for d in _digests(_words(t), shingle)] or [np.zeros(0, np.uint64)]).tolist()) for t in (a, b))
+    return len(x & y) / max(1, len(x | y))
+
+
+def similar(pairs: DataFrame, texts: DataFrame, rows: DataFrame, similarity: float = SIMILARITY, shingle: int = WIDE_SHINGLE) -> DataFrame:
+    """(a, b): nodes of the texts (key, node, sig) of those ``pairs`` that are similar; ``rows`` (node, text) has the texts.
+
+    Within ``MARGIN`` of the limit, about four standard errors of the signatures, the shingles themselves decide.
+    """
+    found = stored(agreement(pairs, texts, similarity - MARGIN), "agreement")
+    near = found.filter(F.col("share") < similarity + MARGIN).select("a", "b")
+    # Only texts that such a pair needs are moved.
+    ids = stored(near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct(), "near")
+    needed = stored(rows.join(ids, "node", "left_semi").select("node", "text"), "near-texts")
+    for c in ("a", "b"):
+        near = near.join(needed.select(F.col("node").alias(c), F.col("text").alias(f"t{c}")), c)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [jaccard(a.as_py(), b.as_py(), shingle) >= similarity for a, b in zip(batch.column(2), batch.column(3))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    exact = near.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    return found.filter(F.col("share") >= similarity + MARGIN).select("a", "b").unionByName(exact)
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = WIDE_SHINGLE, similarity: float = SIMILARITY, **kw) -> DataFrame:
@@ -235,6 +266,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # Copies are one text from here on, however many there are.
     first = F.min(F.struct(F.col(id_at).isNull().alias("none"), F.col(id_at).alias("id"), "rid")).alias("m")
     texts = stored(prints.groupBy("whole").agg(first, F.min("rid").alias("node"), F.first("fp").alias("fp"), F.first("sig").alias("sig"), F.first("bands").alias("bands")).withColumn("key", F.xxhash64("whole")).drop("whole"), "texts")
-    found = components(similar(stored(candidates(texts, **kw), "pairs"), texts, similarity))
+    whole = rows.select(F.col("rid").alias("node"), F.col(text_at).alias("text"))
+    found = components(similar(stored(candidates(texts, **kw), "pairs"), texts, whole, similarity, shingle))
     kept = texts.select("node", "m").join(found, "node", "left").groupBy(F.coalesce("component", "node")).agg(F.min("m").alias("m")).select("m.rid")
     return rows.join(kept, "rid", "left_semi").select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)])

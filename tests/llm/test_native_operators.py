@@ -134,9 +134,10 @@ def test_similarity_against_brute_force(spark):
             for _ in range(edits):
                 own[r.randrange(len(own))] = f"new{r.randrange(10**6)}"
             texts.append(" ".join(own))
-    rows = simhash.with_signature(spark.createDataFrame(list(enumerate(texts)), "rid long, text string"), "text", ("rid",))
+    frame = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
+    rows = simhash.with_signature(frame.withColumnRenamed("node", "rid"), "text", ("rid",))
     nodes = rows.groupBy("whole").agg(F.min("rid").alias("node"), F.first("fp").alias("fp"), F.first("sig").alias("sig"), F.first("bands").alias("bands")).withColumn("key", F.xxhash64("whole")).cache()
-    found = components(simhash.similar(simhash.candidates(nodes), nodes))
+    found = components(simhash.similar(simhash.candidates(nodes), nodes, frame))
     of = {x["node"]: x["component"] for x in found.collect()}
     kept = sorted(x["node"] for x in nodes.select("node").collect())
     sets = {i: brute.shingles(texts[i]) for i in kept}
@@ -150,7 +151,9 @@ def test_similarity_against_brute_force(spark):
                     pairs, missed = pairs + 1, missed + (not together)
                 assert not (j < 0.5 and together)
                 assert together or j < 0.9
-    assert pairs > 80 and missed <= 0.05 * pairs
+    assert pairs > 80 and missed <= 0.02 * pairs
+    groups = brute.similar_groups({i: texts[i] for i in kept}, 0.8)
+    assert sum(of.get(i, i) != groups[i] for i in kept) <= 0.02 * len(kept)
 
 
 def test_deduplicate_does_not_depend_on_partitions(spark):
