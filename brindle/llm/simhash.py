@@ -233,26 +233,39 @@ def jaccard(a: str | None, b: str | None, shingle: int = WIDE_SHINGLE) -> float:
     return len(x & y) / max(1, len(x | y))
 
 
-def similar(pairs: DataFrame, texts: DataFrame, rows: DataFrame, similarity: float = SIMILARITY, shingle: int = WIDE_SHINGLE) -> DataFrame:
-    """(a, b): nodes of the texts (key, node, sig) of those ``pairs`` that are similar; ``rows`` (node, text) has the texts.
-
-    Within ``MARGIN`` of the limit, about four standard errors of the signatures, the shingles themselves decide.
-    """
-    found = stored(agreement(pairs, texts, similarity - MARGIN), "agreement")
-    near = found.filter(F.col("share") < similarity + MARGIN).select("a", "b")
-    # Only texts that such a pair needs are moved.
-    ids = stored(near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct(), "near")
+def exactly(pairs: DataFrame, rows: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """Those of ``pairs`` (a, b) of nodes whose texts in ``rows`` (node, text) have similar sets of shingles."""
+    # Only texts that a pair needs are moved.
+    ids = stored(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "near")
     needed = stored(rows.join(ids, "node", "left_semi").select("node", "text"), "near-texts")
+    both = pairs.select("a", "b")
     for c in ("a", "b"):
-        near = near.join(needed.select(F.col("node").alias(c), F.col("text").alias(f"t{c}")), c)
+        both = both.join(needed.select(F.col("node").alias(c), F.col("text").alias(f"t{c}")), c)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = [jaccard(a.as_py(), b.as_py(), shingle) >= similarity for a, b in zip(batch.column(2), batch.column(3))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    exact = near.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
-    return found.filter(F.col("share") >= similarity + MARGIN).select("a", "b").unionByName(exact)
+    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+
+
+def similar(pairs: DataFrame, texts: DataFrame, rows: DataFrame, similarity: float = SIMILARITY, shingle: int = WIDE_SHINGLE) -> DataFrame:
+    """(a, b): links between nodes of the texts (key, node, sig), as many of the similar ``pairs`` as tell all components.
+
+    Within ``MARGIN`` of the limit, about four standard errors of the signatures, the shingles of the texts in ``rows`` (node, text)
+    decide: first for each text's likeliest pair, then for the pairs that still lie between components.
+    """
+    found = stored(agreement(pairs, texts, similarity - MARGIN), "agreement")
+    sure = found.filter(F.col("share") >= similarity + MARGIN).select("a", "b")
+    near = found.filter(F.col("share") < similarity + MARGIN)
+    best = near.groupBy("a").agg(F.max_by("b", F.struct("share", "b")).alias("b"))
+    links = stored(sure.unionByName(exactly(stored(best, "best"), rows, similarity, shingle)), "links")
+    of = stored(components(links), "components")
+    for c in ("a", "b"):
+        near = near.join(of.select(F.col("node").alias(c), F.col("component").alias(f"c{c}")), c, "left")
+    left = near.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b").join(best, ["a", "b"], "left_anti")
+    return links.unionByName(exactly(stored(left, "left"), rows, similarity, shingle))
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = WIDE_SHINGLE, similarity: float = SIMILARITY, **kw) -> DataFrame:
