@@ -15,12 +15,13 @@ or equal, so each emits its 65 midpoints, and what meets at one
 
 ``deduplicate`` is about texts whose sets of five-word shingles have a similarity
 (Jaccard) of 0.8 or more.  Such texts differ in about ten of 64 bits, and no choice of pigeonhole blocks both finds
-them and parts the others, so further candidates come from blocks of another kind: bands of ``BAND``
-least hashes of the shingles under ``PERMUTATIONS`` permutations.  In each band a text meets the first and the
-last text there in two orders, so a bucket of any size gives four pairs a text at most; the orders are by hashes of the texts, so
-partitions do not matter.  All candidates,
-those of the fingerprints' blocks too, are verified by the share of permutations in which they agree, and near the limit
-by their shingles.
+them and parts the others, so what the blocks find is verified and an exact join finds the rest.  All shingles have
+one order, those a bounded sample of the texts knows as frequent last; two similar texts share one of the first
+shingles of each (a fifth of them, ``bands``), and the places of the first that they share bound what else
+they can share.  First each text meets the hub of each band; then, in bands of any size, all texts
+that these links have not joined yet meet.  The sample and the order change the time only.  A lower bound of the difference
+(512 counts of shingles, ``sig``) leaves out pairs, and the shingles decide the others: no link is lost and none is guessed.
+The time is square in the texts of a band only as far as they are in different groups.
 
 Defined results: a null or empty text and one without words have fingerprint
 zero and are linked as any other; with fewer words than a shingle, the whole
@@ -31,16 +32,17 @@ kept by ``deduplicate`` whatever their names.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import components, stored
+from ._common import components, discard, stored
 
 SEED = 42
 SHINGLE = 3
@@ -49,13 +51,14 @@ BLOCKS = 5
 BUCKET = 32
 #: Hashes whose bits are counted at once; a longer text is counted in parts.
 PART = 1 << 15
-#: For whole texts: words of a shingle, least similarity, permutations, and how many of them a band has.
-WIDE_SHINGLE, SIMILARITY = 5, 0.8
-PERMUTATIONS, BAND = 240, 8
-#: Shares of agreement this near to the limit do not tell.
-MARGIN = 0.1
-#: Odd numbers: multiplication by one permutes hashes.
-FACTORS = np.random.default_rng(9).integers(1 << 63, size=PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: For whole texts: words of a shingle, least similarity, and counters of shingles.
+WIDE_SHINGLE, SIMILARITY, COUNTERS = 5, 0.8, 512
+#: Texts of the sample, at about, and shingles known as frequent, at most; both concern the time only.
+SAMPLE, FREQUENT = 10_000, 1 << 16
+#: Bands looked back on, so that two texts that share many meet in few.
+BEFORE = 4
+#: Rows of a band that meet the others in one part.
+SPLIT = 1000
 
 
 def _words(text: str | None) -> list[bytes]:
@@ -89,15 +92,26 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return _majority(_digests(_words(text), shingle))
 
 
-def signature(parts: list[np.ndarray]) -> np.ndarray:
-    """16 bits of the least hash under each permutation; zeros without a shingle."""
-    least = np.full(PERMUTATIONS, np.iinfo(np.uint64).max, np.uint64)
-    for x in parts:
-        h = x.view(">u8").ravel().astype(np.uint64)
-        for low in range(0, len(h), 512):
-            np.minimum(least, (FACTORS[:, None] * h[low : low + 512]).min(axis=1), out=least)
-    least ^= least >> np.uint64(31)
-    return (least * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(48)).astype(np.uint16)
+def _distinct(parts: list[np.ndarray]) -> np.ndarray:
+    """The different hashes of parts, in order."""
+    return np.unique(np.concatenate([x.view(">u8").ravel() for x in parts]).astype(np.uint64)) if parts else np.zeros(0, np.uint64)
+
+
+def signature(hashes: np.ndarray) -> bytes:
+    """Their number (four bytes) and how many fall to each counter (a byte, 255 for more)."""
+    counts = np.bincount((hashes >> np.uint64(55)).astype(np.int64), minlength=COUNTERS)
+    return len(hashes).to_bytes(4, "big") + np.minimum(counts, 255).astype(np.uint8).tobytes()
+
+
+def prefix(hashes: np.ndarray, similarity: float, frequent: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """The first of the hashes in the order of all shingles, so many that similar texts share one."""
+    if not len(hashes):
+        return hashes
+    if frequent is not None and len(frequent[0]):
+        known, counts = frequent
+        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+        hashes = hashes[np.argsort(np.where(known[at] == hashes, counts[at], 0), kind="stable")]
+    return hashes[: len(hashes) - math.ceil(similarity * len(hashes) - 1e-9) + 1]
 
 
 def _fingerprints(column) -> pa.Array:
@@ -171,75 +185,143 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(found, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def with_signature(docs: DataFrame, text_col: str, keep: tuple[str, ...], shingle: int = WIDE_SHINGLE) -> DataFrame:
+def frequent_shingles(docs: DataFrame, text_col: str, shingle: int = WIDE_SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of shingles that texts of a sample, drawn by hash, have in common, in order, and in how many each is."""
+    some = max(1, -(-docs.count() // SAMPLE))
+    drawn = docs.select(F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h")).filter(F.pmod("h", F.lit(some)) == 0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(_distinct(list(_digests(_words(text), shingle))).view(np.int64))], ["s"])
+
+    shared = drawn.groupBy("h").agg(F.first("text").alias("text")).select("text").mapInArrow(run, "s long").groupBy("s").agg(F.count("*").alias("n")).filter("n > 1")
+    found = shared.orderBy(F.desc("n"), "s").limit(FREQUENT).collect()
+    known, counts = np.array([r["s"] for r in found], np.int64).view(np.uint64), np.array([r["n"] for r in found], np.int64)
+    order = np.argsort(known)
+    return known[order], counts[order]
+
+
+def with_signature(
+    docs: DataFrame, text_col: str, keep: tuple[str, ...], shingle: int = WIDE_SHINGLE, similarity: float = SIMILARITY, frequent: tuple[np.ndarray, np.ndarray] | None = None
+) -> DataFrame:
     """The columns ``keep``, whole (128 bits that tell a text's words), fp, sig and bands of each row."""
     frame = docs.select(*keep, F.col(text_col).alias("__text"))
     schema = docs.select(*keep).schema.add("whole", "binary").add("fp", "long").add("sig", "binary").add("bands", T.ArrayType(T.LongType()))
 
-    def of(text: str | None) -> tuple[bytes, int, bytes, list[int]]:
-        from xxhash import xxh3_128_digest, xxh64_intdigest
+    def of(text: str | None) -> tuple[bytes, int, bytes, np.ndarray]:
+        from xxhash import xxh3_128_digest
 
         words = _words(text)
         parts = list(_digests(words, shingle))
-        sig = signature(parts)
-        bands = [xxh64_intdigest(band.tobytes(), i) for i, band in enumerate(sig.reshape(-1, BAND))] if words else []
-        return xxh3_128_digest(b" ".join(words)), _majority(parts), sig.tobytes(), [b - (1 << 64) if b >> 63 else b for b in bands]
+        hashes = _distinct(parts)
+        return xxh3_128_digest(b" ".join(words)), _majority(parts), signature(hashes), prefix(hashes, similarity, frequent).view(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for low in range(0, whole.num_rows, 1024):
                 batch = whole.slice(low, 1024)
-                found = zip(*map(of, batch.columns[-1].to_pylist()))
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(x, k) for x, k in zip(found, (pa.binary(), pa.int64(), pa.binary(), pa.list_(pa.int64()))))], schema.names)
+                *found, bands = zip(*map(of, batch.columns[-1].to_pylist()))
+                lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, bands)], dtype=np.int32), np.concatenate(bands))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(x, k) for x, k in zip(found, (pa.binary(), pa.int64(), pa.binary()))), lists], schema.names)
 
     return frame.mapInArrow(run, schema)
 
 
-def candidates(texts: DataFrame, **kw) -> DataFrame:
-    """(a, b): keys of different texts (key, fp, bands) that share a block, a < b; a text has a bounded number of them in each."""
+def bands(texts: DataFrame) -> DataFrame:
+    """(band, key, n, i, alone, before): texts (key, sig, bands) in each band of several.
+
+    Their number of shingles, the band's place among them, how many bands of the text are its own and the last ``BEFORE`` bands of several before this.
+    """
+    n = F.conv(F.hex(F.substring("sig", 1, 4)), 16, 10).cast("long")
+    keyed = texts.select("key", n.alias("n"), F.size("bands").alias("all"), F.posexplode("bands").alias("i", "band"))
+    several = keyed.groupBy("band").agg(F.count("*").alias("c")).filter("c > 1").select("band")
+    own = Window.partitionBy("key")
+    before = F.collect_list("band").over(own.orderBy("i").rowsBetween(-BEFORE, -1))
+    return keyed.join(several, "band").select("band", "key", "n", "i", (F.col("all") - F.count("*").over(own)).alias("alone"), before.alias("before"))
+
+
+def _possible(a: str, b: str, similarity: float):
+    """Whether this may be the first band that two texts share and they may be similar: no more than what follows is shared."""
+    most = F.least(F.expr(f"{a}.n - {a}.i"), F.expr(f"{b}.n - {b}.i"))
+    return (most * (1 + similarity) >= similarity * F.expr(f"{a}.n + {b}.n") - 1e-6) & ~F.arrays_overlap(f"{a}.before", f"{b}.before")
+
+
+def _pairs(pairs: DataFrame) -> DataFrame:
+    return pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _hubs(met: DataFrame) -> DataFrame:
+    """(band, hub): in each band the text that has the fewest bands of its own, likely the one that others are copied from."""
+    return met.groupBy("band").agg(F.min(F.struct("alone", "key", "n", "i", "before")).alias("hub"))
+
+
+def leading(texts: DataFrame, met: DataFrame, similarity: float = SIMILARITY, **kw) -> DataFrame:
+    """(a, b): keys of different texts (key, fp) that share a fingerprint's block, or one of the bands ``met`` with its hub, a < b.
+
+    A text has a bounded number of them in each block and band; ``candidates`` has the rest.
+    """
     by_print = texts.groupBy("fp").agg(F.min("key").alias("least"))
     same = texts.join(by_print, "fp").select(F.col("least").alias("a"), F.col("key").alias("b"))
     near = links(by_print.select("fp"), **kw)
     ends = [by_print.select(F.col("fp").alias(c), F.col("least").alias(f"n{c}")) for c in ("a", "b")]
     close = near.join(ends[0], "a").join(ends[1], "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
-    keyed = texts.select("key", F.explode("bands").alias("band"))
-    # The first and the last in two orders that depend on the texts alone.
-    other = F.xxhash64("key")
-    met = keyed.groupBy("band").agg(F.min("key").alias("w"), F.max("key").alias("x"), F.min_by("key", other).alias("y"), F.max_by("key", other).alias("z")).filter("w < x")
-    band = keyed.join(met, "band").select(F.col("key").alias("a"), F.explode(F.array("w", "x", "y", "z")).alias("b"))
-    pairs = same.unionByName(close).unionByName(band).filter("a <> b")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    star = met.alias("x").join(_hubs(met), "band").filter(_possible("x", "hub", similarity)).select(F.col("hub.key").alias("a"), F.col("x.key").alias("b"))
+    return _pairs(same.unionByName(close).unionByName(star))
+
 
+def candidates(texts: DataFrame, similarity: float = SIMILARITY, met: DataFrame | None = None, groups: DataFrame | None = None) -> DataFrame:
+    """(a, b): keys of all texts (key, sig, bands) that may be similar, a < b.
 
-def agreement(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """(a, b, share): nodes of the texts (key, node, sig) of those ``pairs`` whose signatures agree in a share of ``least`` or more."""
+    After ``leading`` only those in different ``groups`` (key, group) and without a band's hub.  In each band the texts
+    outside its largest group meet all others; large bands are dealt out in parts.
+    """
+    met = bands(texts) if met is None else met
+    if groups is None:
+        own = met.withColumn("group", F.col("key"))
+    else:
+        own = met.join(_hubs(met).select("band", F.col("hub.key").alias("hub")), "band").filter("key <> hub").drop("hub").join(groups, "key")
+    own = stored(own, "band-groups")
+    sizes = own.groupBy("band", "group").agg(F.count("*").alias("c")).groupBy("band")
+    sizes = sizes.agg(F.max(F.struct("c", "group")).alias("m"), F.sum("c").alias("rows"), F.count("*").alias("k")).filter("k > 1")
+    several = own.join(sizes.select("band", F.col("m.group").alias("main"), F.ceil(F.col("rows") / SPLIT).alias("parts")), "band")
+    some = several.filter("group <> main").withColumn("part", F.pmod(F.xxhash64("key"), "parts"))
+    every = several.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    both = F.expr("x.band = y.band and x.part = y.part and x.group <> y.group and (y.group = y.main or x.key < y.key)")
+    meet = some.alias("x").join(every.alias("y"), both & _possible("x", "y", similarity))
+    return _pairs(meet.select(F.col("x.key").alias("a"), F.col("y.key").alias("b")))
+
+
+def alike(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): nodes of the texts (key, node, sig) of those ``pairs`` whose counters do not differ by more than similar texts may."""
     both = pairs
     for c in ("a", "b"):
         both = both.join(texts.select(F.col("key").alias(c), F.col("node").alias(f"n{c}"), F.col("sig").alias(f"s{c}")), c)
     both = both.select("na", "nb", "sa", "sb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            left, right = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(-1, PERMUTATIONS) for k in (2, 3))
-            share = (left == right).mean(axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(share)], ["a", "b", "share"]).filter(pa.array(share >= least))
+        for whole in batches:
+            for low in range(0, whole.num_rows, 4096):
+                batch = whole.slice(low, 4096)
+                sides = [np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, 4 + COUNTERS) for k in (2, 3)]
+                number = sum(np.ascontiguousarray(x[:, :4]).view(">u4").ravel().astype(np.int64) for x in sides)
+                apart = np.abs(sides[0][:, 4:].astype(np.int16) - sides[1][:, 4:]).sum(axis=1, dtype=np.int64)
+                may = apart * (1 + similarity) <= number * (1 - similarity) + 1e-6
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(may))
 
-    return both.mapInArrow(run, "a long, b long, share double")
+    return both.mapInArrow(run, "a long, b long")
 
 
 def jaccard(a: str | None, b: str | None, shingle: int = WIDE_SHINGLE) -> float:
     """The similarity of the sets of shingles of two texts."""
-    x, y = (set(np.concatenate([d.view(np.uint64).ravel() for d in _digests(_words(t), shingle)] or [np.zeros(0, np.uint64)]).tolist()) for t in (a, b))
-    return len(x & y) / max(1, len(x | y))
+    x, y = (_distinct(list(_digests(_words(t), shingle))) for t in (a, b))
+    shared = len(np.intersect1d(x, y, assume_unique=True))
+    return shared / max(1, len(x) + len(y) - shared)
 
 
 def similar(pairs: DataFrame, texts: DataFrame, rows: DataFrame, similarity: float = SIMILARITY, shingle: int = WIDE_SHINGLE) -> DataFrame:
-    """(a, b): nodes of the texts (key, node, sig) of those ``pairs`` that are similar; ``rows`` (node, text) has the texts.
-
-    Within ``MARGIN`` of the limit, about four standard errors of the signatures, the shingles themselves decide.
-    """
-    found = stored(agreement(pairs, texts, similarity - MARGIN), "agreement")
-    near = found.filter(F.col("share") < similarity + MARGIN).select("a", "b")
+    """(a, b): nodes of the texts (key, node, sig) of those ``pairs`` that are similar; ``rows`` (node, text) has the texts."""
+    near = stored(alike(pairs, texts, similarity), "alike")
     # Only texts that such a pair needs are moved.
     ids = stored(near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct(), "near")
     needed = stored(rows.join(ids, "node", "left_semi").select("node", "text"), "near-texts")
@@ -251,8 +333,19 @@ def similar(pairs: DataFrame, texts: DataFrame, rows: DataFrame, similarity: flo
             keep = [jaccard(a.as_py(), b.as_py(), shingle) >= similarity for a, b in zip(batch.column(2), batch.column(3))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    exact = near.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
-    return found.filter(F.col("share") >= similarity + MARGIN).select("a", "b").unionByName(exact)
+    return near.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+
+
+def similar_groups(texts: DataFrame, rows: DataFrame, similarity: float = SIMILARITY, shingle: int = WIDE_SHINGLE, **kw) -> DataFrame:
+    """(node, component): the groups that all similar pairs of the texts make; texts without one are left out."""
+    met = stored(bands(texts), "bands")
+    found = stored(similar(stored(leading(texts, met, similarity, **kw), "pairs"), texts, rows, similarity, shingle), "links")
+    first = components(found)
+    groups = texts.select("key", "node").join(first, "node", "left").select("key", F.coalesce("component", "node").alias("group"))
+    rest = stored(candidates(texts, similarity, met, groups), "pairs")
+    if rest.isEmpty():
+        return first
+    return components(found.unionByName(similar(rest, texts, rows, similarity, shingle)))
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = WIDE_SHINGLE, similarity: float = SIMILARITY, **kw) -> DataFrame:
@@ -262,11 +355,12 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     id_at, text_at = (f"c{docs.columns.index(c)}" for c in (id_col, text_col))
     # Row numbers are stored with the rows: computed anew they might change.
     rows = stored(plain.withColumn("rid", F.monotonically_increasing_id()), "rows")
-    prints = stored(with_signature(rows, text_at, ("rid", id_at), shingle), "prints")
+    prints = stored(with_signature(rows, text_at, ("rid", id_at), shingle, similarity, frequent_shingles(rows, text_at, shingle)), "prints")
     # Copies are one text from here on, however many there are.
     first = F.min(F.struct(F.col(id_at).isNull().alias("none"), F.col(id_at).alias("id"), "rid")).alias("m")
     texts = stored(prints.groupBy("whole").agg(first, F.min("rid").alias("node"), F.first("fp").alias("fp"), F.first("sig").alias("sig"), F.first("bands").alias("bands")).withColumn("key", F.xxhash64("whole")).drop("whole"), "texts")
+    discard(prints)
     whole = rows.select(F.col("rid").alias("node"), F.col(text_at).alias("text"))
-    found = components(similar(stored(candidates(texts, **kw), "pairs"), texts, whole, similarity, shingle))
+    found = similar_groups(texts, whole, similarity, shingle, **kw)
     kept = texts.select("node", "m").join(found, "node", "left").groupBy(F.coalesce("component", "node")).agg(F.min("m").alias("m")).select("m.rid")
     return rows.join(kept, "rid", "left_semi").select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)])

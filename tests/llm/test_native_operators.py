@@ -162,6 +162,42 @@ def test_deduplicate_does_not_depend_on_partitions(spark):
     assert kept[0] == kept[1] and len(kept[0]) < docs.count()
 
 
+def test_deduplicate_loses_no_link_in_large_bands(spark):
+    """Pairs about the limit in a family whose texts are nearly similar (0.76): most share only bands of the whole family."""
+    r = random.Random(11)
+    shared, texts = [f"word{k}" for k in range(204)], []
+    for pair in range(200):
+        both = shared + [f"pair{pair}x{k}" for k in range(6)]
+        texts += [" ".join(both + [f"own{pair}x{side}x{k}" for k in range(25 + pair % 2)]) for side in range(2)]
+    r.shuffle(texts)
+    groups = brute.similar_groups(dict(enumerate(texts)), 0.8)
+    kept = sorted(x["doc_id"] for x in simhash.deduplicate(frame(spark, texts)).select("doc_id").collect())
+    assert kept == sorted(set(groups.values())) and len(kept) == 300
+
+
+@pytest.mark.parametrize("split, sample", [(1, 1), (1000, 10_000)])
+def test_candidates_are_whole(spark, monkeypatch, split, sample):
+    """Every pair of 0.8 or more is a candidate, however bands are dealt out and whatever the sample knows; the limit is included."""
+    monkeypatch.setattr(simhash, "SPLIT", split)
+    monkeypatch.setattr(simhash, "SAMPLE", sample)
+    r = random.Random(12)
+    shared = [f"w{k}" for k in range(60)]
+    texts = [" ".join([*shared[: r.randrange(5, 60)], *(f"own{r.randrange(9)}" for _ in range(r.randrange(6)))]) for _ in range(150)]
+    texts += ["a b c d e f g h", "a b c d e f g h i", "few words", "a a a a a a a", "a a a a a a a a a", ""]
+    texts = list(dict.fromkeys(texts))
+    rows = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
+    known = simhash.frequent_shingles(rows, "text")
+    nodes = simhash.with_signature(rows, "text", ("node",), frequent=known).withColumn("key", F.col("node")).cache()
+    sets = {x["node"]: brute.shingles(texts[x["node"]]) for x in nodes.select("node").collect() if texts[x["node"]].strip()}
+    want = {(a, b) for a in sets for b in sets if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])}
+    pairs = simhash.candidates(nodes).cache()
+    assert want <= set(map(tuple, pairs.collect()))
+    assert set(map(tuple, simhash.similar(pairs, nodes, rows).collect())) == want
+    groups = {x["node"]: x["component"] for x in simhash.similar_groups(nodes, rows).collect()}
+    brute_groups = brute.similar_groups({i: texts[i] for i in sets}, 0.8)
+    assert {i: groups.get(i, i) for i in sets} == brute_groups and len(want) > 100
+
+
 @pytest.mark.parametrize("bucket", [1, 4, 1000])
 def test_simhash_links_are_whole_for_any_bucket(spark, bucket):
     """Dense clusters: midpoints and pairs tell the same components."""
