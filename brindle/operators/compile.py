@@ -30,6 +30,10 @@ from .predicates import Predicates, compare
 from .ranking import ONE_TASK_BYTES, estimated_bytes, rank_all
 from .resolve import Field, Scope
 
+#: A join whose sides compare in other ways than by equality is dealt out where the product of its sides' estimated sizes is beyond this, with so much for a task.
+PAIR_BYTES = 1 << 36
+#: Up to this estimated size the smaller side of such a join is sent to all tasks; at most so many tasks share the larger.
+SENT_BYTES, MOST_TASKS = 16 << 20, 4096
 JOINS = {"inner": "inner", "left": "left", "right": "right"}
 ORDINAL = "__ordinal"
 
@@ -98,8 +102,33 @@ class Compiler:
         scope.add(source.alias, fields)
         return df.select(*[F.col(f"`{held[f.name]}`").alias(f.internal) for f in fields], *keep)
 
-    def sources(self, plan: ir.Select, scope: Scope, ordinal: bool = False) -> tuple[DataFrame, list[str]]:
-        """FROM and JOIN, and the columns that tell the order of stored rows."""
+    def dealt(self, df: DataFrame, right: DataFrame, join: ir.Join, scope: Scope) -> tuple[DataFrame, DataFrame]:
+        """Both sides of a join that can return far more rows than it reads: one is sent whole, the other is dealt out over
+        many tasks, as its few files or keys would else bring the work into as few.  Rows of an outer join that need no partner are dealt out."""
+        tests = [c for how, c in join.on.items if how == "and" or c is join.on.items[0][1]]
+        equal = [c for c in tests if isinstance(c, ir.ColumnComparison) and c.op == "="]
+        of_one_side = (ir.Comparison, ir.InList, ir.Between, ir.IsNull, ir.LikePattern)
+        by_key = equal and len(tests) == len(join.on.items) and all(c in equal or isinstance(c, of_one_side) for c in tests)
+        if by_key or df.isStreaming or right.isStreaming:
+            return df, right
+        sizes = estimated_bytes(df), estimated_bytes(right)
+        flip = join.kind == "right" or (join.kind == "inner" and sizes[0] < sizes[1])
+        large, small, most, least = (right, df, *sizes[::-1]) if flip else (df, right, *sizes)
+        least_tasks = 4 * df.sparkSession.sparkContext.defaultParallelism
+        if most * least < PAIR_BYTES or least > SENT_BYTES or most >= least_tasks * ONE_TASK_BYTES:
+            return df, right
+        tasks = min(MOST_TASKS, max(least_tasks, most * least // PAIR_BYTES))
+        # Rows with the same key stand together: what they meet stays in the processor's cache, and the result compresses well.
+        # The hash deals a key that many rows have out over many tasks.
+        fields = [scope._field(n)[0] for c in equal for n in (c.left, c.right)]
+        own, theirs = ([F.col(f"`{f.internal}`") for f in fields if f.internal in d.columns] for d in (large, small))
+        hashed = [F.col(f"`{f.name}`") for f in large.schema.fields if isinstance(f.dataType, T.AtomicType) and not isinstance(f.dataType, T.VariantType)]
+        large = large.repartitionByRange(tasks, *own, F.xxhash64(*hashed)) if hashed else large.repartition(tasks)
+        small = F.broadcast(small.repartitionByRange(least_tasks, *theirs) if theirs else small)
+        return (small, large) if flip else (large, small)
+
+    def sources(self, plan: ir.Select, scope: Scope, ordinal: bool = False, first: bool = False) -> tuple[DataFrame, list[str]]:
+        """FROM and JOIN, and the columns that tell the order of stored rows; with ``first`` joined rows keep the order in which Spark makes them."""
         order: list[str] = []
 
         def side(source) -> DataFrame:
@@ -113,6 +142,8 @@ class Compiler:
         df = side(plan.source)
         for join in plan.joins:
             right = side(join.source)
+            if scope.outer is None and not first:
+                df, right = self.dealt(df, right, join, scope)
             df = df.join(right, self.predicates(scope)(join.on), JOINS[join.kind])
         return df, order
 
@@ -145,7 +176,7 @@ class Compiler:
         first = grouped and any(isinstance(i, (str, Expression)) for i in plan.items)
         numbered = any(isinstance(i, Window) and i.func == "ROW_NUMBER" for i in plan.items)
         ordinal = first or (outer is None and not plan.unions and (bool(plan.order_by) or numbered))
-        df, order = self.sources(plan, scope, ordinal)
+        df, order = self.sources(plan, scope, ordinal, first)
         # Spark cannot tell the types of a query that refers to one around it; they are those without the filter.
         base = df if outer is not None else None
         if plan.where.items:
